@@ -1,0 +1,69 @@
+"""Hot-key splitting for per-key work that must not land in one task.
+
+A session (or any key) may hold a large share of all rows. The pattern:
+
+1. ``hot_keys``: count rows per key (a partial + final aggregate, so the
+   count itself is skew-proof), keep keys above ``rows_per_split`` rows, and
+   give each ``ceil(rows / rows_per_split)`` splits (at most ``max_splits``).
+   At most ``max_keys`` keys are kept, the largest first, so the table has a
+   proven size bound and is broadcast. Keys past the bound are not dropped:
+   they are simply not split (exact, only slower).
+2. ``add_salt``: every row gets ``_salt = pmod(xxhash64(spread), splits)``
+   (``0`` for ordinary keys). The salt is a deterministic function of the
+   row, so a recomputed task after an executor loss produces the same split.
+3. ``over_salts``: a per-key frame is replicated to every split of its key so
+   it can be equi-joined on (key, ``_salt``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SALT = "_salt"
+SPLITS = "_splits"
+
+DEFAULT_ROWS_PER_SPLIT = 2_000_000
+DEFAULT_MAX_SPLITS = 256
+DEFAULT_MAX_KEYS = 20_000
+
+
+def hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
+    max_splits: int = DEFAULT_MAX_SPLITS,
+    max_keys: int = DEFAULT_MAX_KEYS,
+) -> DataFrame:
+    """Broadcast table ``(keys..., _splits)`` of the keys worth splitting."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = (
+        counts.where(F.col("_rows") > rows_per_split)
+        .orderBy(F.col("_rows").desc(), *keys)
+        .limit(max_keys)
+        .select(
+            *keys,
+            F.least(
+                F.ceil(F.col("_rows") / F.lit(rows_per_split)), F.lit(max_splits)
+            ).cast("int").alias(SPLITS),
+        )
+    )
+    return F.broadcast(hot)
+
+
+def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[Column]) -> DataFrame:
+    """Attach ``_salt``; ``spread`` are row columns that vary inside a key."""
+    j = df.join(hot, list(keys), "left")
+    salt = F.when(
+        F.col(SPLITS).isNull(), F.lit(0)
+    ).otherwise(F.pmod(F.xxhash64(*spread), F.col(SPLITS).cast("long")).cast("int"))
+    return j.withColumn(SALT, salt).drop(SPLITS)
+
+
+def over_salts(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replicate each key's rows to all of its splits (``_salt`` 0..n-1)."""
+    j = df.join(hot, list(keys), "left")
+    n = F.coalesce(F.col(SPLITS), F.lit(1))
+    return j.withColumn(SALT, F.explode(F.sequence(F.lit(0), n - 1))).drop(SPLITS)
