@@ -8,19 +8,13 @@ time of stage 0 in the session; ``t_k`` is the first time of stage ``k``
 strictly after ``t_{k-1}``; a missing stage ends the chain. Equal timestamps
 never count as progress.
 
-Physical plan of the ordered chain (``ordered_session_frames``):
-
-* one scan of the stage events, projected to (user, session, stage, time,
-  attributes) and shuffled **once** on (user, session, salt);
-* stage 0: ``min(time)`` per session (plus first-by-time attributes);
-* stage k: the session frame of stage ``k-1`` (one row per session) is
-  equi-joined to the stage-``k`` events on the session key, the strict time
-  predicate filters, ``min`` aggregates. The events side keeps the single
-  partitioning, so only session-level frames move between stages;
-* a session with very many events is split over several salts (see
-  :mod:`sessionflow.plans.skew`); per-split minima are merged per session. When
-  no session is that large (checked by one aggregate job) the plan needs no
-  salt and the whole chain runs after the single shuffle.
+Physical plan of the ordered chain (``ordered_stage_times``): one scan, one
+event-level shuffle on the session key, partial aggregation into per-session
+``min`` / time sets, then the chain as a projection. The reference's range
+left-join chain (three sort-merge joins with fan-out) and a window per stage
+are both avoided. A session with very many events is split over several salts
+(see :mod:`sessionflow.plans.skew`) so no task holds it whole; when no session
+is that large (checked by one aggregate job) no salt is added at all.
 """
 
 from __future__ import annotations
@@ -29,10 +23,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import first_by_time, pct, session_id
+from ..functions.exprs import pct, session_id
 from ..plans import skew
 from ..plans.report import rows_from_one
 from ..schema import (
@@ -106,81 +100,101 @@ def stage_events(
     return ev.where(F.col(USER).isNotNull() & F.col(SESSION).isNotNull())
 
 
-def ordered_session_frames(
+def _first_by_time_struct(value: Column, ignore_nulls: bool) -> Column:
+    packed = F.struct(F.col(_T).alias("t"), value.alias("v"))
+    return F.when(value.isNotNull(), packed) if ignore_nulls else packed
+
+
+def _next_time(times: Column, prev: Column) -> Column:
+    """First time in ``times`` strictly after ``prev`` (null if none / prev null)."""
+    return F.array_min(F.filter(times, lambda x: x > prev))
+
+
+def ordered_stage_times(
     source: SourceLike,
     period: Period | None = OFFICIAL_PERIOD,
     stages: Sequence[str] = CORE_STAGES,
     attributes: dict[str, tuple[Column, bool]] | None = None,
     skew_policy: SkewPolicy = DEFAULT_SKEW,
-) -> list[DataFrame]:
-    """One frame per stage: the sessions that reached it.
-
-    Frame ``k`` has columns (user, session, attribute names..., ``_tp``) where
-    ``_tp`` is ``t_k``. ``attributes`` maps a name to ``(value, ignore_nulls)``:
-    the value on the session's earliest stage-0 event (ties: smallest value).
+) -> DataFrame:
+    """Per session that reached stage 0: ``_t0 .. _t{n-1}`` (null = not reached).
+
+    ``attributes`` maps a name to ``(value, ignore_nulls)``: the value on the
+    session's earliest stage-0 event (ties: smallest value).
+
+    Plan: one scan and **one** event-level shuffle. Events are aggregated per
+    (user, session[, salt]) into ``min`` of stage-0 times and the *set* of
+    times of every later stage (partial aggregation dedups map-side); the
+    greedy chain is then a projection,
+    ``t_k = array_min(filter(times_k, x -> x > t_{k-1}))``, where a null
+    ``t_{k-1}`` empties the filter and ends the chain. The sets are bounded:
+    a session above ``skew_policy.rows_per_split`` rows is split over several
+    salts, and only then are split rows merged per session (windows over
+    split-level rows, never event rows).
     """
     stages = list(stages)
+    n = len(stages)
     attributes = attributes or {}
     attr_names = list(attributes)
-    ev = stage_events(source, period, stages, {n: c for n, (c, _) in attributes.items()})
+    ev = stage_events(source, period, stages, {a: c for a, (c, _) in attributes.items()})
 
     hot = None
     if skew_policy.enabled:
         hot = skew.hot_keys(
             ev, KEYS, skew_policy.rows_per_split, skew_policy.max_splits, skew_policy.max_keys
         )
-        if hot.isEmpty():  # one aggregate job; decides whether salting is needed
+        if hot.isEmpty():  # one aggregate job decides whether any session is split
             hot = None
-
     if hot is None:
         split_keys = list(KEYS)
-        part = ev.repartition(*KEYS)
     else:
         split_keys = [*KEYS, skew.SALT]
-        part = skew.add_salt(ev, hot, KEYS, [F.col(_T), F.col(_STAGE)]).repartition(*split_keys)
-
-    def merge_splits(df: DataFrame, value_aggs: list[Column]) -> DataFrame:
-        if hot is None:  # one split per session: the per-split row is final
-            return df
-        return df.groupBy(*KEYS).agg(*value_aggs)
-
-    # stage 0: first time and first-by-time attributes, kept as (t, v) structs
-    packed = []
-    for n, (c, ignore_nulls) in attributes.items():
-        p = F.struct(F.col(_T).alias("t"), F.col(n).alias("v"))
-        packed.append(F.min(F.when(F.col(n).isNotNull(), p) if ignore_nulls else p).alias(n))
-    s0 = part.where(F.col(_STAGE) == 0).groupBy(*split_keys).agg(
-        F.min(_T).alias(_TP), *packed
-    )
-    s0 = merge_splits(s0, [F.min(_TP).alias(_TP), *[F.min(n).alias(n) for n in attr_names]])
-    s0 = s0.select(*KEYS, *[F.col(n)["v"].alias(n) for n in attr_names], _TP)
-
-    frames = [s0]
-    prev = s0
-    for k in range(1, len(stages)):
-        carry = prev.select(*KEYS, *attr_names, _TP)
-        if hot is not None:
-            carry = skew.over_salts(carry, hot, KEYS)
-        step = (
-            part.where(F.col(_STAGE) == k)
-            .select(*split_keys, _T)
-            .join(carry, split_keys)
-            .where(F.col(_T) > F.col(_TP))
-            .groupBy(*split_keys, *attr_names)
-            .agg(F.min(_T).alias(_TP))
+        ev = skew.add_salt(ev, hot, KEYS, [F.col(_T), F.col(_STAGE)])
+
+    stage = F.col(_STAGE)
+    aggs = [F.min(F.when(stage == 0, F.col(_T))).alias("_m0")]
+    aggs += [F.collect_set(F.when(stage == k, F.col(_T))).alias(f"_a{k}") for k in range(1, n)]
+    aggs += [
+        F.min(F.when(stage == 0, _first_by_time_struct(F.col(a), ign))).alias(a)
+        for a, (_, ign) in attributes.items()
+    ]
+    splits = ev.groupBy(*split_keys).agg(*aggs)
+
+    if hot is None:  # one split per session: the chain is a projection
+        times = [F.col("_m0")]
+        for k in range(1, n):
+            times.append(_next_time(F.col(f"_a{k}"), times[-1]))
+        return splits.where(F.col("_m0").isNotNull()).select(
+            *KEYS,
+            *[F.col(a)["v"].alias(a) for a in attr_names],
+            *[t.alias(f"_t{k}") for k, t in enumerate(times)],
+        )
+
+    # Split sessions: merge per session over its split rows (at most
+    # ``max_splits`` rows each, one row for ordinary sessions) with windows on
+    # the session key: one shuffle of split-level rows, the chain's n - 1
+    # dependent steps as window nodes over that single partitioning.
+    w = Window.partitionBy(*KEYS)
+    cur = splits.withColumn("_t0", F.min("_m0").over(w))
+    for a in attr_names:
+        cur = cur.withColumn(a, F.min(a).over(w))
+    for k in range(1, n):
+        cand = _next_time(F.col(f"_a{k}"), F.col(f"_t{k - 1}"))
+        cur = cur.withColumn(f"_t{k}", F.min(cand).over(w))
+    return (
+        cur.where(F.col("_t0").isNotNull())
+        .groupBy(*KEYS)
+        .agg(
+            *[F.min(a)["v"].alias(a) for a in attr_names],
+            *[F.min(f"_t{k}").alias(f"_t{k}") for k in range(n)],
         )
-        cur = step if hot is None else step.groupBy(*KEYS, *attr_names).agg(F.min(_TP).alias(_TP))
-        frames.append(cur)
-        prev = cur
-    return frames
+    )
 
 
-def _stage_counts(frames: list[DataFrame], dims: Sequence[str]) -> DataFrame:
-    """Sessions per stage (and per ``dims``) from the per-stage frames."""
-    tagged = [f.select(*dims, F.lit(k).alias(_STAGE)) for k, f in enumerate(frames)]
-    union = reduce(DataFrame.unionByName, tagged)
-    aggs = [F.count_if(F.col(_STAGE) == k).alias(f"_n{k}") for k in range(len(frames))]
-    return union.groupBy(*dims).agg(*aggs) if dims else union.agg(*aggs)
+def _stage_counts(times: DataFrame, n: int, dims: Sequence[str]) -> DataFrame:
+    """Sessions per stage (and per ``dims``): ``_n0 .. _n{n-1}``."""
+    aggs = [F.count(F.col(f"_t{k}")).alias(f"_n{k}") for k in range(n)]
+    return times.groupBy(*dims).agg(*aggs) if dims else times.agg(*aggs)
 
 
 def _step_rows(counts: DataFrame, labels: Sequence[str], first_stage: str) -> DataFrame:
@@ -212,8 +226,9 @@ def ordered_funnel(
 ) -> DataFrame:
     """Statement 10: ordered session funnel, one row per stage."""
     labels = _check_stages(stages, labels)
-    frames = ordered_session_frames(source, period, stages, None, skew_policy)
-    return _step_rows(_stage_counts(frames, []), labels, stages[0]).orderBy("step_number")
+    times = ordered_stage_times(source, period, stages, None, skew_policy)
+    counts = _stage_counts(times, len(stages), [])
+    return _step_rows(counts, labels, stages[0]).orderBy("step_number")
 
 
 def funnel_dropoff(
@@ -225,8 +240,8 @@ def funnel_dropoff(
 ) -> DataFrame:
     """Statement 06: sessions lost between consecutive ordered stages."""
     labels = _check_stages(stages, labels)
-    frames = ordered_session_frames(source, period, stages, None, skew_policy)
-    counts = _stage_counts(frames, [])
+    times = ordered_stage_times(source, period, stages, None, skew_policy)
+    counts = _stage_counts(times, len(stages), [])
     rows = []
     for k in range(len(stages) - 1):
         start, cont = F.col(f"_n{k}"), F.col(f"_n{k + 1}")
@@ -281,10 +296,10 @@ def funnel_by_device(
     """
     _check_stages(stages, None)
     dev = "_device"
-    frames = ordered_session_frames(
+    times = ordered_stage_times(
         source, period, stages, {dev: (F.col("device.category"), True)}, skew_policy
     )
-    counts = _stage_counts(frames, [dev])
+    counts = _stage_counts(times, len(stages), [dev])
     out = counts.select(
         F.coalesce(F.col(dev), F.lit(UNKNOWN_DEVICE)).alias("device_category"),
         *_segment_columns(stages),
@@ -313,8 +328,8 @@ def funnel_by_first_source(
         F.coalesce(F.col("traffic_source.source"), F.lit(DIRECT_SOURCE)).alias("source"),
         F.coalesce(F.col("traffic_source.medium"), F.lit(NONE_MEDIUM)).alias("medium"),
     )
-    frames = ordered_session_frames(source, period, stages, {acq: (pair, False)}, skew_policy)
-    counts = _stage_counts(frames, [acq])
+    times = ordered_stage_times(source, period, stages, {acq: (pair, False)}, skew_policy)
+    counts = _stage_counts(times, len(stages), [acq])
     out = counts.select(
         F.col(acq)["source"].alias("first_user_source"),
         F.col(acq)["medium"].alias("first_user_medium"),

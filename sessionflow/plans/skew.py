@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 SPLITS = "_splits"
 
-DEFAULT_ROWS_PER_SPLIT = 2_000_000
+DEFAULT_ROWS_PER_SPLIT = 250_000
 DEFAULT_MAX_SPLITS = 256
 DEFAULT_MAX_KEYS = 20_000
 
