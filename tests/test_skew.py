@@ -1,0 +1,52 @@
+"""Hot-session splitting: results equal the unsplit plan; bounds hold."""
+
+from __future__ import annotations
+
+import pytest
+
+from sessionflow.operators import funnel
+from sessionflow.plans import skew
+from sessionflow.sources.fixture import FIXTURE_OFFICIAL, DerivedEventSource
+from tests.conftest import SF_MID
+from tests.events import ev, frame
+
+FORCED = funnel.SkewPolicy(rows_per_split=2, max_splits=5, max_keys=1_000_000)
+
+
+@pytest.fixture(scope="module")
+def src(spark):
+    return DerivedEventSource(spark, SF_MID)
+
+
+@pytest.mark.parametrize(
+    "fn", [funnel.ordered_funnel, funnel.funnel_by_device, funnel.funnel_by_first_source,
+           funnel.funnel_dropoff]
+)
+def test_split_sessions_same_result(src, fn):
+    plain = sorted(map(tuple, fn(src, FIXTURE_OFFICIAL).collect()))
+    split = sorted(map(tuple, fn(src, FIXTURE_OFFICIAL, skew_policy=FORCED).collect()))
+    assert plain == split
+
+
+def test_one_huge_session_is_split(spark):
+    # one session holds most rows; its chain crosses splits
+    rows = [ev("view_item", t, "bot", 1) for t in range(10, 400)]
+    rows += [ev("add_to_cart", 5, "bot", 1), ev("add_to_cart", 401, "bot", 1)]
+    rows += [ev("begin_checkout", 402, "bot", 1), ev("purchase", 402, "bot", 1)]
+    rows += [ev("view_item", 1, "u", 2), ev("add_to_cart", 2, "u", 2)]
+    df = frame(spark, rows)
+    pol = funnel.SkewPolicy(rows_per_split=50, max_splits=8)
+    hot = skew.hot_keys(funnel.stage_events(df, None, funnel.CORE_STAGES), funnel.KEYS, 50, 8)
+    assert [(r.user_pseudo_id, r._splits) for r in hot.collect()] == [("bot", 8)]
+    for policy in (pol, funnel.SkewPolicy(enabled=False)):
+        steps = funnel.ordered_funnel(df, None, skew_policy=policy).orderBy("step_number")
+        assert [r.sessions for r in steps.collect()] == [2, 2, 1, 0]
+
+
+def test_hot_key_table_is_bounded(spark):
+    rows = [ev("view_item", t, f"u{u}", 1) for u in range(6) for t in range(u + 3)]
+    hot = skew.hot_keys(funnel.stage_events(frame(spark, rows), None, ["view_item", "purchase"]),
+                        funnel.KEYS, rows_per_split=2, max_splits=3, max_keys=4)
+    got = [(r.user_pseudo_id, r._splits) for r in hot.collect()]
+    # the four largest sessions, most rows first; splits capped at 3
+    assert got == [("u5", 3), ("u4", 3), ("u3", 3), ("u2", 3)]
