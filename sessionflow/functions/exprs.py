@@ -11,11 +11,15 @@ from ..schema import NOT_SET, SESSION_PARAM
 def param_int(key: str, params: str = "event_params") -> Column:
     """``(SELECT value.int_value FROM UNNEST(event_params) WHERE key = k)``.
 
-    A higher-order ``filter`` over the row's own array: no explode, no join,
-    no shuffle. Null when the key is absent; the first entry when repeated.
+    Position of the first matching key in ``event_params.key``, then that
+    element of ``event_params.value.int_value``: row-local (no explode, no
+    join, no shuffle), null when the key is absent, the first entry when
+    repeated. Written with field-of-array extractions rather than a lambda
+    over the structs so Parquet nested pruning reads only the ``key`` and
+    ``int_value`` leaves, not the string / float / double value slots.
     """
-    hit = F.filter(F.col(params), lambda p: p["key"] == F.lit(key))
-    return F.get(hit, 0)["value"]["int_value"]
+    pos = F.array_position(F.col(f"{params}.key"), F.lit(key))  # 1-based, 0 = absent
+    return F.get(F.col(f"{params}.value.int_value"), pos - 1)
 
 
 def session_id() -> Column:

@@ -64,6 +64,7 @@ def test_partitioned_source_prunes_partitions(spark, stored):
     # nested pruning: only the columns the funnel reads
     schema = re.search(r"ReadSchema: (struct<[^ ]*)", text).group(1)
     assert "device" not in schema and "items" not in schema and "ecommerce" not in schema
+    assert "int_value" in schema and "string_value" not in schema and "double_value" not in schema
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
