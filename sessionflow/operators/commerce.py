@@ -49,55 +49,49 @@ def _order_candidates(pe: DataFrame) -> DataFrame:
 
 
 def purchase_quality(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) -> DataFrame:
-    """11.1: eleven counters about transaction ids and revenue in one row."""
+    """11.1: eleven counters about transaction ids and revenue in one row.
+
+    One scan and one aggregate chain: (keys, revenue) -> order candidate
+    (user, session, id) -> transaction id (order-level counters summed per
+    id, plus the id's order contexts) -> one row. Every level is a partial +
+    final aggregate, so a hot key collapses map-side; no join, no re-scan.
+    """
     cand = _order_candidates(purchase_events(source, period))
-    orders = cand.where(F.col(TXN).isNotNull())
     n = F.col("events_per_order")
+    rev = F.col("order_revenue")
+    per_txn = cand.groupBy(TXN).agg(
+        F.sum(n).alias("_events"),
+        F.sum("_no_rev").alias("_no_rev"),
+        F.count(F.lit(1)).alias("_orders"),
+        F.count_if(n > 1).alias("_dup"),
+        F.sum(n - 1).alias("_extra"),
+        F.count_if(rev.isNull()).alias("_missing"),
+        F.count_if(F.coalesce(rev, F.lit(0)) <= 0).alias("_nonpos"),
+        F.count_if(F.col("distinct_revenue_values") > 1).alias("_conflict"),
+        # order contexts: distinct (user, session) pairs with both keys present;
+        # the (keys, id) rows are already unique
+        F.count_if(F.col(USER).isNotNull() & F.col(SESSION).isNotNull()).alias("_contexts"),
+    )
+    has_id = F.col(TXN).isNotNull()
     zero = F.lit(0).cast("long")
-    event_and_order = cand.agg(
-        F.coalesce(F.sum(n).cast("long"), zero).alias("purchase_events"),
-        F.coalesce(F.sum(F.when(F.col(TXN).isNull(), n)).cast("long"), zero).alias(
-            "events_missing_transaction_id"
-        ),
-        F.coalesce(F.sum("_no_rev").cast("long"), zero).alias("events_missing_revenue"),
-        F.count_if(F.col(TXN).isNotNull()).alias("unique_orders"),
-        F.count_if(F.col(TXN).isNotNull() & (n > 1)).alias("orders_with_duplicate_events"),
-        F.sum(F.when(F.col(TXN).isNotNull(), n - 1)).cast("long").alias(
-            "extra_duplicate_purchase_events"
-        ),
-        F.count_if(F.col(TXN).isNotNull() & F.col("order_revenue").isNull()).alias(
-            "orders_missing_revenue"
-        ),
-        F.count_if(F.col(TXN).isNotNull() & (F.coalesce(F.col("order_revenue"), F.lit(0)) <= 0)).alias(
-            "orders_with_non_positive_revenue"
-        ),
-        F.count_if(F.col(TXN).isNotNull() & (F.col("distinct_revenue_values") > 1)).alias(
-            "orders_with_conflicting_revenue"
-        ),
-    )
-    # order contexts per transaction id: its distinct (user, session) pairs with
-    # both keys present; the (keys, txn) rows are already unique
-    contexts = orders.groupBy(TXN).agg(
-        F.count_if(F.col(USER).isNotNull() & F.col(SESSION).isNotNull()).alias("_contexts")
-    )
-    reuse = contexts.agg(
-        F.count(F.lit(1)).alias("unique_transaction_ids"),
-        F.count_if(F.col("_contexts") > 1).alias("reused_transaction_ids"),
-    )
-    # two one-row aggregates: the cross join is 1 x 1
-    out = event_and_order.crossJoin(reuse)
-    return out.select(
-        "purchase_events",
-        "events_missing_transaction_id",
-        "events_missing_revenue",
-        "unique_transaction_ids",
-        "reused_transaction_ids",
-        "unique_orders",
-        "orders_with_duplicate_events",
-        "extra_duplicate_purchase_events",
-        "orders_missing_revenue",
-        "orders_with_non_positive_revenue",
-        "orders_with_conflicting_revenue",
+
+    def total(c: str, when: Column | None = has_id) -> Column:
+        v = F.col(c) if when is None else F.when(when, F.col(c))
+        return F.coalesce(F.sum(v).cast("long"), zero)
+
+    return per_txn.agg(
+        total("_events", None).alias("purchase_events"),
+        total("_events", ~has_id).alias("events_missing_transaction_id"),
+        total("_no_rev", None).alias("events_missing_revenue"),
+        F.count_if(has_id).alias("unique_transaction_ids"),
+        F.count_if(has_id & (F.col("_contexts") > 1)).alias("reused_transaction_ids"),
+        total("_orders").alias("unique_orders"),
+        total("_dup").alias("orders_with_duplicate_events"),
+        # SUM over the orders: null when there is none, as in the reference
+        F.sum(F.when(has_id, F.col("_extra"))).cast("long").alias("extra_duplicate_purchase_events"),
+        total("_missing").alias("orders_missing_revenue"),
+        total("_nonpos").alias("orders_with_non_positive_revenue"),
+        total("_conflict").alias("orders_with_conflicting_revenue"),
     )
 
 
@@ -164,18 +158,28 @@ def _base_events(source: SourceLike, period: Period | None) -> DataFrame:
     )
 
 
-def _orders(base: DataFrame, *extra_keys: str) -> DataFrame:
-    return (
-        base.where((F.col("event_name") == "purchase") & F.col(TXN).isNotNull())
-        .groupBy(*extra_keys, *ORDER_KEYS)
-        .agg(F.max(REV).alias("order_revenue"))
-    )
-
+def _session_orders(base: DataFrame, *extra_keys: str) -> DataFrame:
+    """One row per (extra keys, user, session) with its orders and revenue.
 
-def _session_frame(base: DataFrame, *extra_keys: str) -> DataFrame:
-    """One row per (extra keys, user, session), nulls kept as groups."""
-    return base.groupBy(*extra_keys, USER, SESSION).agg(
-        F.min("event_date").alias("_first"), F.max("event_date").alias("_last")
+    First level: (extra keys, user, session, order id) where the order id is
+    the valid transaction id of purchase events and null otherwise, so a
+    session's non-order events fold into one row; an order's revenue is the
+    MAX of its events. Second level: per session, ``count(order id)`` orders
+    and the SUM of order revenues. Nulls stay group keys (as in the reference's
+    GROUP BY), and the traffic counts need no second scan or join.
+    """
+    order_id = F.when((F.col("event_name") == "purchase") & F.col(TXN).isNotNull(), F.col(TXN))
+    keyed = base.withColumn("_order", order_id)
+    per_order = keyed.groupBy(*extra_keys, USER, SESSION, "_order").agg(
+        F.min("event_date").alias("_first"),
+        F.max("event_date").alias("_last"),
+        F.max(F.when(F.col("_order").isNotNull(), F.col(REV))).alias("_order_revenue"),
+    )
+    return per_order.groupBy(*extra_keys, USER, SESSION).agg(
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        F.count("_order").alias("_orders"),
+        F.sum("_order_revenue").alias("_revenue"),
     )
 
 
@@ -187,19 +191,17 @@ def kpi_overview(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) ->
     """11.4: period, users, sessions, orders, revenue and the four ratios (one row).
 
     Revenue is null when there are no orders (so are AOV and the per-session
-    and per-user values).
+    and per-user values). One scan; per-order then per-session aggregates.
     """
-    base = _base_events(source, period)
-    traffic = _session_frame(base).agg(
+    sessions = _session_orders(_base_events(source, period))
+    kpi = sessions.agg(
         F.min("_first").alias("analysis_start_date"),
         F.max("_last").alias("analysis_end_date"),
         F.count_distinct(USER).alias("users"),
         F.count_if(_is_session()).alias("sessions"),
+        F.coalesce(F.sum("_orders"), F.lit(0)).cast("long").alias("orders"),
+        F.sum("_revenue").alias("_revenue"),
     )
-    orders = _orders(base).agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("order_revenue").alias("_revenue")
-    )
-    kpi = traffic.crossJoin(orders)  # 1 x 1
     rev = F.col("_revenue")
     return kpi.select(
         "analysis_start_date",
@@ -219,29 +221,24 @@ def kpi_daily(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) -> Da
     """11.5: the KPIs per day; days without orders show 0 orders and revenue.
 
     Orders are keyed by day too, so an order seen on two days counts on both
-    (daily sums may exceed the overall figures, as in the reference). The
-    per-day order summary has at most one row per day of ``period`` (a proven
-    bound), so it is broadcast into the join.
+    (daily sums may exceed the overall figures, as in the reference). A day
+    exists when it has events, exactly the rows of the reference's traffic
+    side, so the per-day aggregate replaces its left join.
     """
-    base = _base_events(source, period)
-    traffic = (
-        _session_frame(base, "event_date")
-        .groupBy("event_date")
-        .agg(F.count_distinct(USER).alias("users"), F.count_if(_is_session()).alias("sessions"))
-    )
-    daily_orders = _orders(base, "event_date").groupBy("event_date").agg(
-        F.count(F.lit(1)).alias("_orders"), F.sum("order_revenue").alias("_revenue")
+    sessions = _session_orders(_base_events(source, period), "event_date")
+    daily = sessions.groupBy("event_date").agg(
+        F.count_distinct(USER).alias("users"),
+        F.count_if(_is_session()).alias("sessions"),
+        F.sum("_orders").cast("long").alias("orders"),
+        F.sum("_revenue").alias("_revenue"),
     )
-    if period is not None:
-        daily_orders = F.broadcast(daily_orders)
-    j = traffic.join(daily_orders, "event_date", "left")
-    orders = F.coalesce(F.col("_orders"), F.lit(0).cast("long"))
+    orders = F.col("orders")
     rev = F.coalesce(F.col("_revenue"), F.lit(0.0))
-    return j.select(
+    return daily.select(
         "event_date",
         "users",
         "sessions",
-        orders.alias("orders"),
+        "orders",
         F.round(rev, 2).alias("revenue"),
         pct(orders, F.col("sessions")).alias("purchase_conversion_rate_pct"),
         ratio(rev, orders).alias("average_order_value"),

@@ -86,8 +86,10 @@ def stage_events(
     period: Period | None,
     stages: Sequence[str],
     attributes: dict[str, Column] | None = None,
+    require_user: bool = True,
 ) -> DataFrame:
-    """Valid stage events: (user, session, ``_stage``, ``_t``, attributes)."""
+    """Stage events with a session id (and a user unless ``require_user`` is
+    false): (user, session, ``_stage``, ``_t``, attributes)."""
     attributes = attributes or {}
     ev = as_source(source).scan(period, stages)
     ev = ev.select(
@@ -97,7 +99,10 @@ def stage_events(
         F.col("event_timestamp").alias(_T),
         *[c.alias(n) for n, c in attributes.items()],
     )
-    return ev.where(F.col(USER).isNotNull() & F.col(SESSION).isNotNull())
+    valid = F.col(SESSION).isNotNull()
+    if require_user:
+        valid = valid & F.col(USER).isNotNull()
+    return ev.where(valid)
 
 
 def _first_by_time_struct(value: Column, ignore_nulls: bool) -> Column:
@@ -116,9 +121,15 @@ def ordered_stage_times(
     stages: Sequence[str] = CORE_STAGES,
     attributes: dict[str, tuple[Column, bool]] | None = None,
     skew_policy: SkewPolicy = DEFAULT_SKEW,
+    require_user: bool = True,
+    presence: bool = False,
 ) -> DataFrame:
     """Per session that reached stage 0: ``_t0 .. _t{n-1}`` (null = not reached).
 
+    With ``presence``, also ``_p0 .. _p{n-1}``: the stage occurs anywhere in
+    the session. With ``require_user=False`` sessions with a null user are
+    kept (the presence funnel keeps them; the ordered funnel does not).
+
     ``attributes`` maps a name to ``(value, ignore_nulls)``: the value on the
     session's earliest stage-0 event (ties: smallest value).
 
@@ -136,7 +147,9 @@ def ordered_stage_times(
     n = len(stages)
     attributes = attributes or {}
     attr_names = list(attributes)
-    ev = stage_events(source, period, stages, {a: c for a, (c, _) in attributes.items()})
+    ev = stage_events(
+        source, period, stages, {a: c for a, (c, _) in attributes.items()}, require_user
+    )
 
     hot = None
     if skew_policy.enabled:
@@ -164,10 +177,12 @@ def ordered_stage_times(
         times = [F.col("_m0")]
         for k in range(1, n):
             times.append(_next_time(F.col(f"_a{k}"), times[-1]))
+        flags = [F.lit(True)] + [F.size(f"_a{k}") > 0 for k in range(1, n)]
         return splits.where(F.col("_m0").isNotNull()).select(
             *KEYS,
             *[F.col(a)["v"].alias(a) for a in attr_names],
             *[t.alias(f"_t{k}") for k, t in enumerate(times)],
+            *([f.alias(f"_p{k}") for k, f in enumerate(flags)] if presence else []),
         )
 
     # Split sessions: merge per session over its split rows (at most
@@ -181,12 +196,14 @@ def ordered_stage_times(
     for k in range(1, n):
         cand = _next_time(F.col(f"_a{k}"), F.col(f"_t{k - 1}"))
         cur = cur.withColumn(f"_t{k}", F.min(cand).over(w))
+    flags = [F.lit(True)] + [F.bool_or(F.size(f"_a{k}") > 0) for k in range(1, n)]
     return (
         cur.where(F.col("_t0").isNotNull())
         .groupBy(*KEYS)
         .agg(
             *[F.min(a)["v"].alias(a) for a in attr_names],
             *[F.min(f"_t{k}").alias(f"_t{k}") for k in range(n)],
+            *([f.alias(f"_p{k}") for k, f in enumerate(flags)] if presence else []),
         )
     )
 
@@ -383,30 +400,37 @@ def presence_vs_ordered(
     skew_policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """C1: presence and ordered sessions per stage and the sessions excluded by
-    the ordering rule, with both conversion rates from the first stage."""
+    the ordering rule, with both conversion rates from the first stage.
+
+    Both funnels come from one per-session frame (one scan, one event-level
+    shuffle): presence counts sessions with a session id whatever the user,
+    the ordered funnel only sessions with a user, as statements 05 and 10 do.
+    """
     labels = _check_stages(stages, labels)
-    first = f"conversion_from_{stages[0]}_pct"
-    pres = presence_funnel(source, period, stages, labels).select(
-        "step_number",
-        "funnel_step",
-        F.col("sessions").alias("presence_sessions"),
-        F.col(first).alias("presence_conversion_pct"),
-    )
-    ordr = ordered_funnel(source, period, stages, labels, skew_policy).select(
-        "step_number",
-        F.col("sessions").alias("ordered_sessions"),
-        F.col(first).alias("ordered_conversion_pct"),
+    n = len(stages)
+    times = ordered_stage_times(
+        source, period, stages, None, skew_policy, require_user=False, presence=True
     )
-    # both sides have exactly len(stages) rows: a proven bound, so broadcast
-    out = pres.join(F.broadcast(ordr), "step_number")
-    return out.select(
-        "step_number",
-        "funnel_step",
-        "presence_sessions",
-        "ordered_sessions",
-        (F.col("presence_sessions") - F.col("ordered_sessions")).alias(
-            "sessions_excluded_by_ordering"
-        ),
-        "presence_conversion_pct",
-        "ordered_conversion_pct",
-    ).orderBy("step_number")
+    has_user = F.col(USER).isNotNull()
+    aggs = []
+    for k in range(n):
+        prefix = reduce(lambda a, b: a & b, [F.col(f"_p{i}") for i in range(k + 1)])
+        aggs.append(F.count_if(prefix).alias(f"_pres{k}"))
+        aggs.append(F.count_if(has_user & F.col(f"_t{k}").isNotNull()).alias(f"_ord{k}"))
+    counts = times.agg(*aggs)
+    hundred = F.lit(100.00).cast("double")
+    rows = []
+    for k, label in enumerate(labels):
+        p, o = F.col(f"_pres{k}"), F.col(f"_ord{k}")
+        rows.append(
+            [
+                ("step_number", F.lit(k + 1)),
+                ("funnel_step", F.lit(label)),
+                ("presence_sessions", p),
+                ("ordered_sessions", o),
+                ("sessions_excluded_by_ordering", p - o),
+                ("presence_conversion_pct", hundred if k == 0 else pct(p, F.col("_pres0"))),
+                ("ordered_conversion_pct", hundred if k == 0 else pct(o, F.col("_ord0"))),
+            ]
+        )
+    return rows_from_one(counts, rows).orderBy("step_number")

@@ -18,6 +18,7 @@ A session (or any key) may hold a large share of all rows. The pattern:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +54,16 @@ def hot_keys(
     return F.broadcast(hot)
 
 
+def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on the keys with null-safe equality (a null key can be hot)."""
+    h = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], SPLITS)
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return df.join(h, cond, "left").drop(*[f"_hot_{k}" for k in keys])
+
+
 def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[Column]) -> DataFrame:
     """Attach ``_salt``; ``spread`` are row columns that vary inside a key."""
-    j = df.join(hot, list(keys), "left")
+    j = _join_hot(df, hot, keys)
     salt = F.when(
         F.col(SPLITS).isNull(), F.lit(0)
     ).otherwise(F.pmod(F.xxhash64(*spread), F.col(SPLITS).cast("long")).cast("int"))
@@ -64,6 +72,6 @@ def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequenc
 
 def over_salts(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replicate each key's rows to all of its splits (``_salt`` 0..n-1)."""
-    j = df.join(hot, list(keys), "left")
+    j = _join_hot(df, hot, keys)
     n = F.coalesce(F.col(SPLITS), F.lit(1))
     return j.withColumn(SALT, F.explode(F.sequence(F.lit(0), n - 1))).drop(SPLITS)

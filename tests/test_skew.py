@@ -20,7 +20,7 @@ def src(spark):
 
 @pytest.mark.parametrize(
     "fn", [funnel.ordered_funnel, funnel.funnel_by_device, funnel.funnel_by_first_source,
-           funnel.funnel_dropoff]
+           funnel.funnel_dropoff, funnel.presence_vs_ordered]
 )
 def test_split_sessions_same_result(src, fn):
     plain = sorted(map(tuple, fn(src, FIXTURE_OFFICIAL).collect()))
@@ -50,3 +50,18 @@ def test_hot_key_table_is_bounded(spark):
     got = [(r.user_pseudo_id, r._splits) for r in hot.collect()]
     # the four largest sessions, most rows first; splits capped at 3
     assert got == [("u5", 3), ("u4", 3), ("u3", 3), ("u2", 3)]
+
+
+def test_null_user_hot_session_is_split_for_presence(spark):
+    # a large group of events without a user but with a session id
+    rows = [ev("view_item", t, None, 7) for t in range(200)]
+    rows += [ev("add_to_cart", 300, None, 7), ev("view_item", 1, "u", 1)]
+    df = frame(spark, rows)
+    pol = funnel.SkewPolicy(rows_per_split=20, max_splits=4)
+    ev_ = funnel.stage_events(df, None, funnel.CORE_STAGES, require_user=False)
+    hot = skew.hot_keys(ev_, funnel.KEYS, 20, 4).collect()
+    assert [(r.user_pseudo_id, r.ga_session_id) for r in hot] == [(None, 7)]
+    for policy in (pol, funnel.SkewPolicy(enabled=False)):
+        out = funnel.presence_vs_ordered(df, None, skew_policy=policy).orderBy("step_number")
+        got = [(r.presence_sessions, r.ordered_sessions) for r in out.collect()]
+        assert got == [(2, 1), (1, 0), (0, 0), (0, 0)]
