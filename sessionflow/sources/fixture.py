@@ -58,110 +58,103 @@ RARE_SOURCE_MOD, RARE_SOURCE_REM = 50, 7
 NATION_COUNT = 25  # country = nation.n_name of n_nationkey = user_id % 25
 
 
-def _case(key: Column, values: Sequence[str | None]) -> Column:
-    out = None
-    for i, v in enumerate(values):
-        if v is None:
-            continue
-        out = (F.when(key == i, F.lit(v)) if out is None else out.when(key == i, F.lit(v)))
-    return out.otherwise(F.lit(None).cast("string"))
-
-
-def _param(key: str, int_value: Column) -> Column:
-    return F.struct(
-        F.lit(key).alias("key"),
-        F.struct(
-            F.lit(None).cast("string").alias("string_value"),
-            int_value.cast("long").alias("int_value"),
-            F.lit(None).cast("double").alias("float_value"),
-            F.lit(None).cast("double").alias("double_value"),
-        ).alias("value"),
+def _sql_str(v: str | None) -> str:
+    return "CAST(NULL AS STRING)" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def _sql_case(key: str, values: Sequence[str | None]) -> str:
+    arms = " ".join(f"WHEN {i} THEN {_sql_str(v)}" for i, v in enumerate(values) if v is not None)
+    return f"CASE {key} {arms} ELSE CAST(NULL AS STRING) END"
+
+
+def _param_sql(key: str, int_value: str) -> str:
+    return (
+        f"named_struct('key', '{key}', 'value', named_struct("
+        "'string_value', CAST(NULL AS STRING), "
+        f"'int_value', CAST({int_value} AS BIGINT), "
+        "'float_value', CAST(NULL AS DOUBLE), 'double_value', CAST(NULL AS DOUBLE)))"
     )
 
 
-def derive_events(events: DataFrame, nation: DataFrame) -> DataFrame:
-    """Map the flat click log onto the nested event layout (narrow, no shuffle).
+def _derivation_sql() -> list[str]:
+    """The mapping as SQL expressions over (events, nation) columns.
 
-    ``nation`` is a 25-row dimension; the join is left to the planner, which
-    broadcasts it while its size is under the broadcast threshold and falls
-    back to a shuffle join otherwise.
+    Written as expression text and parsed once on the JVM (``selectExpr``):
+    building the same tree through Python ``Column`` calls costs hundreds of
+    driver round trips per query.
     """
-    ts = F.col("ts")
-    eid = F.col("event_id")
-    uid = F.col("user_id")
-    day = F.to_date(ts)  # timestamp_ntz -> date: no time-zone dependence
-    day_no = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long")
-    hour_no = day_no * 24 + F.hour(ts)
-    session_no = F.floor(day_no / SESSION_DAYS)
-    is_purchase = F.col("event_type") == "purchase"
-
-    name = F.col("event_type")
-    mapped = None
+    day = "CAST(ts AS DATE)"
+    day_no = f"CAST(datediff({day}, DATE'1970-01-01') AS BIGINT)"
+    hour_no = f"({day_no} * 24 + hour(ts))"
+    session_no = f"CAST(floor({day_no} / {SESSION_DAYS}) AS BIGINT)"
+    arms = []
     for raw, ga in NAME_OF_TYPE.items():
-        value = F.lit(ga)
+        value = f"'{ga}'"
         if raw == "click":
-            broken = (F.dayofmonth(day) % 2 == 0) & (
-                day <= F.lit(LAST_BROKEN_CART_DAY).cast("date")
+            value = (
+                f"CASE WHEN dayofmonth({day}) % 2 = 0 AND {day} <= DATE'{LAST_BROKEN_CART_DAY}' "
+                f"THEN 'page_view' ELSE {value} END"
             )
-            value = F.when(broken, F.lit("page_view")).otherwise(value)
-        cond = name == raw
-        mapped = F.when(cond, value) if mapped is None else mapped.when(cond, value)
-    event_name = mapped.otherwise(name)
-
-    session_absent = eid % MISSING_SESSION_MOD == 0
-    k_value = F.get_json_object(F.col("props"), "$.k").try_cast("long")
-    params = F.when(session_absent, F.array(_param("k", k_value))).otherwise(
-        F.array(_param("k", k_value), _param(SESSION_PARAM, session_no))
+        arms.append(f"WHEN '{raw}' THEN {value}")
+    event_name = f"CASE event_type {' '.join(arms)} ELSE event_type END"
+    k_value = "try_cast(get_json_object(props, '$.k') AS BIGINT)"
+    params = (
+        f"CASE WHEN event_id % {MISSING_SESSION_MOD} = 0 THEN array({_param_sql('k', k_value)}) "
+        f"ELSE array({_param_sql('k', k_value)}, {_param_sql(SESSION_PARAM, session_no)}) END"
     )
-
-    source = F.when(
-        uid % RARE_SOURCE_MOD == RARE_SOURCE_REM, F.lit(RARE_SOURCE)
-    ).otherwise(_case(uid % 5, SOURCE_BY_MOD5))
-    medium = _case(uid % 5, MEDIUM_BY_MOD5)
-
+    source = (
+        f"CASE WHEN user_id % {RARE_SOURCE_MOD} = {RARE_SOURCE_REM} THEN '{RARE_SOURCE}' "
+        f"ELSE {_sql_case('user_id % 5', SOURCE_BY_MOD5)} END"
+    )
+    medium = _sql_case("user_id % 5", MEDIUM_BY_MOD5)
     txn = (
-        F.when(~is_purchase, F.lit(None).cast("string"))
-        .when(eid % NOT_SET_TXN_MOD == 0, F.lit(NOT_SET))
-        .when(eid % NULL_TXN_MOD == 0, F.lit(None).cast("string"))
-        .when(
-            eid % REUSED_TXN_MOD == 0,
-            F.concat(F.lit("R"), (eid % REUSED_TXN_RANGE).cast("string")),
-        )
-        .otherwise(
-            F.concat(F.lit("T"), uid.cast("string"), F.lit("-"), session_no.cast("string"))
-        )
+        "CASE WHEN event_type <> 'purchase' THEN CAST(NULL AS STRING) "
+        f"WHEN event_id % {NOT_SET_TXN_MOD} = 0 THEN '{NOT_SET}' "
+        f"WHEN event_id % {NULL_TXN_MOD} = 0 THEN CAST(NULL AS STRING) "
+        f"WHEN event_id % {REUSED_TXN_MOD} = 0 "
+        f"THEN concat('R', CAST(event_id % {REUSED_TXN_RANGE} AS STRING)) "
+        f"ELSE concat('T', CAST(user_id AS STRING), '-', CAST({session_no} AS STRING)) END"
     )
-    revenue = F.when(
-        is_purchase & (eid % MISSING_REVENUE_MOD != 0),
-        (F.floor(F.col("value") / REVENUE_STEP) * REVENUE_STEP).cast("double"),
+    revenue = (
+        f"CASE WHEN event_type = 'purchase' AND event_id % {MISSING_REVENUE_MOD} <> 0 "
+        f"THEN CAST(floor(value / {REVENUE_STEP}) * {REVENUE_STEP} AS DOUBLE) END"
     )
-    n_items = F.when(eid % NULL_ITEMS_MOD != 0, (eid % NULL_ITEMS_MOD - 1).cast("int"))
-    item = F.struct(
-        F.concat(F.lit("SKU-"), eid.cast("string")).alias("item_id"),
-        F.lit(None).cast("string").alias("item_name"),
+    items = (
+        f"CASE WHEN event_id % {NULL_ITEMS_MOD} <> 0 THEN array_repeat(named_struct("
+        "'item_id', concat('SKU-', CAST(event_id AS STRING)), 'item_name', CAST(NULL AS STRING)), "
+        f"CAST(event_id % {NULL_ITEMS_MOD} - 1 AS INT)) END"
     )
-    items = F.when(n_items.isNotNull(), F.array_repeat(item, n_items))
+    device = _sql_case(f"(user_id + {hour_no}) % 4", DEVICE_BY_MOD4)
+    suffix = f"date_format({day}, 'yyyyMMdd')"
+    return [
+        f"{suffix} AS event_date",
+        f"{hour_no} * 3600000000 AS event_timestamp",
+        f"{event_name} AS event_name",
+        f"CASE WHEN event_id % {MISSING_USER_MOD} <> 0 THEN CAST(user_id AS STRING) END "
+        "AS user_pseudo_id",
+        f"{params} AS event_params",
+        f"named_struct('category', {device}) AS device",
+        "named_struct('country', _country) AS geo",
+        f"named_struct('source', {source}, 'medium', {medium}) AS traffic_source",
+        f"named_struct('transaction_id', {txn}, 'purchase_revenue', {revenue}) AS ecommerce",
+        f"{items} AS items",
+        f"{suffix} AS table_suffix",
+    ]
+
+
+_DERIVATION = _derivation_sql()
 
-    suffix = F.date_format(day, "yyyyMMdd")
-    dim = nation.select(
-        F.col("n_nationkey").cast("long").alias("_nation_key"), F.col("n_name").alias("_country")
-    )
-    joined = events.join(dim, (uid % NATION_COUNT) == F.col("_nation_key"), "left")
-    return joined.select(
-        suffix.alias("event_date"),
-        (hour_no * 3_600_000_000).alias("event_timestamp"),
-        event_name.alias("event_name"),
-        F.when(eid % MISSING_USER_MOD != 0, uid.cast("string")).alias("user_pseudo_id"),
-        params.alias("event_params"),
-        F.struct(_case((uid + hour_no) % 4, DEVICE_BY_MOD4).alias("category")).alias("device"),
-        F.struct(F.col("_country").alias("country")).alias("geo"),
-        F.struct(source.alias("source"), medium.alias("medium")).alias("traffic_source"),
-        F.struct(txn.alias("transaction_id"), revenue.alias("purchase_revenue")).alias(
-            "ecommerce"
-        ),
-        items.alias("items"),
-        suffix.alias("table_suffix"),
-    )
+
+def derive_events(events: DataFrame, nation: DataFrame) -> DataFrame:
+    """Map the flat click log onto the nested event layout (narrow, no shuffle).
+
+    ``nation`` is a 25-row dimension; the join is left to the planner, which
+    broadcasts it while its size is under the broadcast threshold and falls
+    back to a shuffle join otherwise.
+    """
+    dim = nation.selectExpr("CAST(n_nationkey AS BIGINT) AS _nation_key", "n_name AS _country")
+    joined = events.join(dim, (F.col("user_id") % NATION_COUNT) == F.col("_nation_key"), "left")
+    return joined.selectExpr(*_DERIVATION)
 
 
 def _raw_types(names: Sequence[str]) -> list[str]:
@@ -182,6 +175,15 @@ def _ts_literal(suffix: str, plus_days: int = 0) -> Column:
     return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
+# Column types of the flat test tables (read with an explicit schema: no
+# footer inference per query).
+RAW_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
+
+
 class DerivedEventSource:
     """Event source over ``{sf_dir}/events.parquet`` and ``{sf_dir}/nation.parquet``."""
 
@@ -190,7 +192,7 @@ class DerivedEventSource:
         self.sf_dir = sf_dir.rstrip("/")
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def table(self) -> DataFrame:
         return derive_events(self._read("events"), self._read("nation"))
