@@ -41,6 +41,23 @@ def _norm(v):
     return v
 
 
+# Spark simple type name -> DuckDB type name
+_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+    "array<double>": "DOUBLE[]",
+}
+
+
+def _spark_types(sdf) -> dict[str, str]:
+    return {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+
+
 def _rows(cols: list[str], rows) -> list[tuple]:
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
@@ -62,6 +79,11 @@ def compare_one(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict
     d_rows = rel.fetchall()
     res["oracle_rows"] = len(d_rows)
     res["columns_match"] = sorted(s_cols) == sorted(d_cols)
+    d_types = {c: str(t) for c, t in zip(d_cols, rel.types)}
+    s_types = _spark_types(sdf)
+    res["types_match"] = s_types == d_types
+    if not res["types_match"]:
+        res["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in d_types if s_types.get(c) != d_types.get(c)}
     res["match"] = res["columns_match"] and _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
     if not res["match"]:
         res["spark_cols"], res["oracle_cols"] = s_cols, d_cols

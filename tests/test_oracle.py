@@ -22,13 +22,13 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", NAMES)
 def test_small(spark, duck_small, name):
     r = compare_one(spark, duck_small, name, entry.queries()[name], entry.oracle_sql()[name], SF_SMALL)
-    assert r["match"], r
+    assert r["match"] and r["types_match"], r
 
 
 @pytest.mark.parametrize("name", MID)
 def test_mid(spark, duck_mid, name):
     r = compare_one(spark, duck_mid, name, entry.queries()[name], entry.oracle_sql()[name], SF_MID)
-    assert r["match"], r
+    assert r["match"] and r["types_match"], r
 
 
 def test_entry_schema(spark):
@@ -43,3 +43,14 @@ def test_entry_schema(spark):
     rows = df.collect()
     # published relation for the fixture: 80, 37, 13, 2 ordered sessions
     assert [r.sessions for r in rows] == [80, 37, 13, 2]
+
+
+@pytest.mark.parametrize("tz", ["America/Los_Angeles", "Asia/Kolkata"])
+def test_results_do_not_depend_on_session_time_zone(spark, duck_small, tz):
+    spark.conf.set("spark.sql.session.timeZone", tz)
+    try:
+        for name in ("sample_event_records", "anomalous_purchase_events", "kpi_daily", "reliable_period"):
+            r = compare_one(spark, duck_small, name, entry.queries()[name], entry.oracle_sql()[name], SF_SMALL)
+            assert r["match"], (tz, r)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
