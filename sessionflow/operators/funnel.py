@@ -25,6 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import pct, session_id
 from ..plans import skew
@@ -297,6 +298,47 @@ def _segment_columns(stages: Sequence[str]) -> list[Column]:
     return cols
 
 
+def funnel_by_segment(
+    source: SourceLike,
+    period: Period | None,
+    segment: Column,
+    *,
+    name: str = "segment",
+    ignore_nulls: bool = True,
+    null_label: str | None = None,
+    stages: Sequence[str] = CORE_STAGES,
+    min_sessions: int = 0,
+    top: int | None = None,
+    skew_policy: SkewPolicy = DEFAULT_SKEW,
+) -> DataFrame:
+    """Ordered funnel per session segment.
+
+    A session's segment is the value of ``segment`` on its earliest stage-0
+    event (the earliest non-null one with ``ignore_nulls``; ties: the smallest
+    value). A struct segment yields one output column per field; a scalar one
+    the column ``name``, with nulls shown as ``null_label`` *after* grouping
+    (so a null and a literal label stay separate rows). Groups with fewer than
+    ``min_sessions`` stage-0 sessions are dropped; the ``top`` largest are
+    returned (ties: segment columns ascending).
+    """
+    _check_stages(stages, None)
+    seg = "_segment"
+    times = ordered_stage_times(source, period, stages, {seg: (segment, ignore_nulls)}, skew_policy)
+    counts = _stage_counts(times, len(stages), [seg])
+    seg_type = counts.schema[seg].dataType
+    if isinstance(seg_type, StructType):
+        seg_cols = [F.col(seg)[f.name].alias(f.name) for f in seg_type.fields]
+        names = [f.name for f in seg_type.fields]
+    else:
+        value = F.col(seg) if null_label is None else F.coalesce(F.col(seg), F.lit(null_label))
+        seg_cols, names = [value.alias(name)], [name]
+    out = counts.select(*seg_cols, *_segment_columns(stages))
+    if min_sessions > 0:
+        out = out.where(F.col(f"{stages[0]}_sessions") >= min_sessions)
+    out = out.orderBy(F.col(f"{stages[0]}_sessions").desc(), *names)
+    return out.limit(top) if top is not None else out
+
+
 def funnel_by_device(
     source: SourceLike,
     period: Period | None = OFFICIAL_PERIOD,
@@ -311,17 +353,16 @@ def funnel_by_device(
     ``unknown`` is applied after, so a null device and a literal ``unknown``
     stay two rows, as in the reference.
     """
-    _check_stages(stages, None)
-    dev = "_device"
-    times = ordered_stage_times(
-        source, period, stages, {dev: (F.col("device.category"), True)}, skew_policy
-    )
-    counts = _stage_counts(times, len(stages), [dev])
-    out = counts.select(
-        F.coalesce(F.col(dev), F.lit(UNKNOWN_DEVICE)).alias("device_category"),
-        *_segment_columns(stages),
+    return funnel_by_segment(
+        source,
+        period,
+        F.col("device.category"),
+        name="device_category",
+        ignore_nulls=True,
+        null_label=UNKNOWN_DEVICE,
+        stages=stages,
+        skew_policy=skew_policy,
     )
-    return out.orderBy(F.col(f"{stages[0]}_sessions").desc(), "device_category")
 
 
 def funnel_by_first_source(
@@ -339,23 +380,24 @@ def funnel_by_first_source(
     smallest pair). Groups with fewer than ``min_sessions`` stage-0 sessions
     are dropped; the ``top`` largest are returned (ties: source, medium).
     """
-    _check_stages(stages, None)
-    acq = "_acq"
     pair = F.struct(
-        F.coalesce(F.col("traffic_source.source"), F.lit(DIRECT_SOURCE)).alias("source"),
-        F.coalesce(F.col("traffic_source.medium"), F.lit(NONE_MEDIUM)).alias("medium"),
+        F.coalesce(F.col("traffic_source.source"), F.lit(DIRECT_SOURCE)).alias(
+            "first_user_source"
+        ),
+        F.coalesce(F.col("traffic_source.medium"), F.lit(NONE_MEDIUM)).alias(
+            "first_user_medium"
+        ),
     )
-    times = ordered_stage_times(source, period, stages, {acq: (pair, False)}, skew_policy)
-    counts = _stage_counts(times, len(stages), [acq])
-    out = counts.select(
-        F.col(acq)["source"].alias("first_user_source"),
-        F.col(acq)["medium"].alias("first_user_medium"),
-        *_segment_columns(stages),
-    ).where(F.col(f"{stages[0]}_sessions") >= min_sessions)
-    out = out.orderBy(
-        F.col(f"{stages[0]}_sessions").desc(), "first_user_source", "first_user_medium"
+    return funnel_by_segment(
+        source,
+        period,
+        pair,
+        ignore_nulls=False,
+        stages=stages,
+        min_sessions=min_sessions,
+        top=top,
+        skew_policy=skew_policy,
     )
-    return out.limit(top) if top is not None else out
 
 
 def presence_counts(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import event_day, pct, safe_div, session_id
-from ..schema import CORE_STAGES, OFFICIAL_PERIOD, REVIEW_PERIOD, Period
+from ..schema import CORE_STAGES, OFFICIAL_PERIOD, REVIEW_PERIOD, SESSION_PARAM, Period
 from ..sources.base import SourceLike, as_source
 
 
@@ -78,3 +78,44 @@ def missing_session_id(
         missing.alias("events_missing_session_id"),
         pct(missing, F.count(F.lit(1))).alias("missing_session_id_pct"),
     )
+
+
+def official_period(
+    source: SourceLike,
+    review: Period = REVIEW_PERIOD,
+    watched: str = "add_to_cart",
+    base: str = "view_item",
+) -> Period | None:
+    """The analysis period from 09.2's candidate reliable start date to the end
+    of ``review``; ``review`` itself when no day lacks ``watched``; None when
+    the last day of ``review`` lacks it (no reliable day is left).
+
+    Brings one aggregated row to the driver; the result is a parameter for
+    the other operators.
+    """
+    row = reliable_period(source, review, watched, base).first()
+    start = row.candidate_reliable_start_date if row is not None else None
+    if start is None:
+        return review
+    suffix = start.strftime("%Y%m%d")
+    if suffix > review.end:
+        return None
+    return Period(max(suffix, review.start), review.end)
+
+
+def repeated_param_keys(
+    source: SourceLike, period: Period | None = OFFICIAL_PERIOD, key: str = SESSION_PARAM
+) -> DataFrame:
+    """Events whose ``event_params`` hold ``key`` more than once.
+
+    The reference's scalar-subquery lookup fails on such rows; the lookup here
+    takes the first entry, and this check counts where that choice was made.
+    Reads only the ``event_params.key`` leaf.
+    """
+    keys = F.col("event_params.key")
+    n = F.coalesce(F.size(F.filter(keys, lambda k: k == F.lit(key))), F.lit(0))
+    ev = as_source(source).scan(period).select(n.alias("_n"))
+    return ev.agg(
+        F.count(F.lit(1)).alias("total_events"),
+        F.count_if(F.col("_n") > 1).alias("events_with_repeated_key"),
+    )

@@ -28,7 +28,7 @@ SPLITS = "_splits"
 
 DEFAULT_ROWS_PER_SPLIT = 250_000
 DEFAULT_MAX_SPLITS = 256
-DEFAULT_MAX_KEYS = 20_000
+DEFAULT_MAX_KEYS = 100_000
 
 
 def hot_keys(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionflow.operators import commerce, funnel, overview, quality
@@ -217,3 +218,35 @@ def test_custom_stages_and_labels(spark):
 def test_hour_scale_times(spark):
     rows = [ev(V, HOUR, "a", 1), ev(C, 2 * HOUR, "a", 1)]
     assert _counts(funnel.ordered_funnel(frame(spark, rows), None)) == [1, 1, 0, 0]
+
+
+def test_repeated_key_check_and_official_period(spark):
+    rows = [
+        ev(P, 1, "a", params=[("ga_session_id", 5), ("ga_session_id", 6)]),
+        ev(C, 2, "a", 1),
+        ev(V, 3, "a", 1, day="20240101"),
+        ev("page_view", 4, "a", 1, day="20240102"),
+        ev(C, 5, "a", 1, day="20240103"),
+    ]
+    df = frame(spark, rows)
+    r = quality.repeated_param_keys(df, None).first()
+    assert (r.total_events, r.events_with_repeated_key) == (5, 1)
+    # 2024-01-01 and 2024-01-02 have no add_to_cart: the period starts on the 3rd
+    got = quality.official_period(df, Period("20240101", "20240110"))
+    assert (got.start, got.end) == ("20240103", "20240110")
+    # the last day lacks add_to_cart: no reliable day is left
+    assert quality.official_period(df, Period("20240101", "20240102")) is None
+    # no zero day: the review period itself
+    got = quality.official_period(df, Period("20240103", "20240110"))
+    assert (got.start, got.end) == ("20240103", "20240110")
+
+
+def test_segment_funnel_by_country(spark):
+    rows = [ev(V, 1, "a", 1, country="X"), ev(C, 2, "a", 1), ev(V, 1, "b", 1, country=None)]
+    out = funnel.funnel_by_segment(
+        frame(spark, rows), None, F.col("geo.country"), name="country", null_label="(unknown)"
+    ).collect()
+    assert sorted((r.country, r.view_item_sessions, r.add_to_cart_sessions) for r in out) == [
+        ("(unknown)", 1, 0),
+        ("X", 1, 1),
+    ]
