@@ -13,8 +13,9 @@ event-level shuffle on the session key, partial aggregation into per-session
 ``min`` / time sets, then the chain as a projection. The reference's range
 left-join chain (three sort-merge joins with fan-out) and a window per stage
 are both avoided. A session with very many events is split over several salts
-(see :mod:`sessionflow.plans.skew`) so no task holds it whole; when no session
-is that large (checked by one aggregate job) no salt is added at all.
+(see :mod:`sessionflow.plans.skew`) so no task holds it whole; when no user
+is that large (checked by one aggregate job over the user column) no salt is
+added at all.
 """
 
 from __future__ import annotations
@@ -140,9 +141,10 @@ def ordered_stage_times(
     greedy chain is then a projection,
     ``t_k = array_min(filter(times_k, x -> x > t_{k-1}))``, where a null
     ``t_{k-1}`` empties the filter and ends the chain. The sets are bounded:
-    a session above ``skew_policy.rows_per_split`` rows is split over several
-    salts, and only then are split rows merged per session (windows over
-    split-level rows, never event rows).
+    the events of a user with more than ``skew_policy.rows_per_split`` stage
+    events (a superset of the large sessions) are split over several salts,
+    and only then are split rows merged per session (windows over split-level
+    rows, never event rows).
     """
     stages = list(stages)
     n = len(stages)
@@ -154,16 +156,20 @@ def ordered_stage_times(
 
     hot = None
     if skew_policy.enabled:
+        # A session can only be hot if its user is: counting stage events per
+        # user reads one dictionary-encoded column (no event_params decoding),
+        # so the check costs a fraction of the funnel's own scan.
+        users = as_source(source).scan(period, stages).select(USER)
         hot = skew.hot_keys(
-            ev, KEYS, skew_policy.rows_per_split, skew_policy.max_splits, skew_policy.max_keys
+            users, [USER], skew_policy.rows_per_split, skew_policy.max_splits, skew_policy.max_keys
         )
-        if hot.isEmpty():  # one aggregate job decides whether any session is split
+        if hot.isEmpty():  # one aggregate job decides whether anything is split
             hot = None
     if hot is None:
         split_keys = list(KEYS)
     else:
         split_keys = [*KEYS, skew.SALT]
-        ev = skew.add_salt(ev, hot, KEYS, [F.col(_T), F.col(_STAGE)])
+        ev = skew.add_salt(ev, hot, [USER], [F.col(_T), F.col(_STAGE)])
 
     stage = F.col(_STAGE)
     aggs = [F.min(F.when(stage == 0, F.col(_T))).alias("_m0")]
