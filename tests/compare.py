@@ -25,19 +25,19 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _norm(v):
+def _norm(v, exact: bool = False):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else (v if exact else round(v, 6))
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, exact) for x in v)
     if hasattr(v, "tolist"):
-        return _norm(v.tolist())
+        return _norm(v.tolist(), exact)
     return v
 
 
@@ -58,9 +58,9 @@ def _spark_types(sdf) -> dict[str, str]:
     return {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
 
 
-def _rows(cols: list[str], rows) -> list[tuple]:
+def _rows(cols: list[str], rows, exact: bool = False) -> list[tuple]:
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    out = [tuple(_norm(r[i]) for i in order) for r in rows]
+    out = [tuple(_norm(r[i], exact) for i in order) for r in rows]
     return sorted(out, key=repr)
 
 
@@ -85,6 +85,9 @@ def compare_one(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict
     if not res["types_match"]:
         res["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in d_types if s_types.get(c) != d_types.get(c)}
     res["match"] = res["columns_match"] and _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
+    res["exact"] = res["columns_match"] and _rows(s_cols, s_rows, exact=True) == _rows(
+        d_cols, d_rows, exact=True
+    )
     if not res["match"]:
         res["spark_cols"], res["oracle_cols"] = s_cols, d_cols
         res["spark_sample"] = _rows(s_cols, s_rows)[:3]

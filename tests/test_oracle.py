@@ -22,13 +22,13 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", NAMES)
 def test_small(spark, duck_small, name):
     r = compare_one(spark, duck_small, name, entry.queries()[name], entry.oracle_sql()[name], SF_SMALL)
-    assert r["match"] and r["types_match"], r
+    assert r["match"] and r["exact"] and r["types_match"], r
 
 
 @pytest.mark.parametrize("name", MID)
 def test_mid(spark, duck_mid, name):
     r = compare_one(spark, duck_mid, name, entry.queries()[name], entry.oracle_sql()[name], SF_MID)
-    assert r["match"] and r["types_match"], r
+    assert r["match"] and r["exact"] and r["types_match"], r
 
 
 def test_entry_schema(spark):
