@@ -160,11 +160,12 @@ def ordered_stage_times(
         # user reads one dictionary-encoded column (no event_params decoding),
         # so the check costs a fraction of the funnel's own scan.
         users = as_source(source).scan(period, stages).select(USER)
-        hot = skew.hot_keys(
-            users, [USER], skew_policy.rows_per_split, skew_policy.max_splits, skew_policy.max_keys
-        )
-        if hot.isEmpty():  # one aggregate job decides whether anything is split
-            hot = None
+        # one aggregate job decides whether anything is split at all
+        if skew.any_hot(users, [USER], skew_policy.rows_per_split):
+            hot = skew.hot_keys(
+                users, [USER], skew_policy.rows_per_split, skew_policy.max_splits,
+                skew_policy.max_keys,
+            )
     if hot is None:
         split_keys = list(KEYS)
     else:

@@ -31,6 +31,13 @@ DEFAULT_MAX_SPLITS = 256
 DEFAULT_MAX_KEYS = 100_000
 
 
+def any_hot(df: DataFrame, keys: Sequence[str], rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> bool:
+    """Whether some key has more than ``rows_per_split`` rows (one small job:
+    partial + final count per key, stops at the first hit)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return not counts.where(F.col("_rows") > rows_per_split).isEmpty()
+
+
 def hot_keys(
     df: DataFrame,
     keys: Sequence[str],
