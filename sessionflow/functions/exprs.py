@@ -63,17 +63,3 @@ def pct(a: Column, b: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """``ROUND(SAFE_DIVIDE(a, b), 2)``."""
     return F.round(safe_div(a, b), 2)
-
-
-def first_by_time(value: Column, time: Column, ignore_nulls: bool = True) -> Column:
-    """Value of the earliest row (``ARRAY_AGG(x [IGNORE NULLS] ORDER BY t LIMIT 1)[0]``).
-
-    ``min(struct(t, x))``: an ordinary mergeable aggregate (partial + final,
-    so a hot group never gathers in one place), and ties on ``t`` resolve to
-    the smallest ``x`` instead of an arbitrary row. ``value`` may itself be a
-    struct, which keeps several attributes from the same row.
-    """
-    packed = F.struct(time.alias("t"), value.alias("v"))
-    if ignore_nulls:
-        packed = F.when(value.isNotNull(), packed)
-    return F.min(packed)["v"]

@@ -11,8 +11,8 @@ A session (or any key) may hold a large share of all rows. The pattern:
 2. ``add_salt``: every row gets ``_salt = pmod(xxhash64(spread), splits)``
    (``0`` for ordinary keys). The salt is a deterministic function of the
    row, so a recomputed task after an executor loss produces the same split.
-3. ``over_salts``: a per-key frame is replicated to every split of its key so
-   it can be equi-joined on (key, ``_salt``).
+3. The per-split results are merged per key (the funnel does it with windows
+   over split-level rows, at most ``max_splits`` per key).
 """
 
 from __future__ import annotations
@@ -75,10 +75,3 @@ def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequenc
         F.col(SPLITS).isNull(), F.lit(0)
     ).otherwise(F.pmod(F.xxhash64(*spread), F.col(SPLITS).cast("long")).cast("int"))
     return j.withColumn(SALT, salt).drop(SPLITS)
-
-
-def over_salts(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replicate each key's rows to all of its splits (``_salt`` 0..n-1)."""
-    j = _join_hot(df, hot, keys)
-    n = F.coalesce(F.col(SPLITS), F.lit(1))
-    return j.withColumn(SALT, F.explode(F.sequence(F.lit(0), n - 1))).drop(SPLITS)
