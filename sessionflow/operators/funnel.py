@@ -12,10 +12,9 @@ Physical plan of the ordered chain (``ordered_stage_times``): one scan, one
 event-level shuffle on the session key, partial aggregation into per-session
 ``min`` / time sets, then the chain as a projection. The reference's range
 left-join chain (three sort-merge joins with fan-out) and a window per stage
-are both avoided. A session with very many events is split over several salts
-(see :mod:`sessionflow.plans.skew`) so no task holds it whole; when no user
-is that large (checked by one aggregate job over the user column) no salt is
-added at all.
+are both avoided. Sessions above a size bound (found only when some user is
+that large) leave this plan for one made of broadcast joins and partial
+aggregates, so no task ever holds one of them whole.
 """
 
 from __future__ import annotations
@@ -40,19 +39,21 @@ from ..schema import (
     UNKNOWN_DEVICE,
     Period,
 )
+from ..session import ensure_checkpoint_dir
 from ..sources.base import SourceLike, as_source
 
 USER, SESSION = "user_pseudo_id", "ga_session_id"
 KEYS = (USER, SESSION)
-_STAGE, _T, _TP = "_stage", "_t", "_tp"
+_STAGE, _T = "_stage", "_t"
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a session counts as hot and how it is split (see plans.skew)."""
+    """Sessions above ``max_session_rows`` stage events leave the set-based
+    plan (at most ``max_keys`` of them, largest first); ``enabled=False``
+    skips the check (for data known to have no such session)."""
 
-    rows_per_split: int = skew.DEFAULT_ROWS_PER_SPLIT
-    max_splits: int = skew.DEFAULT_MAX_SPLITS
+    max_session_rows: int = skew.DEFAULT_MAX_SESSION_ROWS
     max_keys: int = skew.DEFAULT_MAX_KEYS
     enabled: bool = True
 
@@ -117,6 +118,72 @@ def _next_time(times: Column, prev: Column) -> Column:
     return F.array_min(F.filter(times, lambda x: x > prev))
 
 
+def _join_keyed(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join on the session key with null-safe equality (a null user is a key
+    value here); ``right`` is one row per session and bounded, so broadcast."""
+    r = right.select(*[F.col(c).alias(f"_r{c}") for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in KEYS])
+    j = left.join(F.broadcast(r), on, how).drop(*[f"_r{k}" for k in KEYS])
+    return j.select(*left.columns, *[F.col(f"_r{c}").alias(c) for c in right.columns if c not in KEYS])
+
+
+def _chain_by_sets(
+    ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]], presence: bool
+) -> DataFrame:
+    """The chain for sessions of bounded size: one shuffle on the session key,
+    per-session ``min`` of stage-0 times and the *set* of times of each later
+    stage, then ``t_k = array_min(filter(times_k, x -> x > t_{k-1}))`` as a
+    projection (a null ``t_{k-1}`` empties the filter and ends the chain)."""
+    stage = F.col(_STAGE)
+    aggs = [F.min(F.when(stage == 0, F.col(_T))).alias("_m0")]
+    aggs += [F.collect_set(F.when(stage == k, F.col(_T))).alias(f"_a{k}") for k in range(1, n)]
+    aggs += [
+        F.min(F.when(stage == 0, _first_by_time_struct(F.col(a), ign))).alias(a)
+        for a, (_, ign) in attributes.items()
+    ]
+    per_session = ev.groupBy(*KEYS).agg(*aggs)
+    times = [F.col("_m0")]
+    for k in range(1, n):
+        times.append(_next_time(F.col(f"_a{k}"), times[-1]))
+    flags = [F.lit(True)] + [F.size(f"_a{k}") > 0 for k in range(1, n)]
+    return per_session.where(F.col("_m0").isNotNull()).select(
+        *KEYS,
+        *[F.col(a)["v"].alias(a) for a in attributes],
+        *[t.alias(f"_t{k}") for k, t in enumerate(times)],
+        *([f.alias(f"_p{k}") for k, f in enumerate(flags)] if presence else []),
+    )
+
+
+def _chain_by_rounds(
+    ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]], presence: bool
+) -> DataFrame:
+    """The chain for a bounded number of very large sessions: stage by stage,
+    the stage-k events meet the broadcast per-session ``t_{k-1}`` (one row per
+    session, at most the hot-key bound) and a partial + final ``min`` gives
+    ``t_k``. Only aggregates and broadcast joins: no task holds a session."""
+    stage = F.col(_STAGE)
+    first = ev.where(stage == 0).groupBy(*KEYS).agg(
+        F.min(_T).alias("_t0"),
+        *[F.min(_first_by_time_struct(F.col(a), ign)).alias(a) for a, (_, ign) in attributes.items()],
+    )
+    out = first.select(*KEYS, *[F.col(a)["v"].alias(a) for a in attributes], "_t0")
+    prev = out.select(*KEYS, F.col("_t0").alias("_tp"))
+    for k in range(1, n):
+        cur = ev.where(stage == k).select(*[F.col(c).alias(f"_e{c}") for c in KEYS], _T)
+        hit = cur.join(
+            F.broadcast(prev),
+            reduce(lambda a, b: a & b, [F.col(f"_e{c}").eqNullSafe(F.col(c)) for c in KEYS])
+            & (F.col(_T) > F.col("_tp")),
+        )
+        tk = hit.groupBy(*[F.col(f"_e{c}").alias(c) for c in KEYS]).agg(F.min(_T).alias(f"_t{k}"))
+        out = _join_keyed(out, tk)
+        prev = tk.select(*KEYS, F.col(f"_t{k}").alias("_tp"))
+    if presence:
+        flags = ev.groupBy(*KEYS).agg(*[F.bool_or(stage == k).alias(f"_p{k}") for k in range(n)])
+        out = _join_keyed(out, flags)
+    return out
+
+
 def ordered_stage_times(
     source: SourceLike,
     period: Period | None = OFFICIAL_PERIOD,
@@ -131,88 +198,46 @@ def ordered_stage_times(
     With ``presence``, also ``_p0 .. _p{n-1}``: the stage occurs anywhere in
     the session. With ``require_user=False`` sessions with a null user are
     kept (the presence funnel keeps them; the ordered funnel does not).
-
     ``attributes`` maps a name to ``(value, ignore_nulls)``: the value on the
     session's earliest stage-0 event (ties: smallest value).
 
-    Plan: one scan and **one** event-level shuffle. Events are aggregated per
-    (user, session[, salt]) into ``min`` of stage-0 times and the *set* of
-    times of every later stage (partial aggregation dedups map-side); the
-    greedy chain is then a projection,
-    ``t_k = array_min(filter(times_k, x -> x > t_{k-1}))``, where a null
-    ``t_{k-1}`` empties the filter and ends the chain. The sets are bounded:
-    the events of a user with more than ``skew_policy.rows_per_split`` stage
-    events (a superset of the large sessions) are split over several salts,
-    and only then are split rows merged per session (windows over split-level
-    rows, never event rows).
+    Plan: one scan and one event-level shuffle (``_chain_by_sets``), whose
+    per-session time sets are bounded by ``skew_policy.max_session_rows``. A
+    session can only exceed that if its user does, so one aggregate job over
+    the user column (no ``event_params`` decoding) decides whether anything
+    else is needed. Only then are the sessions above the bound found (a
+    partial + final count per session, at most ``max_keys`` kept, largest
+    first). Their narrow rows are checkpointed once to
+    ``spark.checkpoint.dir`` and go through ``_chain_by_rounds`` (broadcast
+    joins and partial aggregates only), while all other sessions keep the
+    single-shuffle plan.
     """
     stages = list(stages)
     n = len(stages)
     attributes = attributes or {}
-    attr_names = list(attributes)
     ev = stage_events(
         source, period, stages, {a: c for a, (c, _) in attributes.items()}, require_user
     )
-
     hot = None
     if skew_policy.enabled:
-        # A session can only be hot if its user is: counting stage events per
-        # user reads one dictionary-encoded column (no event_params decoding),
-        # so the check costs a fraction of the funnel's own scan.
         users = as_source(source).scan(period, stages).select(USER)
-        # one aggregate job decides whether anything is split at all
-        if skew.any_hot(users, [USER], skew_policy.rows_per_split):
+        if skew.any_hot(users, [USER], skew_policy.max_session_rows):
+            ensure_checkpoint_dir(ev.sparkSession)
+            # the bounded key table is computed once and used three times
             hot = skew.hot_keys(
-                users, [USER], skew_policy.rows_per_split, skew_policy.max_splits,
-                skew_policy.max_keys,
-            )
+                ev, KEYS, skew_policy.max_session_rows, skew_policy.max_keys
+            ).checkpoint(eager=True)
+            if hot.isEmpty():
+                hot = None
     if hot is None:
-        split_keys = list(KEYS)
-    else:
-        split_keys = [*KEYS, skew.SALT]
-        ev = skew.add_salt(ev, hot, [USER], [F.col(_T), F.col(_STAGE)])
-
-    stage = F.col(_STAGE)
-    aggs = [F.min(F.when(stage == 0, F.col(_T))).alias("_m0")]
-    aggs += [F.collect_set(F.when(stage == k, F.col(_T))).alias(f"_a{k}") for k in range(1, n)]
-    aggs += [
-        F.min(F.when(stage == 0, _first_by_time_struct(F.col(a), ign))).alias(a)
-        for a, (_, ign) in attributes.items()
-    ]
-    splits = ev.groupBy(*split_keys).agg(*aggs)
-
-    if hot is None:  # one split per session: the chain is a projection
-        times = [F.col("_m0")]
-        for k in range(1, n):
-            times.append(_next_time(F.col(f"_a{k}"), times[-1]))
-        flags = [F.lit(True)] + [F.size(f"_a{k}") > 0 for k in range(1, n)]
-        return splits.where(F.col("_m0").isNotNull()).select(
-            *KEYS,
-            *[F.col(a)["v"].alias(a) for a in attr_names],
-            *[t.alias(f"_t{k}") for k, t in enumerate(times)],
-            *([f.alias(f"_p{k}") for k, f in enumerate(flags)] if presence else []),
-        )
-
-    # Split sessions: merge per session over its split rows (at most
-    # ``max_splits`` rows each, one row for ordinary sessions) with windows on
-    # the session key: one shuffle of split-level rows, the chain's n - 1
-    # dependent steps as window nodes over that single partitioning.
-    w = Window.partitionBy(*KEYS)
-    cur = splits.withColumn("_t0", F.min("_m0").over(w))
-    for a in attr_names:
-        cur = cur.withColumn(a, F.min(a).over(w))
-    for k in range(1, n):
-        cand = _next_time(F.col(f"_a{k}"), F.col(f"_t{k - 1}"))
-        cur = cur.withColumn(f"_t{k}", F.min(cand).over(w))
-    flags = [F.lit(True)] + [F.bool_or(F.size(f"_a{k}") > 0) for k in range(1, n)]
-    return (
-        cur.where(F.col("_t0").isNotNull())
-        .groupBy(*KEYS)
-        .agg(
-            *[F.min(a)["v"].alias(a) for a in attr_names],
-            *[F.min(f"_t{k}").alias(f"_t{k}") for k in range(n)],
-            *([f.alias(f"_p{k}") for k, f in enumerate(flags)] if presence else []),
-        )
+        return _chain_by_sets(ev, n, attributes, presence)
+
+    hot_keys = hot.select(*[F.col(k).alias(f"_h{k}") for k in KEYS])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in KEYS])
+    cold = ev.join(F.broadcast(hot_keys), on, "left_anti")
+    big = ev.join(F.broadcast(hot_keys), on, "left_semi").checkpoint(eager=True)
+    return _chain_by_sets(cold, n, attributes, presence).unionByName(
+        _chain_by_rounds(big, n, attributes, presence)
     )
 
 

@@ -1,77 +1,45 @@
-"""Hot-key splitting for per-key work that must not land in one task.
-
-A session (or any key) may hold a large share of all rows. The pattern:
-
-1. ``hot_keys``: count rows per key (a partial + final aggregate, so the
-   count itself is skew-proof), keep keys above ``rows_per_split`` rows, and
-   give each ``ceil(rows / rows_per_split)`` splits (at most ``max_splits``).
-   At most ``max_keys`` keys are kept, the largest first, so the table has a
-   proven size bound and is broadcast. Keys past the bound are not dropped:
-   they are simply not split (exact, only slower).
-2. ``add_salt``: every row gets ``_salt = pmod(xxhash64(spread), splits)``
-   (``0`` for ordinary keys). The salt is a deterministic function of the
-   row, so a recomputed task after an executor loss produces the same split.
-3. The per-split results are merged per key (the funnel does it with windows
-   over split-level rows, at most ``max_splits`` per key).
+"""Finding the keys too large for per-key work in one task.
+
+Any key (a session, a user) may hold a large share of all rows. Operators
+keep their cheap plan for ordinary keys and route the few large ones to a
+plan that never gathers a key in one place:
+
+* ``any_hot``: one aggregate job (partial + final count per key, so the count
+  itself is skew-proof) that stops at the first key above the threshold.
+* ``hot_keys``: the keys above the threshold, largest first, at most
+  ``max_keys`` of them. The table has a proven size bound and is broadcast.
+  Keys past the bound stay in the ordinary plan: exact, only slower. None is
+  dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT = "_salt"
-SPLITS = "_splits"
-
-DEFAULT_ROWS_PER_SPLIT = 250_000
-DEFAULT_MAX_SPLITS = 256
+DEFAULT_MAX_SESSION_ROWS = 250_000
 DEFAULT_MAX_KEYS = 100_000
 
 
-def any_hot(df: DataFrame, keys: Sequence[str], rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> bool:
-    """Whether some key has more than ``rows_per_split`` rows (one small job:
-    partial + final count per key, stops at the first hit)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return not counts.where(F.col("_rows") > rows_per_split).isEmpty()
+def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def any_hot(df: DataFrame, keys: Sequence[str], threshold: int) -> bool:
+    """Whether some key has more than ``threshold`` rows."""
+    return not _counts(df, keys).where(F.col("_rows") > threshold).isEmpty()
 
 
 def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-    max_splits: int = DEFAULT_MAX_SPLITS,
-    max_keys: int = DEFAULT_MAX_KEYS,
+    df: DataFrame, keys: Sequence[str], threshold: int, max_keys: int = DEFAULT_MAX_KEYS
 ) -> DataFrame:
-    """Broadcast table ``(keys..., _splits)`` of the keys worth splitting."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    """Broadcast table ``(keys..., _rows)`` of the keys above ``threshold``."""
     hot = (
-        counts.where(F.col("_rows") > rows_per_split)
+        _counts(df, keys)
+        .where(F.col("_rows") > threshold)
         .orderBy(F.col("_rows").desc(), *keys)
         .limit(max_keys)
-        .select(
-            *keys,
-            F.least(
-                F.ceil(F.col("_rows") / F.lit(rows_per_split)), F.lit(max_splits)
-            ).cast("int").alias(SPLITS),
-        )
     )
     return F.broadcast(hot)
-
-
-def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on the keys with null-safe equality (a null key can be hot)."""
-    h = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], SPLITS)
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    return df.join(h, cond, "left").drop(*[f"_hot_{k}" for k in keys])
-
-
-def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[Column]) -> DataFrame:
-    """Attach ``_salt``; ``spread`` are row columns that vary inside a key."""
-    j = _join_hot(df, hot, keys)
-    salt = F.when(
-        F.col(SPLITS).isNull(), F.lit(0)
-    ).otherwise(F.pmod(F.xxhash64(*spread), F.col(SPLITS).cast("long")).cast("int"))
-    return j.withColumn(SALT, salt).drop(SPLITS)

@@ -40,7 +40,7 @@ def _random_sessions(seed: int, n_sessions: int = 300):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize(
     "policy",
-    [funnel.SkewPolicy(enabled=False), funnel.SkewPolicy(rows_per_split=3, max_splits=4)],
+    [funnel.SkewPolicy(enabled=False), funnel.SkewPolicy(max_session_rows=3)],
     ids=["plain", "split"],
 )
 def test_chain_matches_direct_greedy(spark, seed, policy):

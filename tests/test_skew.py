@@ -1,4 +1,4 @@
-"""Hot-session splitting: results equal the unsplit plan; bounds hold."""
+"""Very large sessions: results equal the ordinary plan; bounds hold."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from sessionflow.sources.fixture import FIXTURE_OFFICIAL, DerivedEventSource
 from tests.conftest import SF_MID
 from tests.events import ev, frame
 
-FORCED = funnel.SkewPolicy(rows_per_split=2, max_splits=5, max_keys=1_000_000)
+# every session with more than 2 stage events takes the large-session path
+FORCED = funnel.SkewPolicy(max_session_rows=2, max_keys=1_000_000)
 
 
 @pytest.fixture(scope="module")
@@ -22,46 +23,57 @@ def src(spark):
     "fn", [funnel.ordered_funnel, funnel.funnel_by_device, funnel.funnel_by_first_source,
            funnel.funnel_dropoff, funnel.presence_vs_ordered]
 )
-def test_split_sessions_same_result(src, fn):
+def test_large_session_path_same_result(src, fn):
     plain = sorted(map(tuple, fn(src, FIXTURE_OFFICIAL).collect()))
-    split = sorted(map(tuple, fn(src, FIXTURE_OFFICIAL, skew_policy=FORCED).collect()))
-    assert plain == split
+    forced = sorted(map(tuple, fn(src, FIXTURE_OFFICIAL, skew_policy=FORCED).collect()))
+    assert plain == forced
 
 
-def test_one_huge_session_is_split(spark):
-    # one session holds most rows; its chain crosses splits
+def test_one_huge_session(spark):
+    # one session holds most rows; its chain crosses many events
     rows = [ev("view_item", t, "bot", 1) for t in range(10, 400)]
     rows += [ev("add_to_cart", 5, "bot", 1), ev("add_to_cart", 401, "bot", 1)]
     rows += [ev("begin_checkout", 402, "bot", 1), ev("purchase", 402, "bot", 1)]
     rows += [ev("view_item", 1, "u", 2), ev("add_to_cart", 2, "u", 2)]
     df = frame(spark, rows)
-    pol = funnel.SkewPolicy(rows_per_split=50, max_splits=8)
-    hot = skew.hot_keys(funnel.stage_events(df, None, funnel.CORE_STAGES), funnel.KEYS, 50, 8)
-    assert [(r.user_pseudo_id, r._splits) for r in hot.collect()] == [("bot", 8)]
-    for policy in (pol, funnel.SkewPolicy(enabled=False)):
+    hot = skew.hot_keys(funnel.stage_events(df, None, funnel.CORE_STAGES), funnel.KEYS, 50)
+    assert [(r.user_pseudo_id, r.ga_session_id, r._rows) for r in hot.collect()] == [("bot", 1, 394)]
+    for policy in (funnel.SkewPolicy(max_session_rows=50), funnel.SkewPolicy(enabled=False)):
         steps = funnel.ordered_funnel(df, None, skew_policy=policy).orderBy("step_number")
         assert [r.sessions for r in steps.collect()] == [2, 2, 1, 0]
 
 
+def test_large_session_plan_has_no_window_and_no_sort_merge_join(spark):
+    rows = [ev("view_item", t, "bot", 1) for t in range(100)] + [ev("view_item", 1, "u", 2)]
+    df = funnel.ordered_funnel(
+        frame(spark, rows), None, skew_policy=funnel.SkewPolicy(max_session_rows=50)
+    )
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "SortMergeJoin" not in text
+    assert "BroadcastHashJoin" in text
+
+
 def test_hot_key_table_is_bounded(spark):
     rows = [ev("view_item", t, f"u{u}", 1) for u in range(6) for t in range(u + 3)]
-    hot = skew.hot_keys(funnel.stage_events(frame(spark, rows), None, ["view_item", "purchase"]),
-                        funnel.KEYS, rows_per_split=2, max_splits=3, max_keys=4)
-    got = [(r.user_pseudo_id, r._splits) for r in hot.collect()]
-    # the four largest sessions, most rows first; splits capped at 3
-    assert got == [("u5", 3), ("u4", 3), ("u3", 3), ("u2", 3)]
+    events = funnel.stage_events(frame(spark, rows), None, ["view_item", "purchase"])
+    hot = skew.hot_keys(events, funnel.KEYS, threshold=2, max_keys=4)
+    got = [(r.user_pseudo_id, r._rows) for r in hot.collect()]
+    # the four largest sessions, most rows first
+    assert got == [("u5", 8), ("u4", 7), ("u3", 6), ("u2", 5)]
+    assert skew.any_hot(frame(spark, rows), ["user_pseudo_id"], 7)
+    assert not skew.any_hot(frame(spark, rows), ["user_pseudo_id"], 8)
 
 
-def test_null_user_hot_session_is_split_for_presence(spark):
+def test_null_user_large_session_for_presence(spark):
     # a large group of events without a user but with a session id
     rows = [ev("view_item", t, None, 7) for t in range(200)]
     rows += [ev("add_to_cart", 300, None, 7), ev("view_item", 1, "u", 1)]
     df = frame(spark, rows)
-    pol = funnel.SkewPolicy(rows_per_split=20, max_splits=4)
-    ev_ = funnel.stage_events(df, None, funnel.CORE_STAGES, require_user=False)
-    hot = skew.hot_keys(ev_, funnel.KEYS, 20, 4).collect()
+    events = funnel.stage_events(df, None, funnel.CORE_STAGES, require_user=False)
+    hot = skew.hot_keys(events, funnel.KEYS, 20).collect()
     assert [(r.user_pseudo_id, r.ga_session_id) for r in hot] == [(None, 7)]
-    for policy in (pol, funnel.SkewPolicy(enabled=False)):
+    for policy in (funnel.SkewPolicy(max_session_rows=20), funnel.SkewPolicy(enabled=False)):
         out = funnel.presence_vs_ordered(df, None, skew_policy=policy).orderBy("step_number")
         got = [(r.presence_sessions, r.ordered_sessions) for r in out.collect()]
         assert got == [(2, 1), (1, 0), (0, 0), (0, 0)]
