@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.commerce import kpi_daily
 from ..schema import EVENT_SCHEMA
 from ..session import ensure_checkpoint_dir
-from ..sources.ga4 import ParquetEventSource
+from ..sources.parquet import ParquetEventSource
 
 DailyOperator = Callable[[DataFrame, None], DataFrame]
 

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from sessionflow.operators import funnel, quality
 from sessionflow.sources.fixture import FIXTURE_OFFICIAL, DerivedEventSource
-from sessionflow.sources.ga4 import ParquetEventSource, write_events
+from sessionflow.sources.parquet import ParquetEventSource, write_events
 from tests.conftest import SF_SMALL
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionflow.operators import commerce, quality
 from sessionflow.sources.fixture import DerivedEventSource
-from sessionflow.sources.ga4 import ParquetEventSource, write_events
+from sessionflow.sources.parquet import ParquetEventSource, write_events
 from sessionflow.streaming.daily import start_daily_updates
 from tests.compare import _rows
 from tests.conftest import SF_SMALL

@@ -10,7 +10,7 @@ sys.path.insert(0, "/root/repo")
 from pyspark.sql import functions as F
 from sessionflow.session import local_session
 from sessionflow.sources.fixture import DerivedEventSource
-from sessionflow.sources.ga4 import write_events
+from sessionflow.sources.parquet import write_events
 spark = local_session(8)
 out = sys.argv[1]
 copies = int(sys.argv[2])

@@ -8,7 +8,7 @@ sys.path.insert(0, "/root/repo")
 from pyspark.sql import SparkSession
 from sessionflow.session import RECOMMENDED_CONF
 from sessionflow.operators import funnel, commerce, overview
-from sessionflow.sources.ga4 import ParquetEventSource
+from sessionflow.sources.parquet import ParquetEventSource
 from sessionflow.sources.fixture import FIXTURE_OFFICIAL
 logdir = tempfile.mkdtemp(prefix="evlog-")
 b = (SparkSession.builder.master("local[8]").appName("scale")
