@@ -34,20 +34,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) is a private
-    scratch folder set.
+    Read from the session. Only a local-mode session without one (tests, the
+    benchmark) gets a private scratch folder; on a cluster a machine-local
+    folder would not survive executor loss, so a missing setting is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="sessionflow-ckpt-")
-        spark.sparkContext.setCheckpointDir(current)
+    if current:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
+        return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder every executor can reach "
+            "(large-session funnels and the streaming checkpoints write there)"
+        )
+    current = tempfile.mkdtemp(prefix="sessionflow-ckpt-")
+    spark.sparkContext.setCheckpointDir(current)
     return current
