@@ -35,25 +35,24 @@ def purchase_events(source: SourceLike, period: Period | None = OFFICIAL_PERIOD)
 def _order_candidates(pe: DataFrame) -> DataFrame:
     """One row per (user, session, transaction id), null ids included.
 
-    Built from a first aggregate on (keys, revenue), so the distinct-revenue
-    count is ``count(revenue)`` of the second level: two partial + final
-    aggregates, no Expand, and a hot key is combined map-side at both levels.
+    "More than one distinct revenue" is ``min < max`` over the non-null
+    values, so one partial + final aggregate suffices (no distinct level).
     """
-    by_value = pe.groupBy(*ORDER_KEYS, REV).agg(F.count(F.lit(1)).alias("_n"))
-    return by_value.groupBy(*ORDER_KEYS).agg(
-        F.sum("_n").cast("long").alias("events_per_order"),
-        F.sum(F.when(F.col(REV).isNull(), F.col("_n")).otherwise(0)).cast("long").alias("_no_rev"),
-        F.max(REV).alias("order_revenue"),
-        F.count(REV).alias("distinct_revenue_values"),
+    rev = F.col(REV)
+    return pe.groupBy(*ORDER_KEYS).agg(
+        F.count(F.lit(1)).alias("events_per_order"),
+        F.count_if(rev.isNull()).alias("_no_rev"),
+        F.max(rev).alias("order_revenue"),
+        (F.min(rev) < F.max(rev)).alias("_conflicting"),
     )
 
 
 def purchase_quality(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) -> DataFrame:
     """11.1: eleven counters about transaction ids and revenue in one row.
 
-    One scan and one aggregate chain: (keys, revenue) -> order candidate
-    (user, session, id) -> transaction id (order-level counters summed per
-    id, plus the id's order contexts) -> one row. Every level is a partial +
+    One scan and one aggregate chain: order candidate (user, session, id) ->
+    transaction id (order-level counters summed per id, plus the id's order
+    contexts) -> one row. Every level is a partial +
     final aggregate, so a hot key collapses map-side; no join, no re-scan.
     """
     cand = _order_candidates(purchase_events(source, period))
@@ -67,7 +66,7 @@ def purchase_quality(source: SourceLike, period: Period | None = OFFICIAL_PERIOD
         F.sum(n - 1).alias("_extra"),
         F.count_if(rev.isNull()).alias("_missing"),
         F.count_if(F.coalesce(rev, F.lit(0)) <= 0).alias("_nonpos"),
-        F.count_if(F.col("distinct_revenue_values") > 1).alias("_conflict"),
+        F.count_if(F.col("_conflicting")).alias("_conflict"),
         # order contexts: distinct (user, session) pairs with both keys present;
         # the (keys, id) rows are already unique
         F.count_if(F.col(USER).isNotNull() & F.col(SESSION).isNotNull()).alias("_contexts"),
@@ -134,7 +133,16 @@ def anomalous_purchase_events(
     is split by AQE's skew-join handling).
     """
     pe = purchase_events(source, period)
-    bad = _transaction_summary(pe).where(_anomaly_filter()).select(TXN)
+    # the same condition as 11.2 without its distinct level: more than one
+    # distinct value <=> min < max over the non-null values
+    rev = F.col(REV)
+    bad = (
+        pe.where(F.col(TXN).isNotNull())
+        .groupBy(TXN)
+        .agg(F.min(rev).alias("_lo"), F.max(rev).alias("_hi"))
+        .where(F.col("_hi").isNull() | (F.col("_lo") < F.col("_hi")))
+        .select(TXN)
+    )
     hits = pe.where(F.col(TXN).isNotNull()).join(bad, TXN, "left_semi")
     return hits.select(
         TXN,
