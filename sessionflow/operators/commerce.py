@@ -99,19 +99,23 @@ def _anomaly_filter() -> Column:
 
 
 def _transaction_summary(pe: DataFrame) -> DataFrame:
-    by_value = pe.where(F.col(TXN).isNotNull()).groupBy(TXN, REV).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    values = F.sort_array(F.collect_list(REV))  # values are already distinct
-    return by_value.groupBy(TXN).agg(
-        F.sum("_n").cast("long").alias("purchase_events"),
-        F.sum(F.when(F.col(REV).isNull(), F.col("_n")).otherwise(0)).cast("long").alias(
-            "events_missing_revenue"
+    """Per transaction id: events, events without revenue, the distinct
+    revenue values (sorted; null when there is none), their count, min, max.
+
+    One aggregate: ``collect_set`` merges map-side like the other partial
+    aggregates, and its size is the exact distinct count.
+    """
+    rev = F.col(REV)
+    values = F.collect_set(rev)
+    return pe.where(F.col(TXN).isNotNull()).groupBy(TXN).agg(
+        F.count(F.lit(1)).alias("purchase_events"),
+        F.count_if(rev.isNull()).alias("events_missing_revenue"),
+        F.size(values).cast("long").alias("distinct_revenue_values"),
+        F.nullif(F.sort_array(values), F.array().cast("array<double>")).alias(
+            "recorded_revenue_values"
         ),
-        F.count(REV).alias("distinct_revenue_values"),
-        F.nullif(values, F.array().cast("array<double>")).alias("recorded_revenue_values"),
-        F.min(REV).alias("minimum_recorded_revenue"),
-        F.max(REV).alias("maximum_recorded_revenue"),
+        F.min(rev).alias("minimum_recorded_revenue"),
+        F.max(rev).alias("maximum_recorded_revenue"),
     )
 
 
