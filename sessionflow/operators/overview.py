@@ -94,8 +94,16 @@ def purchase_session_journey(
 
     Ties on size go to the smallest (user, session). Unlike the reference, a
     session with a null user is never chosen (its inner join would return
-    nothing). The chosen key is one row, so it is broadcast into the join.
+    nothing).
+
+    One scan, no join: the listed names are fixed, so one per-session
+    aggregate carries each name's count, first / last time and largest
+    revenue next to the session's size. A global
+    ``min(struct(-size, user, session, stats...))`` picks the session together
+    with its statistics, and ``inline`` turns them into one row per name. Both
+    aggregates are partial + final, so a huge session never gathers in a task.
     """
+    names = list(event_names)
     ev = as_source(source).scan(Period.day(day)).select(
         F.col(USER),
         session_id().alias(SESSION),
@@ -103,25 +111,39 @@ def purchase_session_journey(
         F.col("event_timestamp"),
         F.col("ecommerce.purchase_revenue").alias("purchase_revenue"),
     )
-    chosen = (
+    name, t, rev = F.col("event_name"), F.col("event_timestamp"), F.col("purchase_revenue")
+    stats = []
+    for i, nm in enumerate(names):
+        hit = name == nm
+        stats += [
+            F.count_if(hit).alias(f"_c{i}"),
+            F.min(F.when(hit, t)).alias(f"_f{i}"),
+            F.max(F.when(hit, t)).alias(f"_l{i}"),
+            F.max(F.when(hit, rev)).alias(f"_r{i}"),
+        ]
+    sessions = (
         ev.where(F.col(SESSION).isNotNull() & F.col(USER).isNotNull())
         .groupBy(USER, SESSION)
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.count_if(F.col("event_name") == "purchase").alias("_purchases"),
+            F.count_if(name == "purchase").alias("_purchases"),
+            *stats,
         )
         .where(F.col("_purchases") > 0)
-        .orderBy(F.col("_n").desc(), USER, SESSION)
-        .limit(1)
-        .select(USER, SESSION)
     )
-    journey = ev.where(F.col("event_name").isin(list(event_names))).join(
-        F.broadcast(chosen), [USER, SESSION]
-    )
-    out = journey.withColumn("_time", event_time()).groupBy("event_name").agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.min("_time").alias("first_event_time"),
-        F.max("_time").alias("last_event_time"),
-        F.max("purchase_revenue").alias("purchase_revenue"),
+    fields = [f"_{k}{i}" for i in range(len(names)) for k in "cflr"]
+    best = sessions.agg(
+        F.min(F.struct((-F.col("_n")).alias("_neg_n"), USER, SESSION, *fields)).alias("_b")
     )
+    rows = [
+        F.struct(
+            F.lit(nm).alias("event_name"),
+            F.col(f"_b._c{i}").alias("event_count"),
+            event_time(f"_b._f{i}").alias("first_event_time"),
+            event_time(f"_b._l{i}").alias("last_event_time"),
+            F.col(f"_b._r{i}").alias("purchase_revenue"),
+        )
+        for i, nm in enumerate(names)
+    ]
+    out = best.select(F.inline(F.array(*rows))).where(F.col("event_count") > 0)
     return out.orderBy("first_event_time", "event_name")

@@ -250,3 +250,12 @@ def test_segment_funnel_by_country(spark):
         ("(unknown)", 1, 0),
         ("X", 1, 1),
     ]
+
+
+def test_journey_without_any_purchase_session_is_empty(spark):
+    rows = [ev(V, 1, "a", 1), ev(C, 2, "a", 1), ev(P, 3, None, 2)]
+    out = overview.purchase_session_journey(frame(spark, rows), "20240110")
+    assert out.count() == 0
+    assert out.columns == [
+        "event_name", "event_count", "first_event_time", "last_event_time", "purchase_revenue"
+    ]
