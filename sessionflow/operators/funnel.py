@@ -39,7 +39,7 @@ from ..schema import (
     UNKNOWN_DEVICE,
     Period,
 )
-from ..session import ensure_checkpoint_dir
+from ..plans.materialize import materialize
 from ..sources.base import SourceLike, as_source
 
 USER, SESSION = "user_pseudo_id", "ga_session_id"
@@ -207,7 +207,7 @@ def ordered_stage_times(
     the user column (no ``event_params`` decoding) decides whether anything
     else is needed. Only then are the sessions above the bound found (a
     partial + final count per session, at most ``max_keys`` kept, largest
-    first). Their narrow rows are checkpointed once to
+    first). Their narrow rows are written once as a table under
     ``spark.checkpoint.dir`` and go through ``_chain_by_rounds`` (broadcast
     joins and partial aggregates only), while all other sessions keep the
     single-shuffle plan.
@@ -222,11 +222,11 @@ def ordered_stage_times(
     if skew_policy.enabled:
         users = as_source(source).scan(period, stages).select(USER)
         if skew.any_hot(users, [USER], skew_policy.max_session_rows):
-            ensure_checkpoint_dir(ev.sparkSession)
             # the bounded key table is computed once and used three times
-            hot = skew.hot_keys(
-                ev, KEYS, skew_policy.max_session_rows, skew_policy.max_keys
-            ).checkpoint(eager=True)
+            hot = materialize(
+                skew.hot_keys(ev, KEYS, skew_policy.max_session_rows, skew_policy.max_keys),
+                "hot-sessions",
+            )
             if hot.isEmpty():
                 hot = None
     if hot is None:
@@ -235,7 +235,7 @@ def ordered_stage_times(
     hot_keys = hot.select(*[F.col(k).alias(f"_h{k}") for k in KEYS])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in KEYS])
     cold = ev.join(F.broadcast(hot_keys), on, "left_anti")
-    big = ev.join(F.broadcast(hot_keys), on, "left_semi").checkpoint(eager=True)
+    big = materialize(ev.join(F.broadcast(hot_keys), on, "left_semi"), "hot-session-events")
     return _chain_by_sets(cold, n, attributes, presence).unionByName(
         _chain_by_rounds(big, n, attributes, presence)
     )

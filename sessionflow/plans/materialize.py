@@ -1,0 +1,26 @@
+"""Cut lineage by writing an intermediate result as a table.
+
+The table goes to a fresh folder under the session's shared
+``spark.checkpoint.dir``, never a machine-local one on a cluster. It is
+computed once: a reliable ``DataFrame.checkpoint`` computes its input twice,
+once for the triggering action and once for the write, unless it is cached.
+Later stages read the table back as columnar Parquet, and a lost executor only
+costs re-reading files.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+from ..session import ensure_checkpoint_dir
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and return it read back."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/sessionflow/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
