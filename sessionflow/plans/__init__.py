@@ -1,0 +1 @@
+"""Plan-shaping helpers: hot-key detection, lineage cuts, report rows."""
