@@ -10,7 +10,9 @@ dimension), so an independent SQL engine can derive the same view.
 
 Scans push the period down as a ``ts`` range (a Parquet row-group filter) and
 the event-name list as an ``event_type IN`` filter on the raw column; the exact
-predicates on the derived columns are applied on top.
+predicates on the derived columns are applied on top. The 25-row ``nation``
+lookup is inlined as a map literal (after a size check), so queries that do not
+read the country carry no join.
 """
 
 from __future__ import annotations
@@ -146,14 +148,41 @@ def _derivation_sql() -> list[str]:
 
 _DERIVATION = _derivation_sql()
 
+# A nation table up to this size is inlined as a map literal; beyond it, or
+# with repeated keys, the lookup stays a join.
+MAX_INLINE_DIM_ROWS = 1000
 
-def derive_events(events: DataFrame, nation: DataFrame) -> DataFrame:
+
+def country_map(nation: DataFrame) -> Column | None:
+    """``map(n_nationkey -> n_name)`` for a small, key-unique nation table.
+
+    Reads at most ``MAX_INLINE_DIM_ROWS + 1`` rows to the driver: a proven
+    bound. A map lookup is an expression Catalyst drops when ``geo.country``
+    is not read, where an outer join would stay in every plan.
+    """
+    rows = (
+        nation.select(F.col("n_nationkey").cast("long"), "n_name")
+        .limit(MAX_INLINE_DIM_ROWS + 1)
+        .collect()
+    )
+    keys = [r[0] for r in rows]
+    if len(rows) > MAX_INLINE_DIM_ROWS or None in keys or len(set(keys)) != len(keys):
+        return None
+    if not rows:
+        return F.create_map().cast("map<bigint,string>")
+    return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
+
+
+def derive_events(events: DataFrame, nation: DataFrame, countries: Column | None = None) -> DataFrame:
     """Map the flat click log onto the nested event layout (narrow, no shuffle).
 
-    ``nation`` is a 25-row dimension; the join is left to the planner, which
-    broadcasts it while its size is under the broadcast threshold and falls
-    back to a shuffle join otherwise.
+    The country comes from ``countries`` (see :func:`country_map`) when given;
+    otherwise from a left join with ``nation``, which the planner broadcasts
+    while its size is under the broadcast threshold and shuffles beyond it.
     """
+    if countries is not None:
+        key = (F.col("user_id") % NATION_COUNT).cast("long")
+        return events.withColumn("_country", countries[key]).selectExpr(*_DERIVATION)
     dim = nation.selectExpr("CAST(n_nationkey AS BIGINT) AS _nation_key", "n_name AS _country")
     joined = events.join(dim, (F.col("user_id") % NATION_COUNT) == F.col("_nation_key"), "left")
     return joined.selectExpr(*_DERIVATION)
@@ -192,12 +221,21 @@ class DerivedEventSource:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._countries: Column | None = None
+        self._countries_read = False
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _derive(self, events: DataFrame) -> DataFrame:
+        nation = self._read("nation")
+        if not self._countries_read:
+            self._countries = country_map(nation)
+            self._countries_read = True
+        return derive_events(events, nation, self._countries)
+
     def table(self) -> DataFrame:
-        return derive_events(self._read("events"), self._read("nation"))
+        return self._derive(self._read("events"))
 
     def scan(
         self, period: Period | None = None, names: Sequence[str] | None = None
@@ -211,7 +249,7 @@ class DerivedEventSource:
             )
         if names is not None:
             raw = raw.where(F.col("event_type").isin(_raw_types(names)))
-        df = derive_events(raw, self._read("nation"))
+        df = self._derive(raw)
         # (the ts range above is the suffix range exactly: no second predicate)
         if names is not None:
             df = df.where(F.col("event_name").isin(list(names)))

@@ -37,7 +37,8 @@ def test_ordered_funnel_has_one_event_shuffle(spark):
     assert len(hashed) == 1, hashed
     assert "user_pseudo_id" in hashed[0] and "ga_session_id" in hashed[0]
     assert "SortMergeJoin" not in text and "Window" not in text
-    assert text.count("FileScan parquet") == 2  # events + the 25-row nation lookup
+    # the country lookup of the test view is a map literal, pruned when unused
+    assert text.count("FileScan parquet") == 1 and "BroadcastHashJoin" not in text
 
 
 def test_fixture_scan_pushes_time_range_and_type(spark):
@@ -81,3 +82,21 @@ def test_partitioned_source_gives_same_results(spark, stored, name):
     finally:
         entry._src = orig
     assert _rows(derived.columns, a) == _rows(on_disk.columns, b)
+
+
+def test_country_lookup_join_fallback_equals_inlined_map(spark):
+    from sessionflow.sources import fixture as fx
+    from tests.compare import _rows
+
+    src = DerivedEventSource(spark, SF_SMALL)
+    events, nation = src._read("events"), src._read("nation")
+    inlined = fx.derive_events(events, nation, fx.country_map(nation))
+    joined = fx.derive_events(events, nation, None)
+    cols = ["event_date", "event_timestamp", "user_pseudo_id", "geo", "traffic_source"]
+    a, b = inlined.select(*cols), joined.select(*cols)
+    assert _rows(cols, a.collect()) == _rows(cols, b.collect())
+    # a dimension past the size bound is not inlined
+    big = spark.range(fx.MAX_INLINE_DIM_ROWS + 1).selectExpr(
+        "CAST(id AS INT) AS n_nationkey", "CAST(id AS STRING) AS n_name"
+    )
+    assert fx.country_map(big) is None
