@@ -215,6 +215,9 @@ RAW_SCHEMAS = {
 }
 
 
+_COUNTRY_MAPS: dict[tuple[int, str], Column | None] = {}
+
+
 class DerivedEventSource:
     """Event source over ``{sf_dir}/events.parquet`` and ``{sf_dir}/nation.parquet``."""
 
@@ -230,7 +233,11 @@ class DerivedEventSource:
     def _derive(self, events: DataFrame) -> DataFrame:
         nation = self._read("nation")
         if not self._countries_read:
-            self._countries = country_map(nation)
+            # one small read per session and table (the test tables are read-only)
+            key = (id(self.spark), self.sf_dir)
+            if key not in _COUNTRY_MAPS:
+                _COUNTRY_MAPS[key] = country_map(nation)
+            self._countries = _COUNTRY_MAPS[key]
             self._countries_read = True
         return derive_events(events, nation, self._countries)
 
