@@ -65,18 +65,23 @@ def start_daily_updates(
     operator: DailyOperator = kpi_daily,
     available_now: bool = True,
     processing_time: str = "10 minutes",
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Start the maintenance stream; returns the running query.
 
     ``checkpoint_location`` defaults to a folder under the session's shared
     ``spark.checkpoint.dir``. With ``available_now`` the query processes the
     files present at start and stops (for scheduled runs); otherwise it polls
-    every ``processing_time``.
+    every ``processing_time``. ``max_files_per_trigger`` bounds a micro-batch
+    (the first run over an existing table otherwise takes every file at once).
     """
     if checkpoint_location is None:
         base = ensure_checkpoint_dir(spark).rstrip("/")
         checkpoint_location = f"{base}/daily-updates/{operator.__name__}"
-    changes = spark.readStream.schema(EVENT_SCHEMA).parquet(events_root).select("table_suffix")
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    changes = reader.parquet(events_root).select("table_suffix")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         recompute_days(batch.sparkSession, events_root, batch, output_root, operator)

@@ -16,8 +16,8 @@ def _same(a, b):
     return _rows(a.columns, a.collect()) == _rows(b.columns, b.collect())
 
 
-def _run(spark, root, out, ckpt, operator):
-    q = start_daily_updates(spark, root, out, ckpt, operator)
+def _run(spark, root, out, ckpt, operator, **kw):
+    q = start_daily_updates(spark, root, out, ckpt, operator, **kw)
     q.awaitTermination(300)
     assert q.exception() is None
 
@@ -59,7 +59,8 @@ def test_daily_tables_follow_new_and_late_partitions(spark, tmp_path):
 def test_daily_event_counts_stream(spark, tmp_path):
     root, out, ckpt = str(tmp_path / "events"), str(tmp_path / "counts"), str(tmp_path / "ckpt")
     write_events(DerivedEventSource(spark, SF_SMALL).table(), root, files_per_day=1)
-    _run(spark, root, out, ckpt, quality.daily_event_counts)
+    # several micro-batches (7 files each), same final table
+    _run(spark, root, out, ckpt, quality.daily_event_counts, max_files_per_trigger=7)
     got = spark.read.parquet(out)
     want = quality.daily_event_counts(ParquetEventSource(spark, root), None)
     assert _same(got.select(*want.columns), want)
