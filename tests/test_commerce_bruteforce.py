@@ -1,0 +1,146 @@
+"""Presence funnel, KPIs and purchase checks against direct Python on random rows."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+from collections import defaultdict
+
+import pytest
+
+from sessionflow.operators import commerce, funnel
+from tests.events import ev, frame
+
+NAMES = ["view_item", "add_to_cart", "begin_checkout", "purchase", "page_view"]
+DAYS = ["20240110", "20240111", "20240112"]
+
+
+def _random_rows(seed: int, n: int = 600):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        user = rnd.choice([None, "u1", "u2", "u3", "u4", "u5"])
+        session = rnd.choice([None, 1, 2, 3])
+        name = rnd.choice(NAMES)
+        txn = rev = None
+        if name == "purchase":
+            txn = rnd.choice([None, "(not set)", "T1", "T2", "T3", f"T{i}"])
+            rev = rnd.choice([None, 0.0, 10.0, 20.0, 35.5])
+        out.append(
+            dict(name=name, t=rnd.randint(0, 50), user=user, session=session,
+                 day=rnd.choice(DAYS), txn=txn, rev=rev)
+        )
+    return out
+
+
+def _frame(spark, rows):
+    return frame(spark, [
+        ev(r["name"], r["t"], r["user"], r["session"], day=r["day"], txn=r["txn"], revenue=r["rev"])
+        for r in rows
+    ])
+
+
+def _txn(r):
+    return None if r["txn"] == "(not set)" else r["txn"]
+
+
+def _round(x):
+    return None if x is None else round(x, 2)
+
+
+@pytest.fixture(scope="module", params=[11, 12])
+def data(request, spark):
+    rows = _random_rows(request.param)
+    return rows, _frame(spark, rows)
+
+
+def test_presence_funnel(data):
+    rows, df = data
+    stages = list(funnel.CORE_STAGES)
+    seen = defaultdict(set)
+    for r in rows:
+        if r["session"] is not None and r["name"] in stages:
+            seen[(r["user"], r["session"])].add(r["name"])
+    want = [sum(all(s in names for s in stages[: k + 1]) for names in seen.values()) for k in range(4)]
+    got = [r.sessions for r in funnel.presence_funnel(df, None).orderBy("step_number").collect()]
+    assert got == want
+
+
+def _orders(rows, by_day=False):
+    orders = {}
+    for r in rows:
+        if r["name"] == "purchase" and _txn(r) is not None:
+            key = ((r["day"],) if by_day else ()) + (r["user"], r["session"], _txn(r))
+            revs = orders.setdefault(key, [])
+            if r["rev"] is not None:
+                revs.append(r["rev"])
+    return {k: (max(v) if v else None) for k, v in orders.items()}
+
+
+def test_kpi_overview(data):
+    rows, df = data
+    users = {r["user"] for r in rows if r["user"] is not None}
+    sessions = {(r["user"], r["session"]) for r in rows if r["user"] is not None and r["session"] is not None}
+    orders = _orders(rows)
+    revs = [v for v in orders.values() if v is not None]
+    revenue = sum(revs) if revs else None
+    k = commerce.kpi_overview(df, None).first()
+    assert (k.users, k.sessions, k.orders) == (len(users), len(sessions), len(orders))
+    assert k.revenue == _round(revenue)
+    assert k.average_order_value == (_round(revenue / len(orders)) if orders and revenue is not None else None)
+    assert k.analysis_start_date == dt.date(2024, 1, 10)
+
+
+def test_kpi_daily(data):
+    rows, df = data
+    orders = _orders(rows, by_day=True)
+    got = {r.event_date.strftime("%Y%m%d"): r for r in commerce.kpi_daily(df, None).collect()}
+    assert set(got) == {r["day"] for r in rows}
+    for day, r in got.items():
+        day_rows = [x for x in rows if x["day"] == day]
+        users = {x["user"] for x in day_rows if x["user"] is not None}
+        sessions = {(x["user"], x["session"]) for x in day_rows if x["user"] is not None and x["session"] is not None}
+        day_orders = {k: v for k, v in orders.items() if k[0] == day}
+        revenue = sum(v for v in day_orders.values() if v is not None)
+        assert (r.users, r.sessions, r.orders) == (len(users), len(sessions), len(day_orders))
+        assert r.revenue == round(revenue, 2)
+
+
+def test_purchase_quality_and_anomalies(data):
+    rows, df = data
+    purchases = [r for r in rows if r["name"] == "purchase"]
+    groups = defaultdict(list)
+    contexts = defaultdict(set)
+    by_txn = defaultdict(list)
+    for r in purchases:
+        t = _txn(r)
+        if t is None:
+            continue
+        groups[(r["user"], r["session"], t)].append(r["rev"])
+        by_txn[t].append(r["rev"])
+        if r["user"] is not None and r["session"] is not None:
+            contexts[t].add((r["user"], r["session"]))
+    q = commerce.purchase_quality(df, None).first()
+    assert q.purchase_events == len(purchases)
+    assert q.events_missing_transaction_id == sum(_txn(r) is None for r in purchases)
+    assert q.events_missing_revenue == sum(r["rev"] is None for r in purchases)
+    assert q.unique_orders == len(groups)
+    assert q.unique_transaction_ids == len(by_txn)
+    assert q.reused_transaction_ids == sum(len(c) > 1 for c in contexts.values())
+    assert q.orders_with_duplicate_events == sum(len(v) > 1 for v in groups.values())
+    assert q.extra_duplicate_purchase_events == (sum(len(v) - 1 for v in groups.values()) if groups else None)
+    maxes = [max([x for x in v if x is not None], default=None) for v in groups.values()]
+    assert q.orders_missing_revenue == sum(m is None for m in maxes)
+    assert q.orders_with_non_positive_revenue == sum((m or 0) <= 0 for m in maxes)
+    assert q.orders_with_conflicting_revenue == sum(
+        len({x for x in v if x is not None}) > 1 for v in groups.values()
+    )
+    want = {
+        t: sorted({x for x in v if x is not None})
+        for t, v in by_txn.items()
+        if all(x is None for x in v) or len({x for x in v if x is not None}) > 1
+    }
+    got = {r.transaction_id: (r.recorded_revenue_values or []) for r in commerce.revenue_anomalies(df, None).collect()}
+    assert got == want
+    events = commerce.anomalous_purchase_events(df, None).collect()
+    assert len(events) == sum(len(by_txn[t]) for t in want)
