@@ -1,4 +1,6 @@
-"""Presence funnel, KPIs and purchase checks against direct Python on random rows."""
+"""Statements against direct Python on random rows (null keys, placeholders,
+multi-day orders): presence funnel, overview, quality checks, KPIs, purchase
+checks and the purchase-session journey."""
 
 from __future__ import annotations
 
@@ -144,3 +146,75 @@ def test_purchase_quality_and_anomalies(data):
     assert got == want
     events = commerce.anomalous_purchase_events(df, None).collect()
     assert len(events) == sum(len(by_txn[t]) for t in want)
+
+
+def test_overview_and_quality_checks(data):
+    from sessionflow.operators import overview, quality
+
+    rows, df = data
+    o = overview.dataset_overview(df).first()
+    assert o.total_events == len(rows)
+    assert o.total_users == len({r["user"] for r in rows if r["user"] is not None})
+    assert o.total_sessions == len(
+        {(r["user"], r["session"]) for r in rows if r["user"] is not None and r["session"] is not None}
+    )
+    core = [r for r in rows if r["name"] in funnel.CORE_STAGES]
+    u = quality.missing_user_id(df, None).first()
+    assert (u.total_core_events, u.events_missing_user_id) == (len(core), sum(r["user"] is None for r in core))
+    s = quality.missing_session_id(df, None).first()
+    assert s.events_missing_session_id == sum(r["session"] is None for r in core)
+    daily = {r.event_date.strftime("%Y%m%d"): r for r in quality.daily_event_counts(df, None).collect()}
+    for day, r in daily.items():
+        names = [x["name"] for x in rows if x["day"] == day]
+        assert (r.view_item_events, r.add_to_cart_events) == (names.count("view_item"), names.count("add_to_cart"))
+    ratios = []
+    zero_days = []
+    for day in sorted({r["day"] for r in rows}):
+        names = [x["name"] for x in rows if x["day"] == day]
+        carts, views = names.count("add_to_cart"), names.count("view_item")
+        if carts == 0:
+            zero_days.append(day)
+        if views:
+            ratios.append(carts / views)
+    rp = quality.reliable_period(df, None).first()
+    assert rp.days_with_zero_add_to_cart == len(zero_days)
+    assert rp.minimum_daily_cart_to_view_pct == (round(100 * min(ratios), 2) if ratios else None)
+
+
+def test_purchase_session_journey(data):
+    from sessionflow.operators import overview
+
+    rows, df = data
+    day = DAYS[0]
+    day_rows = [r for r in rows if r["day"] == day and r["user"] is not None and r["session"] is not None]
+    sizes = defaultdict(int)
+    buyers = set()
+    for r in day_rows:
+        sizes[(r["user"], r["session"])] += 1
+        if r["name"] == "purchase":
+            buyers.add((r["user"], r["session"]))
+    if not buyers:
+        return
+    best = min(buyers, key=lambda k: (-sizes[k], k[0], k[1]))
+    chosen = [r for r in day_rows if (r["user"], r["session"]) == best and r["name"] in
+              ("view_item", "add_to_cart", "begin_checkout", "purchase")]
+    want = {}
+    for r in chosen:
+        n, lo, hi, rv = want.get(r["name"], (0, None, None, None))
+        want[r["name"]] = (
+            n + 1,
+            r["t"] if lo is None else min(lo, r["t"]),
+            r["t"] if hi is None else max(hi, r["t"]),
+            rv if r["rev"] is None else (r["rev"] if rv is None else max(rv, r["rev"])),
+        )
+    epoch = dt.datetime(1970, 1, 1)
+    got = {
+        r.event_name: (
+            r.event_count,
+            int((r.first_event_time - epoch).total_seconds() * 1_000_000),
+            int((r.last_event_time - epoch).total_seconds() * 1_000_000),
+            r.purchase_revenue,
+        )
+        for r in overview.purchase_session_journey(df, day).collect()
+    }
+    assert got == want
