@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionflow.operators import funnel
 from tests.events import ev, frame
@@ -48,3 +49,37 @@ def test_chain_matches_direct_greedy(spark, seed, policy):
     times = funnel.ordered_stage_times(frame(spark, rows), None, skew_policy=policy).collect()
     got = {(r.user_pseudo_id, r.ga_session_id): [r._t0, r._t1, r._t2, r._t3] for r in times}
     assert got == expected
+
+
+def test_segment_attribution_matches_direct_rule(spark):
+    rnd = random.Random(5)
+    rows, expected_dev, expected_src = [], {}, {}
+    for i in range(250):
+        user, session = f"u{i % 23}", i
+        events = []
+        for _ in range(rnd.randint(1, 8)):
+            events.append((
+                rnd.choice(NAMES), rnd.randint(0, 4),
+                rnd.choice([None, "desktop", "mobile", "tablet"]),
+                rnd.choice([None, "google", "shop"]), rnd.choice([None, "organic", "referral"]),
+            ))
+        rows += [ev(n, t, user, session, device=d, source=s, medium=m) for n, t, d, s, m in events]
+        views = [e for e in events if e[0] == STAGES[0]]
+        if views:
+            with_dev = sorted((t, d) for _, t, d, _, _ in views if d is not None)
+            expected_dev[(user, session)] = with_dev[0][1] if with_dev else None
+            pairs = sorted((t, s or "(direct)", m or "(none)") for _, t, _, s, m in views)
+            expected_src[(user, session)] = pairs[0][1:]
+    df = frame(spark, rows)
+    dev = funnel.ordered_stage_times(df, None, attributes={"d": (F.col("device.category"), True)})
+    assert {(r.user_pseudo_id, r.ga_session_id): r.d for r in dev.collect()} == expected_dev
+    by_device = funnel.funnel_by_device(df, None).collect()
+    counts = {}
+    for d in expected_dev.values():
+        counts[d or "unknown"] = counts.get(d or "unknown", 0) + 1
+    assert {r.device_category: r.view_item_sessions for r in by_device} == counts
+    by_source = funnel.funnel_by_first_source(df, None, min_sessions=0, top=None).collect()
+    counts = {}
+    for p in expected_src.values():
+        counts[p] = counts.get(p, 0) + 1
+    assert {(r.first_user_source, r.first_user_medium): r.view_item_sessions for r in by_source} == counts
