@@ -215,7 +215,7 @@ RAW_SCHEMAS = {
 }
 
 
-_COUNTRY_MAPS: dict[tuple[int, str], Column | None] = {}
+_COUNTRY_MAPS: dict[tuple[str, str], Column | None] = {}
 
 
 class DerivedEventSource:
@@ -234,7 +234,7 @@ class DerivedEventSource:
         nation = self._read("nation")
         if not self._countries_read:
             # one small read per session and table (the test tables are read-only)
-            key = (id(self.spark), self.sf_dir)
+            key = (self.spark.sparkContext.applicationId, self.sf_dir)
             if key not in _COUNTRY_MAPS:
                 _COUNTRY_MAPS[key] = country_map(nation)
             self._countries = _COUNTRY_MAPS[key]
