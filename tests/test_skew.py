@@ -77,3 +77,16 @@ def test_null_user_large_session_for_presence(spark):
         out = funnel.presence_vs_ordered(df, None, skew_policy=policy).orderBy("step_number")
         got = [(r.presence_sessions, r.ordered_sessions) for r in out.collect()]
         assert got == [(2, 1), (1, 0), (0, 0), (0, 0)]
+
+
+def test_large_session_path_on_the_partitioned_source(spark, tmp_path):
+    from sessionflow.sources.parquet import ParquetEventSource, write_events
+    from tests.conftest import SF_SMALL
+
+    root = str(tmp_path / "events")
+    write_events(DerivedEventSource(spark, SF_SMALL).table(), root, files_per_day=1)
+    stored = ParquetEventSource(spark, root)
+    for fn in (funnel.ordered_funnel, funnel.presence_vs_ordered, funnel.funnel_by_device):
+        plain = sorted(map(tuple, fn(stored, FIXTURE_OFFICIAL).collect()))
+        forced = sorted(map(tuple, fn(stored, FIXTURE_OFFICIAL, skew_policy=FORCED).collect()))
+        assert plain == forced, fn.__name__
