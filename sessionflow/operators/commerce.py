@@ -159,9 +159,10 @@ def anomalous_purchase_events(
 
 
 def _base_events(source: SourceLike, period: Period | None) -> DataFrame:
+    """Events with the ``YYYYMMDD`` text of their day (parsed after aggregation)."""
     ev = as_source(source).scan(period)
     return ev.select(
-        event_day().alias("event_date"),
+        F.col("event_date"),
         F.col(USER),
         session_id().alias(SESSION),
         F.col("event_name"),
@@ -207,8 +208,8 @@ def kpi_overview(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) ->
     """
     sessions = _session_orders(_base_events(source, period))
     kpi = sessions.agg(
-        F.min("_first").alias("analysis_start_date"),
-        F.max("_last").alias("analysis_end_date"),
+        event_day(F.min("_first")).alias("analysis_start_date"),
+        event_day(F.max("_last")).alias("analysis_end_date"),
         F.count_distinct(USER).alias("users"),
         F.count_if(_is_session()).alias("sessions"),
         F.coalesce(F.sum("_orders"), F.lit(0)).cast("long").alias("orders"),
@@ -247,7 +248,7 @@ def kpi_daily(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) -> Da
     orders = F.col("orders")
     rev = F.coalesce(F.col("_revenue"), F.lit(0.0))
     return daily.select(
-        "event_date",
+        event_day().alias("event_date"),
         "users",
         "sessions",
         "orders",

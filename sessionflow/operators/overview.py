@@ -31,14 +31,17 @@ def dataset_overview(source: SourceLike, period: Period | None = None) -> DataFr
     non-null (the reference's null-propagating CONCAT).
     """
     ev = as_source(source).scan(period).select(
-        F.col(USER), session_id().alias(SESSION), event_day().alias("_day")
+        F.col(USER), session_id().alias(SESSION), F.col("event_date")
     )
+    # min / max on the YYYYMMDD text (same order as the dates), parsed once
     per_session = ev.groupBy(USER, SESSION).agg(
-        F.min("_day").alias("_first"), F.max("_day").alias("_last"), F.count(F.lit(1)).alias("_n")
+        F.min("event_date").alias("_first"),
+        F.max("event_date").alias("_last"),
+        F.count(F.lit(1)).alias("_n"),
     )
     return per_session.agg(
-        F.min("_first").alias("start_date"),
-        F.max("_last").alias("end_date"),
+        event_day(F.min("_first")).alias("start_date"),
+        event_day(F.max("_last")).alias("end_date"),
         F.coalesce(F.sum("_n").cast("long"), F.lit(0).cast("long")).alias("total_events"),
         F.count_distinct(USER).alias("total_users"),
         F.count_if(F.col(USER).isNotNull() & F.col(SESSION).isNotNull()).alias("total_sessions"),

@@ -22,7 +22,10 @@ def daily_event_counts(
     """
     ev = as_source(source).scan(period, names)
     counts = [F.count_if(F.col("event_name") == n).alias(f"{n}_events") for n in names]
-    return ev.groupBy(event_day().alias("event_date")).agg(*counts).orderBy("event_date")
+    daily = ev.groupBy("event_date").agg(*counts)  # grouped on the text, parsed per day
+    return daily.select(
+        event_day().alias("event_date"), *[f"{n}_events" for n in names]
+    ).orderBy("event_date")
 
 
 def reliable_period(
@@ -38,11 +41,11 @@ def reliable_period(
     All events of the period are counted (no name filter): a day with only
     other events is a zero day; a day without events does not exist.
     """
-    ev = as_source(source).scan(period).select(event_day().alias("_d"), "event_name")
-    daily = ev.groupBy("_d").agg(
+    ev = as_source(source).scan(period).select("event_date", "event_name")
+    daily = ev.groupBy("event_date").agg(
         F.count_if(F.col("event_name") == base).alias("_base"),
         F.count_if(F.col("event_name") == watched).alias("_watched"),
-    )
+    ).withColumn("_d", event_day())  # parsed once per day
     zero_day = F.when(F.col("_watched") == 0, F.col("_d"))
     ratio = safe_div(F.col("_watched"), F.col("_base"))
     return daily.agg(
