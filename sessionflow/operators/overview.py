@@ -68,13 +68,13 @@ def sample_records(source: SourceLike, day: str = SAMPLE_DAY, n: int = 20) -> Da
 
     Sorted by event time, then by every output column (nulls first) so ties
     give the same rows on every run. ``orderBy().limit()`` plans a
-    ``TakeOrderedAndProject``: a per-partition top-n, no full sort.
+    ``TakeOrderedAndProject``: a per-partition top-n, no full sort; the date
+    parse and the timestamp are computed for the n rows only.
     """
     ev = as_source(source).scan(Period.day(day))
     flat = ev.select(
         F.col("event_timestamp").alias("_ts"),
-        event_day().alias("event_date"),
-        event_time().alias("event_time"),
+        F.col("event_date").alias("_day"),
         F.col("event_name"),
         F.col(USER),
         session_id().alias(SESSION),
@@ -86,7 +86,13 @@ def sample_records(source: SourceLike, day: str = SAMPLE_DAY, n: int = 20) -> Da
         F.size("items").alias("item_count"),
     )
     order = [F.col("_ts")] + [F.col(c).asc_nulls_first() for c in SAMPLE_COLUMNS[2:]]
-    return flat.orderBy(*order).limit(n).select(*SAMPLE_COLUMNS)
+    # date and time are derived after the limit: for n rows, not the whole day
+    top = flat.orderBy(*order).limit(n)
+    return top.select(
+        event_day("_day").alias("event_date"),
+        event_time("_ts").alias("event_time"),
+        *SAMPLE_COLUMNS[2:],
+    )
 
 
 def purchase_session_journey(
