@@ -100,3 +100,31 @@ def test_country_lookup_join_fallback_equals_inlined_map(spark):
         "CAST(id AS INT) AS n_nationkey", "CAST(id AS STRING) AS n_name"
     )
     assert fx.country_map(big) is None
+
+
+def test_stored_files_are_ordered_by_event_name(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = hconf.get("parquet.block.size")
+    hconf.set("parquet.block.size", str(64 * 1024))
+    try:
+        root = str(tmp_path / "ev")
+        write_events(DerivedEventSource(spark, "/root/testdata/sf0.1").table(), root, files_per_day=1)
+    finally:
+        if old is None:
+            hconf.unset("parquet.block.size")
+        else:
+            hconf.set("parquet.block.size", old)
+    f = sorted(glob.glob(f"{root}/table_suffix=20240115/*.parquet"))[0]
+    md = pq.ParquetFile(f).metadata
+    col = [i for i in range(md.num_columns) if md.schema.column(i).path == "event_name"][0]
+    ranges = [
+        (md.row_group(i).column(col).statistics.min, md.row_group(i).column(col).statistics.max)
+        for i in range(md.num_row_groups)
+    ]
+    assert len(ranges) > 1
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))  # names do not interleave
+    assert sum(lo <= "purchase" <= hi for lo, hi in ranges) < len(ranges)
