@@ -128,3 +128,10 @@ def test_stored_files_are_ordered_by_event_name(spark, tmp_path):
     assert len(ranges) > 1
     assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))  # names do not interleave
     assert sum(lo <= "purchase" <= hi for lo, hi in ranges) < len(ranges)
+
+
+def test_repeated_key_check_reads_only_the_key_leaf(spark, stored):
+    df = quality.repeated_param_keys(stored, FIXTURE_OFFICIAL)
+    df.collect()
+    schema = re.search(r"ReadSchema: (struct<[^ ]*)", plan_text(df)).group(1)
+    assert "event_params:array<struct<key:string>>" in schema and "value" not in schema
