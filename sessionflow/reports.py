@@ -16,6 +16,7 @@ import argparse
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import commerce, funnel, overview, quality
 from .schema import Period
@@ -59,8 +60,10 @@ def run_all(
     official: Period | None = None,
     day: str | None = None,
     only: list[str] | None = None,
+    fmt: str = "parquet",
 ) -> dict[str, str]:
-    """Compute the statements and write each to ``out_dir/<name>``.
+    """Compute the statements and write each to ``out_dir/<name>`` as Parquet
+    or, with ``fmt="csv"``, as CSV with a header (array columns as text).
 
     ``official`` defaults to the period 09.2 implies (``review`` when no day
     lacks add-to-cart events); ``day`` (03, 04) defaults to the last review
@@ -77,7 +80,18 @@ def run_all(
         if only and name not in only:
             continue
         path = f"{out_dir.rstrip('/')}/{name}"
-        fn(source).write.mode("overwrite").parquet(path)
+        df = fn(source)
+        if fmt == "csv":
+            arrays = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}
+            df = df.select(
+                *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if c in arrays else c
+                  for c in df.columns]
+            )
+            df.write.mode("overwrite").option("header", True).csv(path)
+        elif fmt == "parquet":
+            df.write.mode("overwrite").parquet(path)
+        else:
+            raise ValueError(f"unknown format {fmt!r}")
         written[name] = path
     return written
 
@@ -94,10 +108,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--review", required=True, type=_period, help="START:END suffixes")
     p.add_argument("--official", type=_period, help="START:END (default: from 09.2)")
     p.add_argument("--day", help="YYYYMMDD for 03 and 04 (default: end of review)")
+    p.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("sessionflow-reports").getOrCreate()
     source = ParquetEventSource(spark, args.events_root)
-    for name, path in run_all(source, args.out_dir, args.review, args.official, args.day).items():
+    results = run_all(
+        source, args.out_dir, args.review, args.official, args.day, fmt=args.format
+    )
+    for name, path in results.items():
         print(name, path)
 
 

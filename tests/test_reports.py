@@ -50,3 +50,15 @@ def test_command_line_over_a_partitioned_table(spark, tmp_path, capsys):
     assert len([line for line in printed if line]) == 19
     got = spark.read.parquet(str(tmp_path / "out" / "10_ordered_funnel"))
     assert [r.sessions for r in got.orderBy("step_number").collect()] == [80, 37, 13, 2]
+
+
+def test_runner_csv_output(spark, tmp_path):
+    src = DerivedEventSource(spark, SF_SMALL)
+    written = run_all(
+        src, str(tmp_path / "c"), FIXTURE_REVIEW, FIXTURE_OFFICIAL,
+        only=["10_ordered_funnel", "11_2_revenue_anomalies"], fmt="csv",
+    )
+    funnel_rows = spark.read.option("header", True).csv(written["10_ordered_funnel"]).collect()
+    assert sorted(int(r.sessions) for r in funnel_rows) == [2, 13, 37, 80]
+    anomalies = spark.read.option("header", True).csv(written["11_2_revenue_anomalies"])
+    assert anomalies.count() == 22 and "recorded_revenue_values" in anomalies.columns
