@@ -2,7 +2,7 @@
 
 The analysis is a sequence of statements over the same events: overviews,
 quality checks, funnels and KPIs. ``run_all`` computes them all for the given
-periods and writes each result as Parquet under ``out_dir/<name>``. Without an
+periods and writes each result (Parquet, or CSV) under ``out_dir/<name>``. Without an
 official period, the runner takes the one that 09.2 implies (the day after
 the last day without add-to-cart events, to the end of the review period),
 the step the analyst otherwise does by hand.
@@ -83,10 +83,11 @@ def run_all(
         df = fn(source)
         if fmt == "csv":
             arrays = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}
-            df = df.select(
-                *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if c in arrays else c
-                  for c in df.columns]
-            )
+            as_text = [
+                F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if c in arrays else c
+                for c in df.columns
+            ]
+            df = df.select(*as_text)
             df.write.mode("overwrite").option("header", True).csv(path)
         elif fmt == "parquet":
             df.write.mode("overwrite").parquet(path)
