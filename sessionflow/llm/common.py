@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,47 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
+
+
+def dealt_in_tiles(rows: DataFrame, group: list[str], by: str, tile: int) -> DataFrame:
+    """Deal the rows of each group out as pairs of tiles that are compared.
+
+    A group of more than ``tile`` rows is cut by the hash of ``by`` into tiles
+    of about that size, and each row goes to every pair that its tile is in:
+    columns ``i <= j`` name the pair, ``first`` whether the row is of tile i.
+    Every two rows of a group meet in exactly one pair (twice the same tile
+    for rows of one tile). Groups of one row are left out.
+    """
+    sizes = (
+        rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        .select(*group, F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    )
+    return (
+        salted_join(rows, sizes, group, [by])
+        .withColumn("_tile", F.pmod(F.xxhash64(by, F.lit(7)), F.col("_tiles")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+        .withColumn("i", F.least("_tile", "_other"))
+        .withColumn("j", F.greatest("_tile", "_other"))
+        .withColumn("first", F.col("_tile") <= F.col("_other"))
+        .drop("_tile", "_other", "_tiles")
+    )
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of a partition sorted by ``keys``, cut so that no group is split.
+
+    The last group of a batch waits for the next batch; groups are tile pairs,
+    so what waits is bounded.
+    """
+    rest = None
+    for batch in batches:
+        part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(part):
+            continue
+        named = part[keys].to_numpy()
+        last = int((named == named[-1]).all(1).argmax())
+        rest = part.iloc[last:]
+        if last:
+            yield part.iloc[:last]
+    if rest is not None and len(rest):
+        yield rest

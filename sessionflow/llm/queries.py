@@ -11,7 +11,18 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, pii, quality, simhash, toxicity
+from . import (
+    byte_bpe,
+    html_text,
+    language,
+    packing,
+    pii,
+    quality,
+    simhash,
+    spotsigs,
+    toxicity,
+    vectors,
+)
 from .common import held_out, table
 
 #: Per application, the folder of the archive sent to its executors.
@@ -49,6 +60,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), 2048, end_id=0)
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select(
@@ -72,6 +95,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, held, toxicity.score(model, F.col("text")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_corpus(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    )
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = pii.fit(docs)
@@ -114,8 +143,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [
     op1_best_fit_packing,
+    op2_document_fingerprints,
+    op3_embedding_near_dedup,
+    op4_html_extraction,
     op5_simhash_near_dedup,
     op6_toxicity,
+    op7_language_id,
     op8_pii,
     op9_byte_bpe,
     op10_quality,

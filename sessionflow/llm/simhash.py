@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, salted_join, staged
+from .common import NULL_ID, dealt_in_tiles, salted_join, staged, whole_groups
 from .components import components
 
 BITS = 64
@@ -189,24 +189,14 @@ def _linked(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
 
 
-def _compare(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
-    """Links inside the comparison groups of a partition sorted by group.
+_PAIR = ["t", "k", "i", "j"]
 
-    A group has at most ``2 * TILE`` expected rows; the last one of a batch
-    waits for the next batch.
-    """
-    rest = None
-    for batch in chain(batches, [None]):
-        part = rest if batch is None else batch if rest is None else pd.concat([rest, batch])
-        if part is None or not len(part):
-            continue
-        keys = part[["t", "k", "i", "j"]].to_numpy()
+
+def _compare(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
+    """Links inside the tile pairs of a partition sorted by pair."""
+    for part in whole_groups(batches, _PAIR):
+        keys = part[_PAIR].to_numpy()
         new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
-        if batch is not None:
-            last = int(np.nonzero(new)[0][-1])
-            rest, part, new = part.iloc[last:], part.iloc[:last], new[:last]
-            if not len(part):
-                continue
         values = part["fp"].to_numpy().view(np.uint64)
         first = part["first"].to_numpy()
         one_tile = (part["i"] == part["j"]).to_numpy()
@@ -239,25 +229,10 @@ def near_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))
     ]
     rows = fps.select("fp", F.inline(F.array(*tables)))
-    # buckets of two fingerprints or more, and the tiles they are cut into
-    sizes = (
-        rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("t", "k", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    )
-    met = salted_join(rows, sizes, ["t", "k"], ["fp"])
-    dealt = (
-        met.withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "t", "k", "fp",
-            F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-            (F.col("tile") <= F.col("other")).alias("first"),
-        )
-    )
-    group = ["t", "k", "i", "j"]
     return (
-        dealt.repartition(*group)
-        .sortWithinPartitions(*group)
+        dealt_in_tiles(rows, ["t", "k"], "fp", TILE)
+        .repartition(*_PAIR)
+        .sortWithinPartitions(*_PAIR)
         .mapInPandas(lambda parts: _compare(parts, max_bits), "a long, b long")
         .distinct()
     )
