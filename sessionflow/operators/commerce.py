@@ -102,16 +102,17 @@ def _transaction_summary(pe: DataFrame) -> DataFrame:
     """Per transaction id: events, events without revenue, the distinct
     revenue values (sorted; null when there is none), their count, min, max.
 
-    One aggregate: ``collect_set`` merges map-side like the other partial
-    aggregates, and its size is the exact distinct count.
+    First one row per (id, revenue), then per id: an id's events collapse
+    before they meet, and only its distinct values are collected.
     """
     rev = F.col(REV)
-    values = F.collect_set(rev)
-    return pe.where(F.col(TXN).isNotNull()).groupBy(TXN).agg(
-        F.count(F.lit(1)).alias("purchase_events"),
-        F.count_if(rev.isNull()).alias("events_missing_revenue"),
-        F.size(values).cast("long").alias("distinct_revenue_values"),
-        F.nullif(F.sort_array(values), F.array().cast("array<double>")).alias(
+    values = pe.where(F.col(TXN).isNotNull()).groupBy(TXN, REV).agg(F.count(F.lit(1)).alias("_n"))
+    listed = F.collect_list(rev)  # distinct by the first level; nulls are left out
+    return values.groupBy(TXN).agg(
+        F.sum("_n").alias("purchase_events"),
+        F.coalesce(F.sum(F.when(rev.isNull(), F.col("_n"))), F.lit(0)).cast("long").alias("events_missing_revenue"),
+        F.count(rev).alias("distinct_revenue_values"),
+        F.nullif(F.sort_array(listed), F.array().cast("array<double>")).alias(
             "recorded_revenue_values"
         ),
         F.min(rev).alias("minimum_recorded_revenue"),
@@ -119,6 +120,10 @@ def _transaction_summary(pe: DataFrame) -> DataFrame:
     )
 
 
+#: Tasks that the events of one transaction id are spread over in 11.3.
+ID_SALTS = 32
+
+
 def revenue_anomalies(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) -> DataFrame:
     """11.2: transaction ids with no revenue at all or more than one distinct value."""
     summary = _transaction_summary(purchase_events(source, period))
@@ -132,9 +137,9 @@ def anomalous_purchase_events(
 ) -> DataFrame:
     """11.3: every purchase event of the anomalous transaction ids.
 
-    The id list grows with the data, so it is a ``left_semi`` join the planner
-    sizes at run time (broadcast when small, sort-merge otherwise; a skewed id
-    is split by AQE's skew-join handling).
+    The id list grows with the data, so it is a ``left_semi`` join that the
+    planner sizes at run time. An id may hold a large share of the events: its
+    events are spread over ``ID_SALTS`` keys and the bad ids repeated for each.
     """
     pe = purchase_events(source, period)
     # the same condition as 11.2 without its distinct level: more than one
@@ -147,7 +152,11 @@ def anomalous_purchase_events(
         .where(F.col("_hi").isNull() | (F.col("_lo") < F.col("_hi")))
         .select(TXN)
     )
-    hits = pe.where(F.col(TXN).isNotNull()).join(bad, TXN, "left_semi")
+    spread = F.pmod(F.xxhash64(USER, "event_timestamp"), F.lit(ID_SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(ID_SALTS - 1)))
+    hits = pe.where(F.col(TXN).isNotNull()).withColumn("_salt", spread).join(
+        bad.withColumn("_salt", every), [TXN, "_salt"], "left_semi"
+    )
     return hits.select(
         TXN,
         event_day().alias("event_date"),
@@ -159,10 +168,11 @@ def anomalous_purchase_events(
 
 
 def _base_events(source: SourceLike, period: Period | None) -> DataFrame:
-    """Events with the ``YYYYMMDD`` text of their day (parsed after aggregation)."""
+    """Events with the ``YYYYMMDD`` text of their day and the day itself."""
     ev = as_source(source).scan(period)
     return ev.select(
         F.col("event_date"),
+        event_day().alias("_day"),
         F.col(USER),
         session_id().alias(SESSION),
         F.col("event_name"),
@@ -184,8 +194,8 @@ def _session_orders(base: DataFrame, *extra_keys: str) -> DataFrame:
     order_id = F.when((F.col("event_name") == "purchase") & F.col(TXN).isNotNull(), F.col(TXN))
     keyed = base.withColumn("_order", order_id)
     per_order = keyed.groupBy(*extra_keys, USER, SESSION, "_order").agg(
-        F.min("event_date").alias("_first"),
-        F.max("event_date").alias("_last"),
+        F.min("_day").alias("_first"),
+        F.max("_day").alias("_last"),
         F.max(F.when(F.col("_order").isNotNull(), F.col(REV))).alias("_order_revenue"),
     )
     return per_order.groupBy(*extra_keys, USER, SESSION).agg(
@@ -208,8 +218,8 @@ def kpi_overview(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) ->
     """
     sessions = _session_orders(_base_events(source, period))
     kpi = sessions.agg(
-        event_day(F.min("_first")).alias("analysis_start_date"),
-        event_day(F.max("_last")).alias("analysis_end_date"),
+        F.min("_first").alias("analysis_start_date"),
+        F.max("_last").alias("analysis_end_date"),
         F.count_distinct(USER).alias("users"),
         F.count_if(_is_session()).alias("sessions"),
         F.coalesce(F.sum("_orders"), F.lit(0)).cast("long").alias("orders"),

@@ -8,19 +8,16 @@ time of stage 0 in the session; ``t_k`` is the first time of stage ``k``
 strictly after ``t_{k-1}``; a missing stage ends the chain. Equal timestamps
 never count as progress.
 
-Physical plan of the ordered chain (``ordered_stage_times``): one scan, one
-event-level shuffle on the session key, partial aggregation into per-session
-``min`` / time sets, then the chain as a projection. The reference's range
-left-join chain (three sort-merge joins with fan-out) and a window per stage
-are both avoided. Sessions above a size bound (found only when some user is
-that large) leave this plan for one made of broadcast joins and partial
-aggregates, so no task ever holds one of them whole.
+Physical plan of the ordered chain (``ordered_stage_times``), the same for
+all data: one scan; equal (session, time) rows collapse to stage flags; time
+blocks of a session are summarised separately and folded (by wider blocks, if
+given, then) by session. A session of any size is spread over
+its blocks, and no task holds more of it than one block, or one row per block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.exprs import pct, session_id
-from ..plans import skew
 from ..plans.report import rows_from_one
 from ..schema import (
     CORE_STAGES,
@@ -39,7 +35,6 @@ from ..schema import (
     UNKNOWN_DEVICE,
     Period,
 )
-from ..plans.materialize import materialize
 from ..sources.base import SourceLike, as_source
 
 USER, SESSION = "user_pseudo_id", "ga_session_id"
@@ -47,18 +42,10 @@ KEYS = (USER, SESSION)
 _STAGE, _T = "_stage", "_t"
 
 
-@dataclass(frozen=True)
-class SkewPolicy:
-    """Sessions above ``max_session_rows`` stage events leave the set-based
-    plan (at most ``max_keys`` of them, largest first); ``enabled=False``
-    skips the check (for data known to have no such session)."""
-
-    max_session_rows: int = skew.DEFAULT_MAX_SESSION_ROWS
-    max_keys: int = skew.DEFAULT_MAX_KEYS
-    enabled: bool = True
-
-
-DEFAULT_SKEW = SkewPolicy()
+#: Widths in microseconds of the time blocks that a session is folded by: ten
+#: seconds hold at most ten million times, a day 8,640 blocks. Further, wider
+#: widths may follow where a period is so long that a session has too many.
+BLOCK_WIDTHS = (10_000_000,)
 
 
 def _check_stages(stages: Sequence[str], labels: Sequence[str] | None) -> list[str]:
@@ -108,80 +95,91 @@ def stage_events(
     return ev.where(valid)
 
 
-def _first_by_time_struct(value: Column, ignore_nulls: bool) -> Column:
-    packed = F.struct(F.col(_T).alias("t"), value.alias("v"))
-    return F.when(value.isNotNull(), packed) if ignore_nulls else packed
-
+def _step(entry: int, stage: int) -> str:
+    """Column with the time of ``stage`` for a session that needs ``entry`` next."""
+    return f"_s{entry}_{stage}"
 
-def _next_time(times: Column, prev: Column) -> Column:
-    """First time in ``times`` strictly after ``prev`` (null if none / prev null)."""
-    return F.array_min(F.filter(times, lambda x: x > prev))
 
+def _steps(n: int) -> list[tuple[int, int]]:
+    return [(j, k) for j in range(n) for k in range(j, n)]
 
-def _join_keyed(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    """Join on the session key with null-safe equality (a null user is a key
-    value here); ``right`` is one row per session and bounded, so broadcast."""
-    r = right.select(*[F.col(c).alias(f"_r{c}") for c in right.columns])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in KEYS])
-    j = left.join(F.broadcast(r), on, how).drop(*[f"_r{k}" for k in KEYS])
-    return j.select(*left.columns, *[F.col(f"_r{c}").alias(c) for c in right.columns if c not in KEYS])
 
-
-def _chain_by_sets(
-    ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]], presence: bool
-) -> DataFrame:
-    """The chain for sessions of bounded size: one shuffle on the session key,
-    per-session ``min`` of stage-0 times and the *set* of times of each later
-    stage, then ``t_k = array_min(filter(times_k, x -> x > t_{k-1}))`` as a
-    projection (a null ``t_{k-1}`` empties the filter and ends the chain)."""
+def _instants(ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """One row per session and time: which stages occur, and the least
+    attribute values of its stage-0 events (wrapped, so a null is a value)."""
     stage = F.col(_STAGE)
-    aggs = [F.min(F.when(stage == 0, F.col(_T))).alias("_m0")]
-    aggs += [F.collect_set(F.when(stage == k, F.col(_T))).alias(f"_a{k}") for k in range(1, n)]
-    aggs += [
-        F.min(F.when(stage == 0, _first_by_time_struct(F.col(a), ign))).alias(a)
-        for a, (_, ign) in attributes.items()
+    aggs = [F.bool_or(stage == k).alias(f"_p{k}") for k in range(n)]
+    for a, (_, ignore_nulls) in attributes.items():
+        counts = stage == 0
+        if ignore_nulls:
+            counts = counts & F.col(a).isNotNull()
+        aggs.append(F.min(F.when(counts, F.struct(F.col(a).alias("v")))).alias(a))
+    return ev.groupBy(*KEYS, _T).agg(*aggs).withColumns(
+        {a: F.when(F.col(a).isNotNull(), F.struct(F.col(_T).alias("t"), F.col(a)["v"].alias("v")))
+         for a in attributes}
+    )
+
+
+def _carried(n: int, attributes: dict[str, tuple[Column, bool]]) -> list[Column]:
+    return [F.bool_or(f"_p{k}").alias(f"_p{k}") for k in range(n)] + [
+        F.min(a).alias(a) for a in attributes
     ]
-    per_session = ev.groupBy(*KEYS).agg(*aggs)
-    times = [F.col("_m0")]
-    for k in range(1, n):
-        times.append(_next_time(F.col(f"_a{k}"), times[-1]))
-    flags = [F.lit(True)] + [F.size(f"_a{k}") > 0 for k in range(1, n)]
-    return per_session.where(F.col("_m0").isNotNull()).select(
-        *KEYS,
-        *[F.col(a)["v"].alias(a) for a in attributes],
-        *[t.alias(f"_t{k}") for k, t in enumerate(times)],
-        *([f.alias(f"_p{k}") for k, f in enumerate(flags)] if presence else []),
-    )
 
 
-def _chain_by_rounds(
-    ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]], presence: bool
-) -> DataFrame:
-    """The chain for a bounded number of very large sessions: stage by stage,
-    the stage-k events meet the broadcast per-session ``t_{k-1}`` (one row per
-    session, at most the hot-key bound) and a partial + final ``min`` gives
-    ``t_k``. Only aggregates and broadcast joins: no task holds a session."""
-    stage = F.col(_STAGE)
-    first = ev.where(stage == 0).groupBy(*KEYS).agg(
-        F.min(_T).alias("_t0"),
-        *[F.min(_first_by_time_struct(F.col(a), ign)).alias(a) for a, (_, ign) in attributes.items()],
-    )
-    out = first.select(*KEYS, *[F.col(a)["v"].alias(a) for a in attributes], "_t0")
-    prev = out.select(*KEYS, F.col("_t0").alias("_tp"))
-    for k in range(1, n):
-        cur = ev.where(stage == k).select(*[F.col(c).alias(f"_e{c}") for c in KEYS], _T)
-        hit = cur.join(
-            F.broadcast(prev),
-            reduce(lambda a, b: a & b, [F.col(f"_e{c}").eqNullSafe(F.col(c)) for c in KEYS])
-            & (F.col(_T) > F.col("_tp")),
-        )
-        tk = hit.groupBy(*[F.col(f"_e{c}").alias(c) for c in KEYS]).agg(F.min(_T).alias(f"_t{k}"))
-        out = _join_keyed(out, tk)
-        prev = tk.select(*KEYS, F.col(f"_t{k}").alias("_tp"))
-    if presence:
-        flags = ev.groupBy(*KEYS).agg(*[F.bool_or(stage == k).alias(f"_p{k}") for k in range(n)])
-        out = _join_keyed(out, flags)
-    return out
+def _block(width: int) -> Column:
+    """Start of the time's block: exact integer arithmetic."""
+    return (F.col(_T) - F.pmod(F.col(_T), F.lit(width))).alias(_T)
+
+
+def _summarise(instants: DataFrame, n: int, attributes: dict, width: int) -> DataFrame:
+    """Per session and block: for each stage that may be needed next, the
+    times of the stages that the block alone then reaches."""
+    sets = [F.collect_set(F.when(F.col(f"_p{k}"), F.col(_T))).alias(f"_a{k}") for k in range(n)]
+    blocks = instants.groupBy(*KEYS, _block(width)).agg(*sets, *_carried(n, attributes))
+    for j in range(n):
+        blocks = blocks.withColumn(_step(j, j), F.array_min(f"_a{j}"))
+    for d in range(1, n):  # a projection per step: a time is computed once, then used
+        blocks = blocks.withColumns({
+            _step(j, j + d): F.array_min(F.filter(f"_a{j + d}", _later(_step(j, j + d - 1))))
+            for j in range(n - d)
+        })
+    return blocks.drop(*[f"_a{k}" for k in range(n)])
+
+
+def _later(column: str):
+    return lambda t: t > F.col(column)
+
+
+def _fold(blocks: DataFrame, n: int, attributes: dict, width: int | None) -> DataFrame:
+    """Join the blocks of each wider block (None: of each session) in time order.
+
+    From every entry stage, a block continues at the first stage that the
+    blocks before it have not reached.
+    """
+    keys = [*KEYS] if width is None else [*KEYS, _block(width)]
+    names = [_step(j, k) for j, k in _steps(n)]
+    listed = F.array_sort(F.collect_list(F.struct(F.col(_T).alias("at"), *names))).alias("_blocks")
+    joined = blocks.groupBy(*keys).agg(listed, *_carried(n, attributes))
+    entries = range(1) if width is None else range(n)  # a session begins at stage 0
+
+    def run(j: int) -> Column:
+        none = F.struct(*[F.lit(None).cast("long").alias(f"k{k}") for k in range(j, n)])
+
+        def add(acc: Column, block: Column) -> Column:
+            out = []
+            for k in range(j, n):
+                reached = F.when(acc[f"k{j}"].isNull(), block[_step(j, k)])
+                for s in range(j + 1, k + 1):
+                    reached = reached.when(acc[f"k{s}"].isNull(), block[_step(s, k)])
+                out.append(F.coalesce(acc[f"k{k}"], reached).alias(f"k{k}"))
+            return F.struct(*out)
+
+        return F.aggregate("_blocks", none, add)
+
+    folded = joined.withColumns({f"_e{j}": run(j) for j in entries}).drop("_blocks")
+    return folded.withColumns(
+        {_step(j, k): F.col(f"_e{j}")[f"k{k}"] for j in entries for k in range(j, n)}
+    ).drop(*[f"_e{j}" for j in entries])
 
 
 def ordered_stage_times(
@@ -189,7 +187,7 @@ def ordered_stage_times(
     period: Period | None = OFFICIAL_PERIOD,
     stages: Sequence[str] = CORE_STAGES,
     attributes: dict[str, tuple[Column, bool]] | None = None,
-    skew_policy: SkewPolicy = DEFAULT_SKEW,
+    widths: Sequence[int] = BLOCK_WIDTHS,
     require_user: bool = True,
     presence: bool = False,
 ) -> DataFrame:
@@ -201,16 +199,9 @@ def ordered_stage_times(
     ``attributes`` maps a name to ``(value, ignore_nulls)``: the value on the
     session's earliest stage-0 event (ties: smallest value).
 
-    Plan: one scan and one event-level shuffle (``_chain_by_sets``), whose
-    per-session time sets are bounded by ``skew_policy.max_session_rows``. A
-    session can only exceed that if its user does, so one aggregate job over
-    the user column (no ``event_params`` decoding) decides whether anything
-    else is needed. Only then are the sessions above the bound found (a
-    partial + final count per session, at most ``max_keys`` kept, largest
-    first). Their narrow rows are written once as a table under
-    ``spark.checkpoint.dir`` and go through ``_chain_by_rounds`` (broadcast
-    joins and partial aggregates only), while all other sessions keep the
-    single-shuffle plan.
+    Blocks are disjoint in time, so strict order holds between them and the
+    result does not depend on ``widths`` (narrow to wide, each a multiple of
+    the one before). Nothing runs while the plan is built.
     """
     stages = list(stages)
     n = len(stages)
@@ -218,29 +209,56 @@ def ordered_stage_times(
     ev = stage_events(
         source, period, stages, {a: c for a, (c, _) in attributes.items()}, require_user
     )
-    hot = None
-    if skew_policy.enabled:
-        users = as_source(source).scan(period, stages).select(USER)
-        if skew.any_hot(users, [USER], skew_policy.max_session_rows):
-            # the bounded key table is computed once and used three times
-            hot = materialize(
-                skew.hot_keys(ev, KEYS, skew_policy.max_session_rows, skew_policy.max_keys),
-                "hot-sessions",
-            )
-            if hot.isEmpty():
-                hot = None
-    if hot is None:
-        return _chain_by_sets(ev, n, attributes, presence)
-
-    hot_keys = hot.select(*[F.col(k).alias(f"_h{k}") for k in KEYS])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in KEYS])
-    cold = ev.join(F.broadcast(hot_keys), on, "left_anti")
-    big = materialize(ev.join(F.broadcast(hot_keys), on, "left_semi"), "hot-session-events")
-    return _chain_by_sets(cold, n, attributes, presence).unionByName(
-        _chain_by_rounds(big, n, attributes, presence)
+    blocks = _summarise(_instants(ev, n, attributes), n, attributes, widths[0])
+    for width in widths[1:]:
+        blocks = _fold(blocks, n, attributes, width)
+    sessions = _fold(blocks, n, attributes, None)
+    return sessions.where(F.col(_step(0, 0)).isNotNull()).select(
+        *KEYS,
+        *[F.col(a)["v"].alias(a) for a in attributes],
+        *[F.col(_step(0, k)).alias(f"_t{k}") for k in range(n)],
+        *([f"_p{k}" for k in range(n)] if presence else []),
+    )
+
+
+DEVICE, ACQUISITION = "_device", "_acquisition"
+
+
+def _acquisition_pair() -> Column:
+    return F.struct(
+        F.coalesce(F.col("traffic_source.source"), F.lit(DIRECT_SOURCE)).alias("first_user_source"),
+        F.coalesce(F.col("traffic_source.medium"), F.lit(NONE_MEDIUM)).alias("first_user_medium"),
     )
 
 
+def session_frame(
+    source: SourceLike,
+    period: Period | None = OFFICIAL_PERIOD,
+    stages: Sequence[str] = CORE_STAGES,
+) -> DataFrame:
+    """What 06, 07, 08, 10 and C1 need of every session, in one frame.
+
+    Pass it (stored) to those operators as ``sessions`` to scan the events
+    once for all of them.
+    """
+    attributes = {DEVICE: (F.col("device.category"), True), ACQUISITION: (_acquisition_pair(), False)}
+    return ordered_stage_times(
+        source, period, stages, attributes, require_user=False, presence=True
+    )
+
+
+def _times(
+    source: SourceLike,
+    period: Period | None,
+    stages: Sequence[str],
+    sessions: DataFrame | None,
+    attributes: dict[str, tuple[Column, bool]] | None = None,
+) -> DataFrame:
+    if sessions is not None:
+        return sessions.where(F.col(USER).isNotNull())
+    return ordered_stage_times(source, period, stages, attributes)
+
+
 def _stage_counts(times: DataFrame, n: int, dims: Sequence[str]) -> DataFrame:
     """Sessions per stage (and per ``dims``): ``_n0 .. _n{n-1}``."""
     aggs = [F.count(F.col(f"_t{k}")).alias(f"_n{k}") for k in range(n)]
@@ -272,11 +290,11 @@ def ordered_funnel(
     period: Period | None = OFFICIAL_PERIOD,
     stages: Sequence[str] = CORE_STAGES,
     labels: Sequence[str] | None = None,
-    skew_policy: SkewPolicy = DEFAULT_SKEW,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Statement 10: ordered session funnel, one row per stage."""
     labels = _check_stages(stages, labels)
-    times = ordered_stage_times(source, period, stages, None, skew_policy)
+    times = _times(source, period, stages, sessions)
     counts = _stage_counts(times, len(stages), [])
     return _step_rows(counts, labels, stages[0]).orderBy("step_number")
 
@@ -286,11 +304,11 @@ def funnel_dropoff(
     period: Period | None = OFFICIAL_PERIOD,
     stages: Sequence[str] = CORE_STAGES,
     labels: Sequence[str] | None = None,
-    skew_policy: SkewPolicy = DEFAULT_SKEW,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Statement 06: sessions lost between consecutive ordered stages."""
     labels = _check_stages(stages, labels)
-    times = ordered_stage_times(source, period, stages, None, skew_policy)
+    times = _times(source, period, stages, sessions)
     counts = _stage_counts(times, len(stages), [])
     rows = []
     for k in range(len(stages) - 1):
@@ -341,7 +359,8 @@ def funnel_by_segment(
     stages: Sequence[str] = CORE_STAGES,
     min_sessions: int = 0,
     top: int | None = None,
-    skew_policy: SkewPolicy = DEFAULT_SKEW,
+    sessions: DataFrame | None = None,
+    session_column: str = "_segment",
 ) -> DataFrame:
     """Ordered funnel per session segment.
 
@@ -354,8 +373,8 @@ def funnel_by_segment(
     returned (ties: segment columns ascending).
     """
     _check_stages(stages, None)
-    seg = "_segment"
-    times = ordered_stage_times(source, period, stages, {seg: (segment, ignore_nulls)}, skew_policy)
+    seg = "_segment" if sessions is None else session_column
+    times = _times(source, period, stages, sessions, {seg: (segment, ignore_nulls)})
     counts = _stage_counts(times, len(stages), [seg])
     seg_type = counts.schema[seg].dataType
     if isinstance(seg_type, StructType):
@@ -375,7 +394,7 @@ def funnel_by_device(
     source: SourceLike,
     period: Period | None = OFFICIAL_PERIOD,
     stages: Sequence[str] = CORE_STAGES,
-    skew_policy: SkewPolicy = DEFAULT_SKEW,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Statement 07: ordered funnel per device category.
 
@@ -393,7 +412,8 @@ def funnel_by_device(
         ignore_nulls=True,
         null_label=UNKNOWN_DEVICE,
         stages=stages,
-        skew_policy=skew_policy,
+        sessions=sessions,
+        session_column=DEVICE,
     )
 
 
@@ -403,7 +423,7 @@ def funnel_by_first_source(
     stages: Sequence[str] = CORE_STAGES,
     min_sessions: int = 100,
     top: int | None = 15,
-    skew_policy: SkewPolicy = DEFAULT_SKEW,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Statement 08: ordered funnel per first-user (source, medium).
 
@@ -412,23 +432,16 @@ def funnel_by_first_source(
     smallest pair). Groups with fewer than ``min_sessions`` stage-0 sessions
     are dropped; the ``top`` largest are returned (ties: source, medium).
     """
-    pair = F.struct(
-        F.coalesce(F.col("traffic_source.source"), F.lit(DIRECT_SOURCE)).alias(
-            "first_user_source"
-        ),
-        F.coalesce(F.col("traffic_source.medium"), F.lit(NONE_MEDIUM)).alias(
-            "first_user_medium"
-        ),
-    )
     return funnel_by_segment(
         source,
         period,
-        pair,
+        _acquisition_pair(),
         ignore_nulls=False,
         stages=stages,
         min_sessions=min_sessions,
         top=top,
-        skew_policy=skew_policy,
+        sessions=sessions,
+        session_column=ACQUISITION,
     )
 
 
@@ -471,20 +484,19 @@ def presence_vs_ordered(
     period: Period | None = OFFICIAL_PERIOD,
     stages: Sequence[str] = CORE_STAGES,
     labels: Sequence[str] | None = None,
-    skew_policy: SkewPolicy = DEFAULT_SKEW,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """C1: presence and ordered sessions per stage and the sessions excluded by
     the ordering rule, with both conversion rates from the first stage.
 
-    Both funnels come from one per-session frame (one scan, one event-level
-    shuffle): presence counts sessions with a session id whatever the user,
+    Both funnels come from one per-session frame (one scan): presence counts sessions with a session id whatever the user,
     the ordered funnel only sessions with a user, as statements 05 and 10 do.
     """
     labels = _check_stages(stages, labels)
     n = len(stages)
-    times = ordered_stage_times(
-        source, period, stages, None, skew_policy, require_user=False, presence=True
-    )
+    times = sessions
+    if times is None:
+        times = ordered_stage_times(source, period, stages, require_user=False, presence=True)
     has_user = F.col(USER).isNotNull()
     aggs = []
     for k in range(n):

@@ -31,17 +31,17 @@ def dataset_overview(source: SourceLike, period: Period | None = None) -> DataFr
     non-null (the reference's null-propagating CONCAT).
     """
     ev = as_source(source).scan(period).select(
-        F.col(USER), session_id().alias(SESSION), F.col("event_date")
+        F.col(USER), session_id().alias(SESSION), event_day().alias("_day")
     )
-    # min / max on the YYYYMMDD text (same order as the dates), parsed once
+    # a date, unlike text, lives in a hash aggregate; malformed text raises on any row
     per_session = ev.groupBy(USER, SESSION).agg(
-        F.min("event_date").alias("_first"),
-        F.max("event_date").alias("_last"),
+        F.min("_day").alias("_first"),
+        F.max("_day").alias("_last"),
         F.count(F.lit(1)).alias("_n"),
     )
     return per_session.agg(
-        event_day(F.min("_first")).alias("start_date"),
-        event_day(F.max("_last")).alias("end_date"),
+        F.min("_first").alias("start_date"),
+        F.max("_last").alias("end_date"),
         F.coalesce(F.sum("_n").cast("long"), F.lit(0).cast("long")).alias("total_events"),
         F.count_distinct(USER).alias("total_users"),
         F.count_if(F.col(USER).isNotNull() & F.col(SESSION).isNotNull()).alias("total_sessions"),
@@ -83,7 +83,7 @@ def sample_records(source: SourceLike, day: str = SAMPLE_DAY, n: int = 20) -> Da
         F.col("traffic_source.source").alias("traffic_source"),
         F.col("traffic_source.medium").alias("traffic_medium"),
         F.col("ecommerce.purchase_revenue").alias("purchase_revenue"),
-        F.size("items").alias("item_count"),
+        F.array_size("items").alias("item_count"),
     )
     order = [F.col("_ts")] + [F.col(c).asc_nulls_first() for c in SAMPLE_COLUMNS[2:]]
     # date and time are derived after the limit: for n rows, not the whole day

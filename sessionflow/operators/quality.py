@@ -116,7 +116,7 @@ def repeated_param_keys(
     Reads only the ``event_params.key`` leaf.
     """
     keys = F.col("event_params.key")
-    n = F.coalesce(F.size(F.filter(keys, lambda k: k == F.lit(key))), F.lit(0))
+    n = F.coalesce(F.array_size(F.filter(keys, lambda k: k == F.lit(key))), F.lit(0))
     ev = as_source(source).scan(period).select(n.alias("_n"))
     return ev.agg(
         F.count(F.lit(1)).alias("total_events"),
