@@ -10,9 +10,7 @@ dimension), so an independent SQL engine can derive the same view.
 
 Scans push the period down as a ``ts`` range (a Parquet row-group filter) and
 the event-name list as an ``event_type IN`` filter on the raw column; the exact
-predicates on the derived columns are applied on top. The 25-row ``nation``
-lookup is inlined as a map literal (after a size check), so queries that do not
-read the country carry no join.
+predicates on the derived columns are applied on top.
 """
 
 from __future__ import annotations
@@ -98,10 +96,12 @@ def _derivation_sql() -> list[str]:
             )
         arms.append(f"WHEN '{raw}' THEN {value}")
     event_name = f"CASE event_type {' '.join(arms)} ELSE event_type END"
-    # the integer value of key "k" in the props object ({"k": n}); a regular
-    # expression on the key costs half a JSON parse, and this expression is
-    # evaluated for every scanned row
-    k_value = "try_cast(regexp_extract(props, '\"k\"\\\\s*:\\\\s*(-?[0-9]+)', 1) AS BIGINT)"
+    # the integer value of key "k" in the props object ({"k": n}): the digits
+    # after the key by position, since no statement reads it but every scanned
+    # row builds the array it stands in
+    k_value = (
+        "try_cast(trim(split_part(split_part(substring_index(props, '\"k\":', -1), ',', 1), '}', 1)) AS BIGINT)"
+    )
     params = (
         f"CASE WHEN event_id % {MISSING_SESSION_MOD} = 0 THEN array({_param_sql('k', k_value)}) "
         f"ELSE array({_param_sql('k', k_value)}, {_param_sql(SESSION_PARAM, session_no)}) END"
@@ -148,41 +148,13 @@ def _derivation_sql() -> list[str]:
 
 _DERIVATION = _derivation_sql()
 
-# A nation table up to this size is inlined as a map literal; beyond it, or
-# with repeated keys, the lookup stays a join.
-MAX_INLINE_DIM_ROWS = 1000
-
-
-def country_map(nation: DataFrame) -> Column | None:
-    """``map(n_nationkey -> n_name)`` for a small, key-unique nation table.
-
-    Reads at most ``MAX_INLINE_DIM_ROWS + 1`` rows to the driver: a proven
-    bound. A map lookup is an expression Catalyst drops when ``geo.country``
-    is not read, where an outer join would stay in every plan.
-    """
-    rows = (
-        nation.select(F.col("n_nationkey").cast("long"), "n_name")
-        .limit(MAX_INLINE_DIM_ROWS + 1)
-        .collect()
-    )
-    keys = [r[0] for r in rows]
-    if len(rows) > MAX_INLINE_DIM_ROWS or None in keys or len(set(keys)) != len(keys):
-        return None
-    if not rows:
-        return F.create_map().cast("map<bigint,string>")
-    return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-
-
-def derive_events(events: DataFrame, nation: DataFrame, countries: Column | None = None) -> DataFrame:
+def derive_events(events: DataFrame, nation: DataFrame | None) -> DataFrame:
     """Map the flat click log onto the nested event layout (narrow, no shuffle).
 
-    The country comes from ``countries`` (see :func:`country_map`) when given;
-    otherwise from a left join with ``nation``, which the planner broadcasts
-    while its size is under the broadcast threshold and shuffles beyond it.
+    The country comes from a left join with ``nation``; None leaves it null.
     """
-    if countries is not None:
-        key = (F.col("user_id") % NATION_COUNT).cast("long")
-        return events.withColumn("_country", countries[key]).selectExpr(*_DERIVATION)
+    if nation is None:
+        return events.withColumn("_country", F.lit(None).cast("string")).selectExpr(*_DERIVATION)
     dim = nation.selectExpr("CAST(n_nationkey AS BIGINT) AS _nation_key", "n_name AS _country")
     joined = events.join(dim, (F.col("user_id") % NATION_COUNT) == F.col("_nation_key"), "left")
     return joined.selectExpr(*_DERIVATION)
@@ -215,31 +187,23 @@ RAW_SCHEMAS = {
 }
 
 
-_COUNTRY_MAPS: dict[tuple[str, str], Column | None] = {}
-
-
 class DerivedEventSource:
-    """Event source over ``{sf_dir}/events.parquet`` and ``{sf_dir}/nation.parquet``."""
+    """Event source over ``{sf_dir}/events.parquet`` and ``{sf_dir}/nation.parquet``.
+
+    Only statement 03 reads the country, so only a source made with
+    ``with_country`` joins the nations; elsewhere the country is null.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, with_country: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._countries: Column | None = None
-        self._countries_read = False
+        self.with_country = with_country
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _derive(self, events: DataFrame) -> DataFrame:
-        nation = self._read("nation")
-        if not self._countries_read:
-            # one small read per session and table (the test tables are read-only)
-            key = (self.spark.sparkContext.applicationId, self.sf_dir)
-            if key not in _COUNTRY_MAPS:
-                _COUNTRY_MAPS[key] = country_map(nation)
-            self._countries = _COUNTRY_MAPS[key]
-            self._countries_read = True
-        return derive_events(events, nation, self._countries)
+        return derive_events(events, self._read("nation") if self.with_country else None)
 
     def table(self) -> DataFrame:
         return self._derive(self._read("events"))

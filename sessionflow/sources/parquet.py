@@ -50,7 +50,8 @@ def write_events(
     over all buckets. Within a file rows are sorted by event name, then user
     and time: row groups then hold few names, so the pushed ``event_name IN``
     filters of the funnels and purchase checks skip the row groups of other
-    events on their min / max statistics.
+    events on their min / max statistics. ``overwrite`` replaces the days that
+    ``df`` holds and leaves the other days of the table as they are.
     """
     cols = [f.name for f in EVENT_SCHEMA.fields]
     bucket = F.pmod(F.xxhash64("user_pseudo_id", "event_timestamp"), F.lit(files_per_day))
@@ -59,6 +60,7 @@ def write_events(
         .repartition("table_suffix", bucket)
         .sortWithinPartitions("table_suffix", "event_name", "user_pseudo_id", "event_timestamp")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("table_suffix")
         .parquet(root)
     )

@@ -41,13 +41,19 @@ def recompute_days(
     per day partition: partition keys, not data) become a static partition
     filter, so only the touched day directories are read. A semi-join with
     the batch would read every partition: dynamic partition pruning does not
-    fire for an unfiltered pruning side.
+    fire for an unfiltered pruning side. A row whose ``event_date`` is not the
+    day of its partition raises: its date's result would be replaced by one
+    made of a part of that date's events.
     """
     touched = sorted(r[0] for r in days.select("table_suffix").distinct().collect())
     if not touched:
         return
     table = ParquetEventSource(spark, events_root).table()
-    affected = table.where(F.col("table_suffix").isin(touched))
+    same_day = F.col("event_date") == F.col("table_suffix")
+    checked = F.when(same_day, F.col("event_date")).otherwise(
+        F.raise_error(F.lit("event_date differs from the partition's table_suffix"))
+    )
+    affected = table.where(F.col("table_suffix").isin(touched)).withColumn("event_date", checked)
     result = operator(affected, None)
     (
         result.write.mode("overwrite")
