@@ -20,29 +20,33 @@ from pyspark.sql import functions as F
 
 from .operators import commerce, funnel, overview, quality
 from .schema import Period
-from .sources.base import SourceLike
+from .sources.base import SourceLike, as_source
 from .sources.parquet import ParquetEventSource
 
 
 def statements(
-    review: Period, official: Period, day: str
+    review: Period, official: Period, day: str, sessions: DataFrame | None = None
 ) -> dict[str, Callable[[SourceLike], DataFrame]]:
-    """Statement name -> operator with the analysis parameters bound."""
+    """Statement name -> operator with the analysis parameters bound.
+
+    ``sessions`` is the stored :func:`funnel.session_frame` of the official
+    period; with it, five funnels read it instead of the events.
+    """
     return {
         "01_event_counts": lambda s: overview.event_counts(s),
         "02_dataset_overview": lambda s: overview.dataset_overview(s),
         "03_sample_event_records": lambda s: overview.sample_records(s, day),
         "04_purchase_session_journey": lambda s: overview.purchase_session_journey(s, day),
         "05_presence_funnel": lambda s: funnel.presence_funnel(s, official),
-        "06_funnel_dropoff": lambda s: funnel.funnel_dropoff(s, official),
-        "07_funnel_by_device": lambda s: funnel.funnel_by_device(s, official),
-        "08_funnel_by_first_source": lambda s: funnel.funnel_by_first_source(s, official),
+        "06_funnel_dropoff": lambda s: funnel.funnel_dropoff(s, official, sessions=sessions),
+        "07_funnel_by_device": lambda s: funnel.funnel_by_device(s, official, sessions=sessions),
+        "08_funnel_by_first_source": lambda s: funnel.funnel_by_first_source(s, official, sessions=sessions),
         "09_1_daily_event_counts": lambda s: quality.daily_event_counts(s, review),
         "09_2_reliable_period": lambda s: quality.reliable_period(s, review),
         "09_3_missing_user_id": lambda s: quality.missing_user_id(s, official),
         "09_4_missing_session_id": lambda s: quality.missing_session_id(s, official),
-        "10_ordered_funnel": lambda s: funnel.ordered_funnel(s, official),
-        "10_presence_vs_ordered": lambda s: funnel.presence_vs_ordered(s, official),
+        "10_ordered_funnel": lambda s: funnel.ordered_funnel(s, official, sessions=sessions),
+        "10_presence_vs_ordered": lambda s: funnel.presence_vs_ordered(s, official, sessions=sessions),
         "11_1_purchase_quality": lambda s: commerce.purchase_quality(s, official),
         "11_2_revenue_anomalies": lambda s: commerce.revenue_anomalies(s, official),
         "11_3_anomalous_purchase_events": lambda s: commerce.anomalous_purchase_events(
@@ -53,6 +57,13 @@ def statements(
     }
 
 
+#: Statements computed from one stored frame of sessions.
+SHARED = frozenset(
+    "06_funnel_dropoff 07_funnel_by_device 08_funnel_by_first_source 10_ordered_funnel "
+    "10_presence_vs_ordered".split()
+)
+
+
 def run_all(
     source: SourceLike,
     out_dir: str,
@@ -67,7 +78,9 @@ def run_all(
 
     ``official`` defaults to the period 09.2 implies (``review`` when no day
     lacks add-to-cart events); ``day`` (03, 04) defaults to the last review
-    day. Returns name -> output path. Raises when the review period leaves no
+    day. The per-session funnel frame is computed once, stored beside the
+    results while the funnels read it, then deleted. Returns name -> output
+    path. Raises when the review period leaves no
     reliable day.
     """
     if official is None:
@@ -76,7 +89,13 @@ def run_all(
             raise ValueError(f"no reliable tracking day in {review.start}..{review.end}")
     day = day or review.end
     written = {}
-    for name, fn in statements(review, official, day).items():
+    spark = as_source(source).scan(official).sparkSession
+    shared = f"{out_dir.rstrip('/')}/_sessions"
+    sessions = None
+    if not only or len(SHARED.intersection(only)) > 1:
+        funnel.session_frame(source, official).write.mode("overwrite").parquet(shared)
+        sessions = spark.read.parquet(shared)
+    for name, fn in statements(review, official, day, sessions).items():
         if only and name not in only:
             continue
         path = f"{out_dir.rstrip('/')}/{name}"
@@ -94,6 +113,9 @@ def run_all(
         else:
             raise ValueError(f"unknown format {fmt!r}")
         written[name] = path
+    if sessions is not None:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return written
 
 
