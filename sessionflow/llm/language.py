@@ -163,9 +163,14 @@ def identify(rows: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
         return rows.select(*keep, none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"))
     known = ["declared", *LEVELS]
     seen = staged(text_evidence(rows, counts, "text", [*keep, *known]), "language-evidence")
-    best = F.array_position("loglik", F.array_max("loglik")).cast("int") - 1
+    # one struct per language: the largest carries its place and name (ties: the first name)
+    by_text = [
+        F.struct(F.col("loglik")[i].alias("score"), F.lit(-i).alias("place"), F.lit(langs[i]).alias("lang"))
+        for i in range(len(langs))
+    ]
     has_text = F.exists("loglik", lambda v: v != 0)
-    seen = seen.withColumn("_guess", F.when(has_text, best))
+    seen = seen.withColumn("_text", F.when(has_text, F.array_max(F.array(*by_text))))
+    seen = seen.withColumn("_guess", -F.col("_text.place"))
     hits = [F.count(F.when(F.col("_guess") == i, 1)).cast("double") for i in range(len(langs))]
 
     def counted(by: list[str], name: str) -> DataFrame:
@@ -195,16 +200,20 @@ def identify(rows: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
         )
         for i in range(len(langs))
     ]
-    evidence = evidence.withColumn(
-        "_log", F.array(*[F.col("loglik")[i] + F.log(prior[i]) + trust[i] for i in range(len(langs))])
-    ).withColumn("_top", F.array_max("_log"))
-    names = F.array(*map(F.lit, langs))
-    share = F.aggregate("_log", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_top")))
+    scores = [F.col("loglik")[i] + F.log(prior[i]) + trust[i] for i in range(len(langs))]
+    ranked = [
+        F.struct(v.alias("score"), F.lit(-i).alias("place"), F.lit(langs[i]).alias("lang"))
+        for i, v in enumerate(scores)
+    ]
+    evidence = evidence.withColumn("_ranked", F.array(*ranked)).withColumn("_top", F.array_max("_ranked"))
+    share = F.aggregate(
+        "_ranked", F.lit(0.0), lambda a, v: a + F.exp(v["score"] - F.col("_top.score"))
+    )
     return evidence.select(
         *keep,
-        names[F.array_position("_log", F.col("_top")).cast("int") - 1].alias("lang"),
-        (1 / share).alias("confidence"),
-        names[F.col("_guess")].alias("text_lang"),
+        F.col("_top.lang").alias("lang"),
+        F.least(F.lit(1.0), 1 / share).alias("confidence"),
+        F.col("_text.lang").alias("text_lang"),
     )
 
 

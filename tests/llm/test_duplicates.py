@@ -1,0 +1,216 @@
+"""SimHash, SpotSigs, embeddings and components against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import regex
+import xxhash
+from pyspark.sql import functions as F
+
+from sessionflow.llm import simhash, spotsigs, vectors
+from sessionflow.llm.components import components
+
+
+def _roots(n: int, links) -> list[int]:
+    root = list(range(n))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(v) for v in range(n)]
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(90)]
+    links += [(i, i + 1) for i in range(200, 260)] + [(300, 300)] + [(400, 400 + i) for i in range(50)]
+    roots = _roots(500, links)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    touched = {v for a, b in links if a != b for v in (a, b)}
+    assert got == {v: roots[v] for v in touched}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _fingerprint(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(simhash._ASCII_LOWER))
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if sum(h >> i & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_near_pairs_bit_sliced():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 90, dtype=np.uint64))
+    right = np.concatenate([near, rng.integers(0, 2**63, 70, dtype=np.uint64)])
+    for bits in (0, 1, 2, 3, 5, 8):
+        a, b = simhash.near_pairs(base, right, bits)
+        want = np.nonzero(np.bitwise_count(base[:, None] ^ right[None, :]) <= bits)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(*map(np.ndarray.tolist, want), strict=True))
+
+
+def test_simhash_groups_equal_brute_force(spark):
+    r = random.Random(4)
+    centers = [r.getrandbits(64) for _ in range(30)]
+    values = {r.getrandbits(64) for _ in range(300)}
+    for c in centers:  # chains and balls, one of them crowded
+        for _ in range(4):
+            v = c
+            for _ in range(r.randint(0, 5)):
+                v ^= 1 << r.randrange(64)
+            values.add(v)
+    crowd = centers[0]
+    values |= {crowd ^ (1 << i) ^ (1 << j) for i in range(0, 64, 2) for j in range(1, 64, 3)}
+    values = sorted(values)
+    links = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3]
+    roots = _roots(len(values), links)
+    rows = [(i, i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)]
+    old, simhash.TILE = simhash.TILE, 100  # cuts the crowded buckets
+    try:
+        out = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text_hash long, fp long"), 3)
+        got = {r.fp: r["first"].id for r in out.collect()}
+    finally:
+        simhash.TILE = old
+    assert got == {fp: roots[i] for i, _, fp in rows}
+
+
+def test_simhash_rows(spark, edge_docs, no_docs, small_docs):
+    out = simhash.near_duplicates(edge_docs).collect()
+    assert len(out) == 10
+    want = sorted(_fingerprint(r.text) for r in edge_docs.collect())
+    assert sorted(r.fp % 2**64 for r in out) == want
+    of = {r.doc_id: r.component_id for r in out if r.doc_id != 6}
+    assert of[2] == 1 and of[3] == of[4] == of[5] == 3 and of[None] is None
+    kept = simhash.drop_near_duplicates(edge_docs)
+    assert kept.columns == edge_docs.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 6, 6, 8, 9]
+    repeated = edge_docs.where("doc_id = 1")
+    assert simhash.drop_near_duplicates(repeated.unionByName(repeated)).count() == 1
+    assert simhash.near_duplicates(no_docs).count() == simhash.drop_near_duplicates(no_docs).count() == 0
+    some = small_docs.limit(60)
+    got = {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(some).collect()}
+    assert got == {r.doc_id: _fingerprint(r.text) for r in some.collect()}
+
+
+def _signatures(text):
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    anchors, out = set(spotsigs.ANCHORS), set()
+    for i, w in enumerate(["", *words]):
+        if w == "" or w in anchors:
+            chain = [x for x in words[i:] if x not in anchors][: spotsigs.CHAIN]
+            if len(chain) == spotsigs.CHAIN:
+                out.add((w, *chain))
+    return out or ({tuple(words)} if words else set())
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_equal_brute_force(spark, small_docs):
+    docs = sorted(small_docs.collect(), key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(small_docs).collect()}
+    assert len(got) == len(docs)
+    for i, r in enumerate(docs):
+        after = docs[(i + 1) % len(docs)].text
+        k = len(r.text) // 3
+        edited = r.text[: len(r.text) - k] + after[:k]
+        own, row = _signatures(r.text), got[r.doc_id]
+        assert row.n_chars == len(r.text)
+        assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(row.near_edited - _jaccard(own, _signatures(edited))) < 1e-9
+        assert abs(row.near_next - _jaccard(own, _signatures(after))) < 1e-9
+
+
+def test_fingerprint_rows(spark, edge_docs, no_docs):
+    rows = spotsigs.edited_fingerprints(edge_docs).collect()
+    assert len(rows) == 10
+    by = {r.doc_id: r for r in rows if r.doc_id != 6}
+    assert by[1].fingerprint == by[2].fingerprint and by[3].fingerprint == by[4].fingerprint == ""
+    assert by[2].near_next == 1.0 and by[4].near_next == 1.0 and by[3].near_next == 0.0
+    assert all(0 <= r.near_edited <= 1 for r in rows)
+    assert spotsigs.edited_fingerprints(no_docs).count() == 0
+    alone = spotsigs.edited_fingerprints(edge_docs.where("doc_id = 1")).first()
+    assert alone.near_next == 1.0
+
+
+def test_similar_equals_brute_force(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)] + ["the", "a", "of"] * 8
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(3, 60))) for _ in range(25)]
+    texts += [t.replace("w1 ", "w2 ") for t in texts] + [t + " the end" for t in texts] + texts[:5] + ["", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members, pairs = spotsigs.similar(docs, 0.8)
+    class_of = {r.doc_id: r.class_id for r in members.collect()}
+    sets = [_signatures(t) for t in texts]
+    assert class_of == {i: min(j for j in range(len(texts)) if sets[j] == s) for i, s in enumerate(sets)}
+    names = sorted(set(class_of.values()))
+    want = {(a, b) for a in names for b in names if a < b and sets[a] and sets[b] and _jaccard(sets[a], sets[b]) >= 0.8}
+    assert {(r.class_a, r.class_b) for r in pairs.collect()} == want and want
+
+
+def _brute_vectors(rows, threshold=0.93):
+    def good(r):
+        e = r[2]
+        return r[1] is not None and e and all(v is not None and np.isfinite(v) for v in e) and any(e)
+
+    links = []
+    for i, a in enumerate(rows):
+        for j in range(i):
+            b = rows[j]
+            if good(a) and good(b) and a[1] == b[1] and len(a[2]) == len(b[2]):
+                x, y = np.array(a[2], float), np.array(b[2], float)
+                if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= threshold:
+                    links.append((i, j))
+    return links
+
+
+def test_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(12):
+        center = rng.normal(size=16)
+        for _ in range(25):
+            rows.append((int(c % 3), (center + rng.normal(size=16) * rng.choice([0.05, 0.1, 0.2])).tolist()))
+    rows += [(1, rng.normal(size=16).tolist()) for _ in range(150)] + rows[:20]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    links = _brute_vectors(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    rows = [(r.vec_id, r.label, r.embedding) for r in frame.orderBy("vec_id").collect()]  # as stored
+    links = _brute_vectors(rows)
+    old, vectors.TILE = vectors.TILE, 20
+    try:
+        got = {r.vec_id: r for r in vectors.near_vectors(frame).collect()}
+    finally:
+        vectors.TILE = old
+    found = sum(r.n_links for r in got.values())
+    assert 0.9 * 2 * len(links) <= found <= 2 * len(links)
+    roots = _roots(len(rows), links)
+    same = sum(got[i].component_id == roots[i] for i in range(len(rows)))
+    assert same >= 0.95 * len(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_vector_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 1, [1.0, 0.0]), (1, 1, [2.0, 0.0]), (2, 2, [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, 1, None),
+            (5, 1, []), (6, 1, [0.0, 0.0]), (7, 1, [1.0, None]), (8, 1, [nan, 1.0]), (9, 1, [inf, 1.0]),
+            (10, 1, [1.0, 0.0, 0.0]), (None, 1, [0.0, 1.0]), (12, 1, [0.0, 1.0]), (13, 1, [1e-30, 0.0]), (14, 1, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").withColumn("node", F.lit(1))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame).collect()}
+    assert got[0] == got[1] == got[13] == (2, 0)
+    assert got[None] == (1, None) and got[12] == (1, None)
+    for i in (2, 3, 4, 5, 6, 7, 8, 9, 10, 14):
+        assert got[i] == (0, i), i
+    assert vectors.near_vectors(frame.limit(0)).count() == 0
