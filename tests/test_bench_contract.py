@@ -11,7 +11,7 @@ from tests.conftest import ROOT, SF_SMALL
 
 
 def test_bench_prints_one_json_line():
-    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_REPEATS="1",
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_REPEATS="1", BENCH_LLM="0",
                BENCH_WARM_DIR="/nonexistent")
     out = subprocess.run(
         [sys.executable, os.path.join(ROOT, "bench.py")],

@@ -39,14 +39,11 @@ def _random_sessions(seed: int, n_sessions: int = 300):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize(
-    "policy",
-    [funnel.SkewPolicy(enabled=False), funnel.SkewPolicy(max_session_rows=3)],
-    ids=["plain", "split"],
-)
-def test_chain_matches_direct_greedy(spark, seed, policy):
+@pytest.mark.parametrize("widths", [funnel.BLOCK_WIDTHS, (1,), (2,), (3,), (1, 2), (2, 4, 12)])
+def test_chain_matches_direct_greedy_at_any_block_width(spark, seed, widths):
+    # times 0..6 with ties: many of them on and beside the edges of narrow blocks
     rows, expected = _random_sessions(seed)
-    times = funnel.ordered_stage_times(frame(spark, rows), None, skew_policy=policy).collect()
+    times = funnel.ordered_stage_times(frame(spark, rows), None, widths=widths).collect()
     got = {(r.user_pseudo_id, r.ga_session_id): [r._t0, r._t1, r._t2, r._t3] for r in times}
     assert got == expected
 
@@ -83,3 +80,15 @@ def test_segment_attribution_matches_direct_rule(spark):
     for p in expected_src.values():
         counts[p] = counts.get(p, 0) + 1
     assert {(r.first_user_source, r.first_user_medium): r.view_item_sessions for r in by_source} == counts
+
+
+def test_hot_session_is_spread_over_its_blocks(spark):
+    rnd = random.Random(9)
+    events = [(rnd.choice(NAMES), rnd.randint(0, 2_999)) for _ in range(4_000)]
+    rows = [ev(name, t, "bot", 1) for name, t in events] + [ev(STAGES[0], 5, "u", 2)]
+    df = frame(spark, rows)
+    instants = funnel._instants(funnel.stage_events(df, None, funnel.CORE_STAGES), 4, {})
+    blocks = funnel._summarise(instants, 4, {}, 100)
+    assert blocks.where("user_pseudo_id = 'bot'").count() == 30
+    times = funnel.ordered_stage_times(df, None, widths=(100,)).where("user_pseudo_id = 'bot'").first()
+    assert [times._t0, times._t1, times._t2, times._t3] == _greedy(events)

@@ -25,20 +25,50 @@ def plan_text(df) -> str:
 
 
 def test_no_python_evaluation_anywhere(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in entry._statements().items():
         text = plan_text(fn(spark, SF_SMALL))
         assert "EvalPython" not in text and "PythonUDF" not in text, name
 
 
-def test_ordered_funnel_has_one_event_shuffle(spark):
+def test_ordered_funnels_scan_once_and_run_nothing_while_planned(spark):
     src = DerivedEventSource(spark, SF_SMALL)
-    text = plan_text(funnel.ordered_funnel(src, FIXTURE_OFFICIAL))
-    hashed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
-    assert len(hashed) == 1, hashed
-    assert "user_pseudo_id" in hashed[0] and "ga_session_id" in hashed[0]
-    assert "SortMergeJoin" not in text and "Window" not in text
-    # the country lookup of the test view is a map literal, pruned when unused
-    assert text.count("FileScan parquet") == 1 and "BroadcastHashJoin" not in text
+    sc = spark.sparkContext
+    for name in ("ordered_funnel", "funnel_dropoff", "funnel_by_device", "funnel_by_first_source",
+                 "presence_vs_ordered"):
+        sc.setJobGroup(f"plan-{name}", name)
+        df = getattr(funnel, name)(src, FIXTURE_OFFICIAL)
+        text = plan_text(df)
+        assert not sc.statusTracker().getJobIdsForGroup(f"plan-{name}"), name
+        assert text.count("FileScan parquet") == 1, name
+        assert "Join" not in text and "Window" not in text, name
+        hashed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+        assert "user_pseudo_id" in hashed[-1] and "_t" in hashed[-1], hashed  # spread by time
+    sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["dataset_overview", "kpi_overview"])
+def test_overviews_use_hash_aggregates_only(spark, name):
+    df = entry.queries()[name](spark, SF_SMALL)
+    df.collect()
+    text = plan_text(df)
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_revenue_anomalies_build_no_set_over_events(spark):
+    text = plan_text(entry.queries()["revenue_anomalies"](spark, SF_SMALL))
+    assert "collect_set" not in text
+
+
+def test_anomalous_purchases_spread_a_hot_id(spark):
+    from sessionflow.operators import commerce
+    from tests.events import ev, frame
+
+    rows = [ev("purchase", t, f"u{t}", t, txn="X", revenue=float(t % 2)) for t in range(400)]
+    rows += [ev("purchase", 1, "a", 1, txn="ok", revenue=1.0)]
+    df = frame(spark, rows)
+    hits = commerce.anomalous_purchase_events(df, None)
+    assert hits.count() == 400
+    assert "_salt" in plan_text(hits)
 
 
 def test_fixture_scan_pushes_time_range_and_type(spark):
@@ -52,7 +82,7 @@ def test_fixture_scan_pushes_time_range_and_type(spark):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("events") / "events")
-    write_events(DerivedEventSource(spark, SF_SMALL).table(), root, files_per_day=2)
+    write_events(DerivedEventSource(spark, SF_SMALL, True).table(), root, files_per_day=2)
     return ParquetEventSource(spark, root)
 
 
@@ -68,14 +98,14 @@ def test_partitioned_source_prunes_partitions(spark, stored):
     assert "int_value" in schema and "string_value" not in schema and "double_value" not in schema
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry._statements()))
 def test_partitioned_source_gives_same_results(spark, stored, name):
     from tests.compare import _rows
 
     derived = entry.queries()[name](spark, SF_SMALL)
     # same operator over the stored copy: swap the source the entry builds
     orig = entry._src
-    entry._src = lambda s, d: stored
+    entry._src = lambda s, d, with_country=False: stored
     try:
         on_disk = entry.queries()[name](spark, SF_SMALL)
         a, b = derived.collect(), on_disk.collect()
@@ -84,22 +114,22 @@ def test_partitioned_source_gives_same_results(spark, stored, name):
     assert _rows(derived.columns, a) == _rows(on_disk.columns, b)
 
 
-def test_country_lookup_join_fallback_equals_inlined_map(spark):
-    from sessionflow.sources import fixture as fx
-    from tests.compare import _rows
+def test_country_is_joined_only_where_asked_for(spark):
+    plain = DerivedEventSource(spark, SF_SMALL).table()
+    joined = DerivedEventSource(spark, SF_SMALL, with_country=True).table()
+    assert plain.where("geo.country is not null").count() == 0
+    assert joined.where("geo.country is null").count() == 0
+    assert plain.schema == joined.schema and plain.count() == joined.count()
 
-    src = DerivedEventSource(spark, SF_SMALL)
-    events, nation = src._read("events"), src._read("nation")
-    inlined = fx.derive_events(events, nation, fx.country_map(nation))
-    joined = fx.derive_events(events, nation, None)
-    cols = ["event_date", "event_timestamp", "user_pseudo_id", "geo", "traffic_source"]
-    a, b = inlined.select(*cols), joined.select(*cols)
-    assert _rows(cols, a.collect()) == _rows(cols, b.collect())
-    # a dimension past the size bound is not inlined
-    big = spark.range(fx.MAX_INLINE_DIM_ROWS + 1).selectExpr(
-        "CAST(id AS INT) AS n_nationkey", "CAST(id AS STRING) AS n_name"
-    )
-    assert fx.country_map(big) is None
+
+def test_overwriting_one_day_keeps_the_others(spark, tmp_path):
+    root = str(tmp_path / "ev")
+    table = DerivedEventSource(spark, SF_SMALL).table()
+    write_events(table, root, files_per_day=1)
+    before = {r[0]: r[1] for r in spark.read.parquet(root).groupBy("table_suffix").count().collect()}
+    write_events(table.where("table_suffix = '20240110'").limit(3), root, files_per_day=1)
+    after = {r[0]: r[1] for r in spark.read.parquet(root).groupBy("table_suffix").count().collect()}
+    assert len(after) == len(before) and sum(after.values()) == sum(before.values()) - before[20240110 if 20240110 in before else "20240110"] + 3
 
 
 def test_stored_files_are_ordered_by_event_name(spark, tmp_path):

@@ -23,12 +23,31 @@ def test_runner_writes_every_statement_with_the_derived_period(spark, tmp_path):
         "04_purchase_session_journey": "purchase_session_journey",
         "11_3_anomalous_purchase_events": "anomalous_purchase_events",
     }
+    pairs |= {
+        "06_funnel_dropoff": "funnel_dropoff",
+        "07_funnel_by_device": "funnel_by_device",
+        "08_funnel_by_first_source": "funnel_by_first_source",
+        "10_presence_vs_ordered": "presence_vs_ordered",
+    }
     for name, query in pairs.items():
         got = spark.read.parquet(written[name])
         want = entry.queries()[query](spark, SF_SMALL)
         assert _rows(got.columns, got.collect()) == _rows(want.columns, want.collect()), name
 
 
+def test_shared_funnels_do_not_scan_the_events_again(spark, tmp_path):
+    from sessionflow.operators import funnel
+    from sessionflow.reports import SHARED
+
+    src = DerivedEventSource(spark, SF_SMALL)
+    path = str(tmp_path / "sessions")
+    funnel.session_frame(src, FIXTURE_OFFICIAL).write.parquet(path)
+    shared = statements(FIXTURE_REVIEW, FIXTURE_OFFICIAL, FIXTURE_DAY, spark.read.parquet(path))
+    for name in SHARED:
+        text = shared[name](src)._jdf.queryExecution().executedPlan().toString()
+        assert "events.parquet" not in text, name
+
+
 def test_runner_subset_and_explicit_period(spark, tmp_path):
     src = DerivedEventSource(spark, SF_SMALL)
     written = run_all(
