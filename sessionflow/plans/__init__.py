@@ -1 +1 @@
-"""Plan-shaping helpers: hot-key detection, lineage cuts, report rows."""
+"""Plan-shaping helpers: report rows."""
