@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import least_by_hash
+
 #: Most labelled rows the model is fitted on, taken in hash order of the id.
 FIT_ROWS = 20_000
 _CLASS_OF_BYTE = np.full(256, 8, np.int64)
@@ -143,10 +145,9 @@ def labelled_sample(
         .agg(F.min("y").alias("y"), F.max("y").alias("_y"))
         .where("y = _y")
         .where(~held_out)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
-        .select("doc_id", "y")
+        .withColumn("_hash", F.xxhash64("doc_id"))
     )
+    ids = least_by_hash(ids, "_hash", limit, "doc_id").select("doc_id", "y")
     # at most ``limit`` pairs of numbers: a bounded broadcast
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(ids), "doc_id"

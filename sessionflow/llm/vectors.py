@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, dealt_in_tiles, salted_join, staged, whole_groups
+from .common import NULL_ID, dealt_in_tiles, least_by_hash, salted_join, staged, whole_groups
 from .components import components
 from .simhash import forest
 
@@ -223,10 +223,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         r["size"]: r["n"]
         for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(64).collect()
     }
-    sample = (
-        classes.select("size", "embedding", F.xxhash64("number").alias("h"))
-        .orderBy("h").limit(FIT_VECTORS).toPandas()
-    )
+    hashed = classes.select("size", "embedding", F.xxhash64("number").alias("h"))
+    sample = least_by_hash(hashed, "h", FIT_VECTORS).toPandas()
     grids: dict[int, Grid] = {}
     for size, total in sizes.items():
         own = sample.loc[sample["size"] == size, "embedding"]
