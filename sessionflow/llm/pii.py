@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boosting
+from .common import least_by_hash, staged
 
 #: The order of kinds is the order of spans with equal starts.
 KINDS = ("email", "ip", "card", "phone")
-#: Most candidates the trees are fitted on, taken in hash order.
+#: Most candidates the trees are fitted on, taken in hash order; thresholds use all others.
 FIT_CANDIDATES = 20_000
-#: Precision that a threshold must reach on unseen candidates.
-PRECISION = 0.98
+#: Precision that a threshold must reach on unseen candidates, the steps of
+#: probability it is sought in, and the least examples that set it.
+PRECISION, STEPS, LEAST_EXAMPLES = 0.98, 1000, 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -182,11 +184,13 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", limit: int = FIT_CANDIDATES) -> Model:
-    """Fit trees and thresholds on at most ``limit`` candidates of the corpus.
+    """Fit trees on a bounded sample of candidates, thresholds on all the rest.
 
-    Half of them, by hash, fit the trees; the other half sets per kind the
-    least threshold whose precision is ``PRECISION`` there and above. A kind
-    without such a threshold adds nothing.
+    Every text's candidates are staged, alike ones in alike surroundings once.
+    By hash they fall into two halves. At most ``limit`` candidates of the
+    first fit the trees. The whole second half, as counts per kind and step of
+    probability, sets per kind the least threshold whose precision is
+    ``PRECISION`` there and above; a kind without such a threshold adds nothing.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,24 +205,34 @@ def fit(docs: DataFrame, text: str = "text", limit: int = FIT_CANDIDATES) -> Mod
     found = docs.select(F.col(text).alias("t")).mapInPandas(
         run, "kind string, ok boolean, x array<double>, seen string"
     )
-    rows = (
-        found.select("kind", "ok", "x", F.xxhash64("kind", "seen").alias("h"))
-        .orderBy("h", "kind", "ok", "x").limit(limit).toPandas()
-    )
+    found = staged(
+        found.select("kind", "ok", "x", F.xxhash64("kind", "ok", "x", "seen").alias("h")).dropDuplicates(["h"]),
+        "pii-candidates",
+    )
+    # the lowest bit parts the halves; both classes are needed
+    rows = least_by_hash(found.where("h % 2 = 0"), "h", limit).toPandas()
     y = rows["ok"].to_numpy(bool)
     if not len(rows) or y.all() or not y.any():
         return Model()
-    x = np.array(rows["x"].tolist(), np.float64)
-    half = rows["h"].to_numpy(np.int64) % 2 == 0
-    model = Model(boosting.fit(x[half], y[half].astype(np.float64)))
-    p = model.trees.probability(x[~half])
+    model = Model(boosting.fit(np.array(rows["x"].tolist(), np.float64), y.astype(np.float64)))
+
+    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x = np.array(part["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
+            yield part[["kind", "ok"]].assign(p=model.trees.probability(x))
+
+    counts = (
+        found.where("h % 2 <> 0").mapInPandas(judge, "kind string, ok boolean, p double")
+        .groupBy("kind", F.floor(F.col("p") * STEPS).alias("step"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("right"), F.min("p").alias("p"))
+        .toPandas().sort_values("p", ascending=False)
+    )
     for kind in KINDS:
-        own = rows["kind"].to_numpy()[~half] == kind
-        order = np.argsort(-p[own], kind="stable")
-        good = np.cumsum(y[~half][own][order]) / np.arange(1, own.sum() + 1)
-        reached = np.nonzero(good >= PRECISION)[0]
-        if len(reached) and reached[-1] >= 19:  # too few examples set no threshold
-            model.thresholds[kind] = max(0.5, float(p[own][order][reached[-1]]))
+        own = counts[counts["kind"] == kind]
+        n, right = own["n"].cumsum().to_numpy(), own["right"].cumsum().to_numpy()
+        reached = np.nonzero((right >= PRECISION * n) & (n >= LEAST_EXAMPLES))[0]
+        if len(reached):
+            model.thresholds[kind] = max(0.5, float(own["p"].to_numpy()[reached[-1]]))
     return model
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sessionflow.llm import boosting, html_text, language, pii, quality, toxicity
-from sessionflow.llm.common import held_out
+from sessionflow.llm.common import held_out, least_by_hash
 
 SF = "/root/testdata/sf0.01"
 
@@ -96,6 +96,27 @@ def test_pii_rows(spark, edge_docs, no_docs):
     assert pii.fit(no_docs).trees is None and no_docs.select(pii.find(pii.Model(), F.col("text"))).count() == 0
 
 
+def test_least_by_hash_equals_the_whole_sort(spark):
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    every = [r.id for r in rows.orderBy("h").collect()]
+    for limit in (1, 7, 300, 2400, 6000):
+        assert [r.id for r in least_by_hash(rows, "h", limit, "id").collect()] == every[:limit]
+    assert least_by_hash(rows.limit(0), "h", 5).count() == 0
+    # beyond the line nothing is sorted: what one task gathers does not follow the table
+    plan = least_by_hash(rows, "h", 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan
+
+
+def test_pii_fit_counts_copies_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    model = pii.fit(docs)
+    assert model.trees is not None and set(model.thresholds) <= set(pii.KINDS)
+    hot = spark.createDataFrame([("call 4111 1111 1111 1112 or 999.1.1.1 now",)], "text string")
+    hot = hot.crossJoin(spark.range(3000)).select("text")
+    first, second = pii.fit(docs.unionByName(hot.limit(1))), pii.fit(docs.unionByName(hot))
+    assert first.thresholds == second.thresholds
+
+
 def test_boosting_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
