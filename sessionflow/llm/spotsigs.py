@@ -3,9 +3,12 @@
 A common word (an anchor) followed by the next ``CHAIN`` content words, other
 common words between them left out, is one spot signature. A text's
 fingerprint is the set of its signatures, each as a 32-bit hash; the start of
-the text counts as an anchor, so a text without common words has one too, and
-a text too short for a chain is one signature as a whole. Likeness of two
-fingerprints is the Jaccard similarity of the sets.
+the text counts as an anchor, and a text too short for a chain is one
+signature as a whole. Where anchors are missing (a run of more than ``GAP``
+content words, or any run of a text whose chains all hold the same words),
+every word of the run is an anchor too, so tables, code and texts in other
+languages count with all their words. Likeness of two fingerprints is the
+Jaccard similarity of the sets.
 
 :func:`similar` joins a whole table with itself: sets are partitioned by
 length, a pair meets only if their lengths allow the threshold and they share
@@ -27,6 +30,8 @@ from .common import NULL_ID, salted_join, staged
 
 #: Content words of one signature.
 CHAIN = 2
+#: Content words in a row, beyond which each of them is an anchor.
+GAP = 32
 # Common words of the languages of the corpus.
 ANCHORS = (
     "the of and to a in is that it for as was with be by on are this from or an at not "
@@ -50,18 +55,29 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     # the start of the text is an anchor without a name
     line = F.concat(F.lit(f"{_MARK} "), F.array_join(marked, " "), F.lit(" "))
     content = rf"(?:{_MARK}[^ ]* )*+[^{_MARK} ][^ ]* "
-    spans = F.regexp_extract_all(line, F.lit(rf"{_MARK}(?=([^ ]* (?:{content}){{{CHAIN}}}))"), F.lit(1))
+    spans = F.regexp_extract_all("_line", F.lit(rf"{_MARK}(?=([^ ]* (?:{content}){{{CHAIN}}}))"), F.lit(1))
     # what stands between the anchor and the chain does not count
-    chains = F.transform(spans, lambda s: F.hash(F.regexp_replace(s, rf" {_MARK}[^ ]*", "")))
+    chains = F.transform(spans, lambda s: F.regexp_replace(s, rf" {_MARK}[^ ]*", ""))
+    thin = F.size(F.array_distinct(F.transform("_chains", lambda s: F.substring_index(s, " ", -CHAIN - 1)))) <= 1
+    # no column of another step inside a lambda: it would be computed per element
+    runs = F.when(F.col("_thin"), F.col("_runs")).otherwise(
+        F.filter("_runs", lambda r: F.size(F.split(r, " ")) > GAP + 1)
+    )
+    every = rf"(?<![^ ])(?=((?:[^ ]++ ){{{CHAIN + 1}}}))"
+    more = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(every), F.lit(1))))
     whole = F.when(F.size("_words") > 0, F.array(F.hash(F.array_join("_words", " "))))
-    found = F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(
-        F.coalesce(whole, F.array().cast("array<int>"))
-    )
+    found = F.when(
+        F.size("_chains") > 0, F.transform(F.concat(F.col("_chains"), F.col("_more")), lambda s: F.hash(s))
+    ).otherwise(F.coalesce(whole, F.array().cast("array<int>")))
     return (
         df.withColumn("_words", words)
+        .withColumn("_line", line)
         .withColumn("_chains", chains)
+        .withColumn("_thin", thin)
+        .withColumn("_runs", F.split("_line", rf"{_MARK}[^ ]* "))
+        .withColumn("_more", more)
         .withColumn(out, F.array_sort(F.array_distinct(found)))
-        .drop("_words", "_chains")
+        .drop("_words", "_line", "_chains", "_thin", "_runs", "_more")
     )
 
 

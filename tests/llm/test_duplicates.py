@@ -145,6 +145,50 @@ def test_fingerprint_rows(spark, edge_docs, no_docs):
     assert alone.near_next == 1.0
 
 
+def _whole_signatures(text):
+    """``_signatures`` and, where anchors are missing, a chain after every word."""
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    out, runs = _signatures(text), [[]]
+    for w in words:
+        runs[-1].append(w) if w not in spotsigs.ANCHORS else runs.append([])
+    if sum(map(len, runs)) < spotsigs.CHAIN:
+        return out
+    thin, n = len({s[1:] for s in out}) == 1, spotsigs.CHAIN + 1
+    dense = [r for r in runs if thin or len(r) > spotsigs.GAP]
+    return out | {("", "", *r[i : i + n]) for r in dense for i in range(len(r) - n + 1)}
+
+
+def test_texts_without_anchors_count_whole(spark, small_docs):
+    other = {k: " ".join(f"{k}{i}" for i in range(300)) for k in "xyz"}
+    table = " ".join(f"n{i}" for i in range(200))
+    texts = [
+        f"same start {other['x']}", f"same start {other['y']}", f"the same start {other['x']}",
+        f"the same start {other['y']}", f"the cat sat on the old mat {table} {other['x']}",
+        f"the cat sat on the old mat {table} {other['y']}", "ab " * 400, "one two three", "one two four",
+        "one two", "the of", "lonely", "the lonely", "word " * 2 + "w" * 300_000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in spotsigs.edited_fingerprints(docs).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1]
+        k = len(t) // 3
+        own, edited = _whole_signatures(t), _whole_signatures(t[: len(t) - k] + after[:k])
+        assert abs(rows[i].near_next - _jaccard(own, _whole_signatures(after))) < 1e-9, i
+        assert abs(rows[i].near_edited - _jaccard(own, edited)) < 1e-9, i
+    assert rows[1].near_next < 0.02 and rows[3].near_next < 0.02 and rows[8].near_next < 0.5
+    assert rows[5].near_next < 0.6 and rows[0].near_edited < 0.9
+    members, pairs = spotsigs.similar(docs, 0.8)
+    assert len({r.class_id for r in members.collect()}) == len(texts)
+    # a whole table, against the same definition in Python
+    own = sorted(small_docs.collect(), key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(small_docs).collect()}
+    for i, r in enumerate(own):
+        after, k = own[(i + 1) % len(own)].text, len(r.text) // 3
+        edited = _whole_signatures(r.text[: len(r.text) - k] + after[:k])
+        assert abs(got[r.doc_id].near_edited - _jaccard(_whole_signatures(r.text), edited)) < 1e-9
+        assert abs(got[r.doc_id].near_next - _jaccard(_whole_signatures(r.text), _whole_signatures(after))) < 1e-9
+
+
 def test_similar_equals_brute_force(spark):
     r = random.Random(6)
     words = [f"w{i}" for i in range(60)] + ["the", "a", "of"] * 8
