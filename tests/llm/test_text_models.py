@@ -54,6 +54,24 @@ def test_disguised_words_are_restored(spark, small_docs):
     assert reader.words("plain words, stay &&& as they are!") >= {"plain", "words", "stay", "are"}
 
 
+def test_long_disguises_are_restored(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    reader = toxicity.Model(toxicity.trigram_counts(docs), words=toxicity.vocabulary(docs)).reader()
+    assert "idiot" in reader.words("you idi" + "o" * 60 + "t and them")
+    for sign in "._":
+        joined = sign.join("they are such a very very very very 1d10t and all they know".split())
+        assert len(joined) > reader.LONGEST and {"idiot", "such", "they"} <= reader.words(joined), joined
+        assert {"such", "very", "idiot"} <= set(reader.text(joined).split())
+    assert "idiot" in reader.words("they_are_an_1d10t")
+    assert reader.text("a r e s t u p i d") == "are stupid"
+    assert {"the", "stupid"} <= reader.words("t h e s t u p i d")
+    glued = "theyarestupidandtheyaresuchidiotstheyallareidiot"
+    assert len(glued) > reader.LONGEST and {"stupid", "idiot"} <= reader.words(glued)
+    assert {"stupid", "idiot"} <= reader.words(" ".join(glued))
+    assert "idiot" in reader.words("i d i o t")
+    assert reader.words("q" * 50_000 + "1x" * 50_000 + "ab" * 50_000)  # linear time
+
+
 def _brute_spans(text):
     patterns = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
