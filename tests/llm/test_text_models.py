@@ -72,6 +72,20 @@ def test_long_disguises_are_restored(spark):
     assert reader.words("q" * 50_000 + "1x" * 50_000 + "ab" * 50_000)  # linear time
 
 
+def test_signs_at_a_words_end_are_read(spark):
+    known = spark.createDataFrame([("the dumbass will kill that ass of an idiot, all scum! stay here",)] * 300, "text string")
+    reader = toxicity.Model(toxicity.trigram_counts(known), words=toxicity.vocabulary(known)).reader()
+    for disguised, word in (("a$$", "ass"), ("idio+", "idiot"), ("dumba$$!", "dumbass"), ("ki||,", "kill"), ("1dio+.", "idiot")):
+        assert word in reader.words(f"you {disguised} there") and word in reader.text(disguised).split(), disguised
+    for spaced in ("i d i o t,", "i d ! o t", '"i d i o t"', "(i d i 0 t!)", "i.d.i.o.t.", "i d i o +", "an i d i o t, a"):
+        assert "idiot" in reader.words(f"you {spaced}"), spaced
+    assert "scum" in reader.words("all s c u m.") and "scum" in reader.text("all s c u m.").split()
+    for plain in ("stay!", "idiot!!!", "all|", "kill?!"):
+        assert reader.words(plain) == {plain.strip("!|?")}, plain
+    assert reader.words("100$ 5€ 18+ 7! 250") == set()
+    reader.words("! " * 50_000 + "!." * 50_000 + "x")  # linear time
+
+
 def _brute_spans(text):
     patterns = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
