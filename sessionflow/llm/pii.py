@@ -6,9 +6,13 @@ gradient boosted trees over its format (digits, groups, separators, checksum,
 parts) and its context (signs and words beside it), and is redacted above a
 threshold that reaches ``PRECISION`` on rows the trees have not seen.
 
-The trees learn from the corpus itself: candidates that pass the base rules
-are positive, candidates that fail them negative. What tells the classes
-apart by definition alone (the base rules' verdict) is no feature.
+The trees learn from the corpus itself. Base spans are positive, and so is
+each one rewritten in place into a disguised form (bracketed at and dot, other
+separators). Negative are look-alikes: base spans broken so that they fail the
+checks, in the same disguised forms, and candidates of the corpus that carry no
+disguise or fail the checks without it. Candidates that pass them without their
+disguise have no label: they are judged, and neither fitted nor calibrated on.
+Thresholds see no base span, since none needs one.
 
 Semantics: a null text is empty and has no spans. Spans are code points, end
 exclusive. Matches of a kind do not overlap; spans of different kinds may.
@@ -19,6 +23,7 @@ candidate or only one class exists there is no model and only base spans.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -122,6 +127,101 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     return [(k, a, b, ok) for (k, a, b), ok in found.items()]
 
 
+# Forms that the loose generators find and the base rules do not.
+_AT_FORMS = (" [at] ", "[at]", " (at) ", "(at)", " {at} ", " at ", " @ ")
+_DOT_FORMS = (" [dot] ", "[dot]", " (dot) ", "(dot)", " dot ", ".")
+_IP_FORMS = ("[.]", "(.)", " . ", " [.] ")
+_CARD_FORMS = (".", "_", "/")
+_PHONE_FORMS = ("-", ".", " ", "/")
+#: Words before " at " that make no address.
+_PROSE = ("look", "us", "office", "meet", "arrive", "now")
+_AT_SIGN, _DOT_SIGN = re.compile(_AT), re.compile(_DOT)
+
+
+def _plain_form(text: str, kind: str, a: int, b: int) -> str | None:
+    """A candidate without its disguise; None if it carries none."""
+    span = text[a:b]
+    if kind == "email":
+        at = _AT_SIGN.search(span)
+        local, host = span[: at.start()], span[at.end() :]
+        dots = [d for d in _DOT_SIGN.findall(host) if d != "."]
+        # a lone word, " at " and a host is prose
+        told = at[0].strip() != "at" or dots or re.search(r"[._%+\d-]", local)
+        return f"{local}@{_DOT_SIGN.sub('.', host)}" if told and (dots or at[0] != "@") else None
+    if kind == "ip":
+        marks = re.findall("[^0-9]+", span)
+        # ". " numbers a list
+        return ".".join(re.findall("[0-9]+", span)) if all(m not in (".", ". ") for m in marks) else None
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "card":
+        return digits if re.search(r"[._/]", span) else None
+    if span.startswith("00"):
+        return f"+{digits[2:]}"
+    return f"+{digits}" if text[a - 1 : a] == "+" or re.search(r"\([0-9]+\)", span) else None
+
+
+def _label(text: str, kind: str, a: int, b: int) -> bool | None:
+    """Whether a candidate beyond the base rules is personal; None if open."""
+    plain = _plain_form(text, kind, a, b)
+    if plain is not None and (kind, 0, len(plain), True) in base_matches(plain):
+        return None
+    return False
+
+
+def _rewritten(kind: str, span: str) -> Iterator[tuple[str, bool]]:
+    """A base span in disguised forms: itself, then broken so that it fails."""
+    pick = zlib.crc32(span.encode())
+    digits = re.sub("[^0-9]", "", span)
+
+    def joined(signs: tuple[str, ...], parts: list[str]) -> str:
+        return signs[pick % len(signs)].join(parts)
+
+    def fours(number: str) -> list[str]:
+        return [number[i : i + 4] for i in range(0, len(number), 4)]
+
+    if kind == "email":
+        local, host = span.split("@")
+        at, dot = _AT_FORMS[pick % len(_AT_FORMS)], _DOT_FORMS[pick // 8 % len(_DOT_FORMS)]
+        told = at != " at " or dot != "." or re.search(r"[._%+\d-]", local)
+        yield f"{local}{at if told else ' [at] '}{host.replace('.', dot)}", True
+        yield f"{_PROSE[pick % len(_PROSE)]} at {host}", False
+    elif kind == "ip":
+        parts = span.split(".")
+        yield joined(_IP_FORMS, parts), True
+        broken = [str(256 + pick // 8 % 744) if i == pick % 4 else p for i, p in enumerate(parts)]
+        yield joined((*_IP_FORMS, "."), broken), False
+        yield ". ".join(parts), False
+    elif kind == "card":
+        yield joined(_CARD_FORMS, fours(digits)), True
+        wrong = digits[:-1] + str((int(digits[-1]) + 1 + pick // 8 % 9) % 10)
+        yield joined((*_CARD_FORMS, " ", "-"), fours(wrong)), False
+    else:
+        groups = re.findall("[0-9]+", span)
+        if len(groups) < 3:
+            groups = [digits[:2], *(digits[i : i + 3] for i in range(2, len(digits) - 2, 3))]
+            groups[-1] += digits[sum(map(len, groups)) :]
+        yield "00" + joined(_PHONE_FORMS, groups), True
+        yield joined(_PHONE_FORMS, [*fours(digits[:8])[:1], digits[4:6], digits[6:9]]), False
+        yield joined(_PHONE_FORMS, groups), False
+
+
+def examples(text: str) -> Iterator[tuple[str, bool, bool, str, int, int]]:
+    """(kind, label, whether a base span, text, start, end) to learn from."""
+    for kind, a, b, base in candidates(text):
+        label = True if base else _label(text, kind, a, b)
+        if label is not None:
+            yield kind, label, base, text, a, b
+        if not base:
+            continue
+        before, after = text[max(0, a - 32) : a], text[b : b + 9]
+        for span, good in _rewritten(kind, text[a:b]):
+            # as the generators would find it there
+            here = f"{before}{span}{after}"
+            at = (kind, len(before), len(before) + len(span), False)
+            if at in candidates(here):
+                yield kind, good, False, here, at[1], at[2]
+
+
 # Words that announce a kind of data, in the languages of the corpus.
 _CUES = (
     ("mail", "correo", "courriel", "@"),
@@ -130,7 +230,7 @@ _CUES = (
     ("tel", "phone", "call", "fax", "mobil", "ruf"),
     ("version", "license", "lizenz", "licence", "licencia", "page", "isbn", "id", "no", "nr"),
 )
-N_FEATURES = len(KINDS) + 17 + len(_CUES)
+N_FEATURES = len(KINDS) + 23 + len(_CUES)
 
 
 def span_features(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -142,12 +242,17 @@ def span_features(text: str, kind: str, a: int, b: int) -> list[float]:
     before = text[max(0, a - 24) : a].lower()
     left, right = text[a - 1 : a], text[b : b + 1]
     words = re.findall(r"[\w@]+", before)[-3:]
+    at = _AT_SIGN.search(span) if kind == "email" else None
     return [
         *(float(kind == k) for k in KINDS),
         float(b - a), float(len(digits)), float(len(groups)), float(min(sizes)), float(max(sizes)),
         float(sizes[0]), float(sizes[-1]),
         float(sum(c in " \t" for c in span)), float(span.count(".")), float(span.count("-")),
         float(span.count("(") + span.count("[")), float(span.startswith("+")), float("@" in span),
+        float(span.count("_") + span.count("/")), float(span.count("{")), float(span.lower().count("dot")),
+        float(span.count(". ") - span.count(" . ")),
+        float(at[0].strip() == "at") if at else 0.0,
+        float(re.search(r"[._%+\d-]", span[: at.start()]) is not None) if at else 0.0,
         float(luhn(digits)) if digits else 0.0,
         float(max((int(g[:6]) for g in groups), default=0) <= 255),
         float(left.isalnum() or left in "._%+-") if left else 0.0,
@@ -186,27 +291,30 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", limit: int = FIT_CANDIDATES) -> Model:
     """Fit trees on a bounded sample of candidates, thresholds on all the rest.
 
-    Every text's candidates are staged, alike ones in alike surroundings once.
-    By hash they fall into two halves. At most ``limit`` candidates of the
-    first fit the trees. The whole second half, as counts per kind and step of
-    probability, sets per kind the least threshold whose precision is
-    ``PRECISION`` there and above; a kind without such a threshold adds nothing.
+    Every text's examples are staged, alike ones in alike surroundings once.
+    By hash they fall into two halves. At most ``limit`` examples of the first
+    fit the trees. The whole second half without its base spans, as counts per
+    kind and step of probability, sets per kind the least threshold whose
+    precision is ``PRECISION`` there and above; a kind without such a threshold
+    adds nothing.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [
-                (k, ok, span_features(t, k, a, b), t[max(0, a - 24) : b + 8])
-                for t in part["t"]
-                for k, a, b, ok in candidates(t or "")
+                (k, ok, base, span_features(t, k, a, b), t[max(0, a - 24) : b + 8])
+                for whole in part["t"]
+                for k, ok, base, t, a, b in examples(whole or "")
             ]
-            yield pd.DataFrame(rows, columns=["kind", "ok", "x", "seen"])
+            yield pd.DataFrame(rows, columns=["kind", "ok", "base", "x", "seen"])
 
     found = docs.select(F.col(text).alias("t")).mapInPandas(
-        run, "kind string, ok boolean, x array<double>, seen string"
+        run, "kind string, ok boolean, base boolean, x array<double>, seen string"
     )
     found = staged(
-        found.select("kind", "ok", "x", F.xxhash64("kind", "ok", "x", "seen").alias("h")).dropDuplicates(["h"]),
+        found.select(
+            "kind", "ok", "base", "x", F.xxhash64("kind", "ok", "base", "x", "seen").alias("h")
+        ).dropDuplicates(["h"]),
         "pii-candidates",
     )
     # the lowest bit parts the halves; both classes are needed
@@ -222,7 +330,7 @@ def fit(docs: DataFrame, text: str = "text", limit: int = FIT_CANDIDATES) -> Mod
             yield part[["kind", "ok"]].assign(p=model.trees.probability(x))
 
     counts = (
-        found.where("h % 2 <> 0").mapInPandas(judge, "kind string, ok boolean, p double")
+        found.where("h % 2 <> 0 and not base").mapInPandas(judge, "kind string, ok boolean, p double")
         .groupBy("kind", F.floor(F.col("p") * STEPS).alias("step"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("right"), F.min("p").alias("p"))
         .toPandas().sort_values("p", ascending=False)

@@ -128,6 +128,25 @@ def test_pii_rows(spark, edge_docs, no_docs):
     assert pii.fit(no_docs).trees is None and no_docs.select(pii.find(pii.Model(), F.col("text"))).count() == 0
 
 
+def test_disguised_data_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    planted = [
+        ("email", "write to {} for more", [f"nina.k{i} [at] shop{i} [dot] com" for i in range(40)]),
+        ("email", "write to {} for more", [f"nina{i}(at)shop{i}.org" for i in range(40)]),
+        ("ip", "the host {} is down", [f"10[.]{i}[.]7[.]{i + 3}" for i in range(40)]),
+        ("card", "paid by card {} today", ["4111.1111.1111.1111", "5500_0000_0000_0004", "4012/8888/8888/1881"]),
+    ]
+    clean = ["paid by card 4111.1111.1111.1112 today", "the host 10[.]999[.]7[.]3 is down", "1. 2. 3. 4 are steps"]
+    rows = [(k, f.format(s), s) for k, f, every in planted for s in every] + [("", t, "") for t in clean]
+    added = spark.createDataFrame(rows, "kind string, text string, span string").coalesce(2)
+    # common in the corpus, which must not keep them from being found
+    model = pii.fit(docs.unionByName(added.select("text")))
+    got = added.select("*", pii.find(model, F.col("text")).alias("f"), pii.redact(model, F.col("text")).alias("t")).collect()
+    missed = [r.text for r in got if r.kind and (r.span in r.t or f"<{r.kind}>" not in r.t)]
+    assert len(missed) <= 0.02 * len(rows), (missed, model.thresholds)
+    assert [r.t for r in got if not r.kind] == clean
+
+
 def test_least_by_hash_equals_the_whole_sort(spark):
     rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
     every = [r.id for r in rows.orderBy("h").collect()]
