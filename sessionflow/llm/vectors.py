@@ -29,15 +29,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, dealt_in_tiles, least_by_hash, salted_join, staged, whole_groups
+from .common import NULL_ID, dealt_in_tiles, salted_join, staged, whole_groups
 from .components import components
 from .simhash import forest
 
 #: Most vectors that the codebooks and the margin are fitted on.
 FIT_VECTORS = 20_000
+#: A length of so few classes is compared whole, in one cell.
+ONE_CELL = 2_000
 #: Wanted vectors per cell, over all labels; the codebooks grow with the root of the table.
 CELL_VECTORS = 64
 MOST_CODEWORDS = 256
@@ -168,7 +170,9 @@ _PAIR = ["label", "size", "cell", "i", "j"]
 
 def _compare(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Per tile pair: link weights per class (``other`` null) and forest links."""
-    for part in whole_groups(batches, _PAIR):
+    # vectors of one length at a time
+    parts = (part for whole in whole_groups(batches, _PAIR) for _, part in whole.groupby("size"))
+    for part in parts:
         keys = part[_PAIR]
         new = np.concatenate([[True], (keys.to_numpy()[1:] != keys.to_numpy()[:-1]).any(1)])
         starts = np.append(np.nonzero(new)[0], len(part))
@@ -213,6 +217,36 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
             yield links[links["number"] != links["other"]]
 
 
+def _shares(sizes: dict[int, int]) -> dict[int, int]:
+    """How many vectors of each length the sample holds, ``FIT_VECTORS`` in all.
+
+    Every length gets an equal share; what a short one leaves goes to the
+    others. Lengths that one cell holds need none.
+    """
+    left, out = FIT_VECTORS, {}
+    many = sorted((n, size) for size, n in sizes.items() if n > ONE_CELL)
+    for i, (n, size) in enumerate(many):
+        out[size] = min(n, left // (len(many) - i))
+        left -= out[size]
+    return out
+
+
+def _sample(classes: DataFrame, sizes: dict[int, int]) -> pd.DataFrame:
+    """(size, embedding): of each length its share of least hash, as in ``least_by_hash``."""
+    hashed = classes.select("size", "embedding", F.xxhash64("number").alias("h"))
+    below, share = F.lit(False), F.lit(0)
+    for size, limit in _shares(sizes).items():
+        own, wanted = F.col("size") == size, 2 * limit + 200
+        total = sizes[size]
+        below = below | (own & (F.col("h") < wanted * 2**64 // total - 2**63) if total > wanted else own)
+        share = F.when(own, F.lit(limit)).otherwise(share)
+    place = F.row_number().over(Window.partitionBy("size").orderBy("h"))
+    return (
+        hashed.where(below).withColumn("place", place).where(F.col("place") <= share)
+        .select("size", "embedding").toPandas()
+    )
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``."""
     spark = vectors.sparkSession
@@ -223,8 +257,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         r["size"]: r["n"]
         for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(64).collect()
     }
-    hashed = classes.select("size", "embedding", F.xxhash64("number").alias("h"))
-    sample = least_by_hash(hashed, "h", FIT_VECTORS).toPandas()
+    sample = _sample(classes, sizes)
     grids: dict[int, Grid] = {}
     for size, total in sizes.items():
         own = sample.loc[sample["size"] == size, "embedding"]
@@ -235,7 +268,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         for batch in batches:
             for size, part in batch.groupby("size"):
                 grid = grids.get(int(size))
-                if grid is None:  # too few of this length in the sample: one cell
+                if grid is None:  # too few of this length to calibrate on: one cell
                     visits = [[0]] * len(part)
                 else:
                     near, far = grid.half_distances(unit(np.stack(part["embedding"].to_numpy())))

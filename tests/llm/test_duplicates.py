@@ -258,3 +258,23 @@ def test_vector_rows(spark):
     for i in (2, 3, 4, 5, 6, 7, 8, 9, 10, 14):
         assert got[i] == (0, i), i
     assert vectors.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_a_minor_length_beside_a_dominant_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    minor = [(10_000 + i, 1, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(120, 3)))]
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 8)))] + minor
+    fitted = []
+    fit_grid = vectors.fit_grid
+    monkeypatch.setattr(vectors, "FIT_VECTORS", 600)
+    monkeypatch.setattr(vectors, "fit_grid", lambda x, *rest: fitted.append(x.shape) or fit_grid(x, *rest))
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame).collect()}
+    # no grid rests on a few vectors, and the minor length is exact
+    assert fitted == [(600, 8)]
+    want = {r[0]: 0 for r in minor}
+    for i, j in _brute_vectors(minor):
+        want[minor[i][0]] += 1
+        want[minor[j][0]] += 1
+    assert {k: got[k] for k in want} == want and any(want.values())
+    assert vectors._shares({8: 10**7, 4: 5000, 3: 900}) == {8: 300, 4: 300}
