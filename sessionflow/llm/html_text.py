@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp svg math template select option object canvas audio video".split())
+RAW = frozenset("script style textarea title iframe noembed noframes svg template select option canvas audio video".split())
 BLOCK = frozenset(
     "html body article section nav aside header footer main div p ul ol li dl dt dd table caption thead "
     "tbody tfoot tr td th form fieldset figure figcaption blockquote pre address details summary menu "

@@ -221,6 +221,15 @@ def test_html_rows(spark):
     assert html_text.extract_pages(frame.limit(0)).count() == 0
 
 
+def test_html_keeps_text_of_formulas_and_fallbacks(spark):
+    page = ("<html><body><nav><ul><li><a>m</a></li></ul></nav><article><h1>Title</h1><p>The energy is <math><mi>E</mi><mo>=</mo><mn>5</mn></math> here, as is known."
+            "<noscript><p>Text without scripts, in full.</p></noscript><object><p>A <object>nested</object> table of values, in words.</p></object>"
+            "<p>The end, after all of it.</article></body></html>")
+    text = html_text.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    for kept in ("is E=5 here", "Text without scripts, in full.", "A nested table of values, in words.", "The end, after all of it."):
+        assert kept in text, (kept, text)
+
+
 def test_language_rows(spark, edge_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
