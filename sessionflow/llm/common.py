@@ -22,19 +22,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _delete_folder(spark: SparkSession, path: str, at_exit: bool) -> None:
+    """Delete a staged folder now, or when the session's JVM ends."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(jvm_path) if at_exit else files.delete(jvm_path, True)
+
+
+def _staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _delete_folder(spark, path, at_exit=True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and return it read back.
 
     Cuts the lineage: a lost executor costs re-reading shared files. The
     folder is deleted when the session's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm_path.getFileSystem(conf).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _staged_at(df, name)[0]
+
+
+class staged_rounds:
+    """Staged tables of an iteration, of which only the last is needed.
+
+    ``keep`` writes a round and then deletes the round before it. What was
+    read from that must be done by then.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out, path = _staged_at(df, self.name)
+        if self.path:
+            _delete_folder(df.sparkSession, self.path, at_exit=False)
+        self.path = path
+        return out
 
 
 def salt(buckets: int, *cols: Column | str) -> Column:

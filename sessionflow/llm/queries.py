@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from . import (
     byte_bpe,
+    clusters,
+    fill_middle,
     html_text,
     language,
     packing,
     pii,
     quality,
+    sharding,
     simhash,
     spotsigs,
     toxicity,
@@ -141,6 +144,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, held, quality.score(model, F.col("text")))
 
 
+#: Shards of equal weight, and the weight of the one that may be added.
+SHARDS = 16
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, 1.0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = fill_middle.fill_middle(docs)
+    return done.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64.0)
+
+
 _QUERIES = [
     op1_best_fit_packing,
     op2_document_fingerprints,
@@ -152,6 +181,9 @@ _QUERIES = [
     op8_pii,
     op9_byte_bpe,
     op10_quality,
+    op11_sharding,
+    op12_fill_in_middle,
+    op13_centroid_clustering,
 ]
 
 
@@ -167,6 +199,77 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: _shipped(query) for query in _QUERIES}
 
 
+def _fill_in_middle_sql() -> str:
+    group = "CAST('0x' || substr(digest, {}, 8) AS UBIGINT)"
+    h1, h2, h3, h4 = (group.format(8 * i + 1) for i in range(4))
+    return f"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS whole, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units
+  FROM documents
+), cut AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n,
+         CAST(least({h1} % (len(units) + 1), {h2} % (len(units) + 1)) AS BIGINT) AS a,
+         CAST(greatest({h1} % (len(units) + 1), {h2} % (len(units) + 1)) AS BIGINT) AS b,
+         CASE WHEN whole = '' OR contains(whole, '<P>') OR contains(whole, '<S>') OR contains(whole, '<M>')
+                   OR {h3} % 100 >= 90 THEN 'plain'
+              WHEN {h4} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix,
+         coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(units[b + 1:], ''), '') AS suffix
+  FROM cut
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN whole
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM parts"""
+
+
+def _centroid_clustering_sql(rounds: int = 3) -> str:
+    ctes = [
+        """kept AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        """ranked AS (
+  SELECT v, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM kept
+)""",
+        "c0 AS (SELECT c, v AS m FROM ranked WHERE c < 16)",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, c)) AS best
+  FROM (SELECT r, vec_id, v, c,
+               CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM kept, c{i})
+  GROUP BY r
+)""")
+        ctes.append(f"""s{i} AS (
+  SELECT c, list(mean ORDER BY place) AS m
+  FROM (SELECT best[2] AS c, place, CAST(floor(CAST(sum(v[place]) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+        FROM a{i}, (SELECT unnest(range(1, 65)) AS place) GROUP BY ALL)
+  GROUP BY c
+)""")
+        ctes.append(f"c{i + 1} AS (SELECT old.c, coalesce(new.m, old.m) AS m FROM c{i} old LEFT JOIN s{i} new ON old.c = new.c)")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT a.vec_id, CAST(a.best[2] AS INTEGER) AS cluster, a.best[1] AS distance,
+       CAST(sum(a.best[1]) OVER (PARTITION BY a.best[2]) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best[1]) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.m, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best[2]"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express."""
-    return {}
+    return {
+        "op12_fill_in_middle": _fill_in_middle_sql(),
+        "op13_centroid_clustering": _centroid_clustering_sql(),
+    }
