@@ -1,14 +1,14 @@
 """Document fingerprints: SpotSigs, with DataFrame functions only.
 
-A common word (an anchor) followed by the next ``CHAIN`` content words, other
-common words between them left out, is one spot signature. A text's
-fingerprint is the set of its signatures, each as a 32-bit hash; the start of
-the text counts as an anchor, and a text too short for a chain is one
-signature as a whole. Where anchors are missing (a run of more than ``GAP``
-content words, or any run of a text whose chains all hold the same words),
-every word of the run is an anchor too, so tables, code and texts in other
-languages count with all their words. Likeness of two fingerprints is the
-Jaccard similarity of the sets.
+An anchor followed by the next ``CHAIN`` content words, common words between
+them left out, is one spot signature. Anchors are the common words, the start
+of the text, and one in ``SPACING`` content words, picked by hash: where common
+words are rare (tables, code, other languages) the picked words carry the
+chains, and an edit changes only signatures near it, whatever stands around.
+A text with no anchor but its start has a chain after every word; one too
+short for a chain is one signature as a whole. A text's fingerprint is the set
+of its signatures, each as a 32-bit hash. Likeness of two fingerprints is the
+Jaccard similarity of the sets. All steps take time in proportion to the text.
 
 :func:`similar` joins a whole table with itself: sets are partitioned by
 length, a pair meets only if their lengths allow the threshold and they share
@@ -30,8 +30,12 @@ from .common import NULL_ID, salted_join, staged
 
 #: Content words of one signature.
 CHAIN = 2
-#: Content words in a row, beyond which each of them is an anchor.
-GAP = 32
+#: One in so many content words is an anchor, by its CRC-32.
+SPACING = 4
+#: Ids with more than this share of the rows, fewer than its inverse, are dealt
+#: out over tasks of about ``DEALT_ROWS`` rows.
+HOT_SHARE = 1e-4
+DEALT_ROWS = 2_000
 # Common words of the languages of the corpus.
 ANCHORS = (
     "the of and to a in is that it for as was with be by on are this from or an at not "
@@ -42,42 +46,56 @@ ANCHORS = (
 _MARK = "\u0001"
 
 
+def _picked(word: Column) -> Column:
+    """Whether a content word is an anchor (the start's empty name is not)."""
+    return (word != "") & (F.crc32(word) % SPACING == 0)
+
+
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: the sorted distinct signature hashes (array<int>) of ``text``.
 
-    Built in steps, so that a part used twice is computed once.
+    Built in steps, so that a part used twice is computed once. What a lambda
+    needs of several arrays is zipped before: a column of another step inside
+    a lambda would be computed per element.
     """
+    common = sorted(set(ANCHORS))
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    marked = F.transform(
-        F.col("_words"),
-        lambda w: F.when(w.isin(sorted(set(ANCHORS))), F.concat(F.lit(_MARK), w)).otherwise(w),
-    )
-    # the start of the text is an anchor without a name
-    line = F.concat(F.lit(f"{_MARK} "), F.array_join(marked, " "), F.lit(" "))
-    content = rf"(?:{_MARK}[^ ]* )*+[^{_MARK} ][^ ]* "
-    spans = F.regexp_extract_all("_line", F.lit(rf"{_MARK}(?=([^ ]* (?:{content}){{{CHAIN}}}))"), F.lit(1))
-    # what stands between the anchor and the chain does not count
-    chains = F.transform(spans, lambda s: F.regexp_replace(s, rf" {_MARK}[^ ]*", ""))
-    thin = F.size(F.array_distinct(F.transform("_chains", lambda s: F.substring_index(s, " ", -CHAIN - 1)))) <= 1
-    # no column of another step inside a lambda: it would be computed per element
-    runs = F.when(F.col("_thin"), F.col("_runs")).otherwise(
-        F.filter("_runs", lambda r: F.size(F.split(r, " ")) > GAP + 1)
-    )
-    every = rf"(?<![^ ])(?=((?:[^ ]++ ){{{CHAIN + 1}}}))"
-    more = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(every), F.lit(1))))
+    marked = F.transform("_words", lambda w: F.when(w.isin(common), F.concat(F.lit(_MARK), w)).otherwise(w))
+    line = F.concat(F.array_join(marked, " "), F.lit(" "))
+    # the common words before every content word, and behind the last
+    runs = F.split("_line", rf"(?<![^ ])[^{_MARK} ][^ ]* ")
+    n = F.greatest(F.size("_content") - (CHAIN - 1), F.lit(0))
+    before = F.concat(F.array(F.lit("")), F.col("_content"))
+    chain = [F.slice("_content", i + 1, n).alias(f"w{i}") for i in range(CHAIN)]
+    spots = F.arrays_zip(F.slice("_runs", 1, n).alias("run"), F.slice(before, 1, n).alias("before"), *chain)
+
+    def signature(name: Column, spot: Column) -> Column:
+        return F.hash(name, *[spot[f"w{i}"] for i in range(CHAIN)])
+
+    def of_spot(spot: Column) -> Column:
+        run, name = spot["run"], spot["before"]
+        own = F.when((name == "") | _picked(name), F.array(signature(name, spot))).otherwise(F.array().cast("array<int>"))
+        named = F.filter(F.array_distinct(F.split(run, " ")), lambda w: w != "")
+        return F.when(run == "", own).otherwise(F.concat(own, F.transform(named, lambda w: signature(w, spot))))
+
+    anchored = F.exists("_spots", lambda spot: (spot["run"] != "") | _picked(spot["before"]))
+    after_anchors = F.flatten(F.transform("_spots", of_spot))
+    after_every_word = F.transform("_spots", lambda spot: signature(spot["before"], spot))
     whole = F.when(F.size("_words") > 0, F.array(F.hash(F.array_join("_words", " "))))
-    found = F.when(
-        F.size("_chains") > 0, F.transform(F.concat(F.col("_chains"), F.col("_more")), lambda s: F.hash(s))
-    ).otherwise(F.coalesce(whole, F.array().cast("array<int>")))
+    found = (
+        F.when(F.size("_spots") == 0, F.coalesce(whole, F.array().cast("array<int>")))
+        .when(F.col("_anchored"), after_anchors)
+        .otherwise(after_every_word)
+    )
     return (
         df.withColumn("_words", words)
         .withColumn("_line", line)
-        .withColumn("_chains", chains)
-        .withColumn("_thin", thin)
-        .withColumn("_runs", F.split("_line", rf"{_MARK}[^ ]* "))
-        .withColumn("_more", more)
+        .withColumn("_runs", runs)
+        .withColumn("_content", F.filter("_words", lambda w: ~w.isin(common)))
+        .withColumn("_spots", spots)
+        .withColumn("_anchored", anchored)
         .withColumn(out, F.array_sort(F.array_distinct(found)))
-        .drop("_words", "_line", "_chains", "_thin", "_runs", "_more")
+        .drop("_words", "_line", "_runs", "_content", "_spots", "_anchored")
     )
 
 
@@ -125,6 +143,29 @@ def next_ids(ids: DataFrame, parts: int = 64) -> DataFrame:
     )
 
 
+def _hot_ids(per_id: DataFrame) -> DataFrame:
+    """(doc_id, shares) of the ids that hold more than ``HOT_SHARE`` of the rows."""
+    total = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
+    shares = F.ceil(F.col("n") / DEALT_ROWS).cast("int").alias("shares")
+    return per_id.where(F.col("n") > max(total * HOT_SHARE, DEALT_ROWS)).select("doc_id", shares)
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``_share``: the rows of a hot id are dealt out in turn, others are share 0.
+
+    Any share gives the same join, as the other side is there for all of them;
+    equal rows are dealt out too. ``hot`` has at most 1 / ``HOT_SHARE`` rows.
+    """
+    dealt = F.pmod(F.monotonically_increasing_id(), F.coalesce("shares", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), "doc_id", "left").withColumn("_share", dealt).drop("shares")
+
+
+def _for_all_shares(lookup: DataFrame, hot: DataFrame) -> DataFrame:
+    """``lookup``, one row per id, repeated for every share of a hot id."""
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))
+    return lookup.join(F.broadcast(hot), "doc_id", "left").withColumn("_share", every).drop("shares")
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness.
 
@@ -139,18 +180,24 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     order = staged(next_ids(base.select("doc_id")), "order")
     # how much of a document its predecessors may need
-    third = base.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("third"))
-    wanted = order.join(third, "doc_id").select(
+    per_id = staged(
+        base.groupBy("doc_id").agg(
+            F.max(F.floor(F.length("text") / 3)).cast("int").alias("third"), F.count(F.lit(1)).alias("n")
+        ),
+        "per-id",
+    )
+    hot = _hot_ids(per_id)
+    wanted = order.join(per_id.select("doc_id", "third"), "doc_id").select(
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.col("third")
     )
-    own = with_signatures(base, "text", "sigs")
+    own = with_signatures(_dealt(base, hot), "text", "sigs")
     lent = (
-        own.join(wanted, "doc_id")
+        own.join(_for_all_shares(wanted, hot), ["doc_id", "_share"])
         .select("to_id", F.expr("left(text, third)").alias("head"), F.col("sigs").alias("next_sigs"))
-        .groupBy("to_id")
+        .groupBy(F.col("to_id").alias("doc_id"))
         .agg(F.min(F.struct("head", "next_sigs")).alias("next"))
     )
-    both = own.join(lent, F.col("doc_id") == F.col("to_id"))
+    both = own.join(_for_all_shares(lent, hot), ["doc_id", "_share"])
     both = both.withColumn("cut", F.floor(F.length("text") / 3).cast("int"))
     edited = both.withColumn(
         "edited", F.expr("concat(left(text, length(text) - cut), left(next.head, cut))")
