@@ -45,6 +45,9 @@ REUSED_TXN_MOD = 5
 REUSED_TXN_RANGE = 500
 MISSING_REVENUE_MOD = 7
 NULL_ITEMS_MOD = 5
+# items: number (user_id * 3 + session + j * (event_id % 3)) % ITEM_COUNT at
+# place j of the list; no id at multiples of 40, no name at multiples of 7
+ITEM_COUNT, NULL_ITEM_ID_MOD, NULL_ITEM_NAME_MOD = 200, 40, 7
 SESSION_DAYS = 3  # a session is a user's 3-day block since 1970-01-01
 REVENUE_STEP = 20  # revenue = floor(value / 20) * 20
 # device by (user_id + hours since epoch) % 4
@@ -123,10 +126,14 @@ def _derivation_sql() -> list[str]:
         f"CASE WHEN event_type = 'purchase' AND event_id % {MISSING_REVENUE_MOD} <> 0 "
         f"THEN CAST(floor(value / {REVENUE_STEP}) * {REVENUE_STEP} AS DOUBLE) END"
     )
+    # an event's first item belongs to the user and session, so a session's
+    # events share items; the others step on by event_id % 3 (0: units of one item)
+    item_no = f"((user_id * 3 + {session_no} + j * (event_id % 3)) % {ITEM_COUNT})"
     items = (
-        f"CASE WHEN event_id % {NULL_ITEMS_MOD} <> 0 THEN array_repeat(named_struct("
-        "'item_id', concat('SKU-', CAST(event_id AS STRING)), 'item_name', CAST(NULL AS STRING)), "
-        f"CAST(event_id % {NULL_ITEMS_MOD} - 1 AS INT)) END"
+        f"CASE WHEN event_id % {NULL_ITEMS_MOD} <> 0 THEN transform(slice(array(0, 1, 2), 1, "
+        f"CAST(event_id % {NULL_ITEMS_MOD} - 1 AS INT)), j -> named_struct("
+        f"'item_id', CASE WHEN {item_no} % {NULL_ITEM_ID_MOD} <> 0 THEN concat('SKU-', CAST({item_no} AS STRING)) END, "
+        f"'item_name', CASE WHEN {item_no} % {NULL_ITEM_NAME_MOD} <> 0 THEN concat('Item ', CAST({item_no} AS STRING)) END)) END"
     )
     device = _sql_case(f"(user_id + {hour_no}) % 4", DEVICE_BY_MOD4)
     suffix = f"date_format({day}, 'yyyyMMdd')"
@@ -233,3 +240,5 @@ class DerivedEventSource:
 FIXTURE_REVIEW = Period("20240101", "20240130")
 FIXTURE_OFFICIAL = Period("20240109", "20240130")
 FIXTURE_DAY = "20240130"
+# prediction days; labels of the first two end before the last one
+PROPENSITY_DAYS = (dt.date(2024, 1, 9), dt.date(2024, 1, 15), dt.date(2024, 1, 23))
