@@ -23,6 +23,7 @@ import html as html_lib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -170,27 +171,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             run.clear()
         links = 0
 
+    # places on the stack of the open elements of each name, and of all blocks:
+    # an end tag finds its element without a walk, however deep the page is
+    places: dict[str, list[int]] = {}
+    blocks_open: list[int] = []
+
     def close(to: int):
         nonlocal linked
         while len(stack) > to:
             tag = stack[-1][0]
             if tag in BLOCK:
                 flush()
+                blocks_open.pop()
+            places[tag].pop()
             linked -= tag == "a"
             stack.pop()
 
+    def last(name: str) -> int:
+        open_ones = places.get(name)
+        return open_ones[-1] if open_ones else 0
+
     for kind, name, rest in tokens(page):
         if kind == "text":
             run.append(name)
             if linked:
                 links += len(name)
         elif kind == "end":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break  # a stray inline end tag does not close a block
+            at = last(name)
+            # a stray inline end tag does not close a block
+            if at and (name in BLOCK or not blocks_open or at > blocks_open[-1]):
+                close(at)
         elif name in RAW:
             run.append(" ")
         elif name in VOID:
@@ -198,22 +208,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
             run.append(" ")
         else:
-            if name in _ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+            if name in _ENDS_P and blocks_open and stack[blocks_open[-1]][0] == "p":
+                close(blocks_open[-1])
             if name in _IMPLIED:
                 ends, within = _IMPLIED[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in ends:
-                        close(i)
+                container = max(map(last, within))
+                # the outermost element behind the container that has to end
+                behind = [places[x][bisect_right(places[x], container)] for x in ends if last(x) > container]
+                if behind:
+                    close(min(behind))
+            places.setdefault(name, []).append(len(stack))
             if name in BLOCK:
                 flush()
+                blocks_open.append(len(stack))
                 nodes.append(Node(name, stack[-1][1], rest))
                 stack.append((name, len(nodes) - 1))
             else:

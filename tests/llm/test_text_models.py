@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sessionflow.llm import boosting, html_text, language, pii, quality, toxicity
@@ -54,24 +58,85 @@ def test_disguised_words_are_restored(spark, small_docs):
     assert reader.words("plain words, stay &&& as they are!") >= {"plain", "words", "stay", "are"}
 
 
-def test_long_disguises_are_restored(spark):
+@pytest.fixture(scope="module")
+def corpus_reader(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    reader = toxicity.Model(toxicity.trigram_counts(docs), words=toxicity.vocabulary(docs)).reader()
+    return toxicity.Model(toxicity.trigram_counts(docs), words=toxicity.vocabulary(docs)).reader()
+
+
+def test_long_disguises_are_restored(corpus_reader):
+    reader = corpus_reader
     assert "idiot" in reader.words("you idi" + "o" * 60 + "t and them")
     for sign in "._":
-        joined = sign.join("they are such a very very very very 1d10t and all they know".split())
-        assert len(joined) > reader.LONGEST and {"idiot", "such", "they"} <= reader.words(joined), joined
-        assert {"such", "very", "idiot"} <= set(reader.text(joined).split())
+        for n in (1, 4, 9):
+            joined = sign.join("the are such a".split() * n + "1d10t and all".split())
+            assert {"idiot", "such", "the"} <= reader.words(joined), joined
+            assert {"such", "idiot"} <= set(reader.text(joined).split())
     assert "idiot" in reader.words("they_are_an_1d10t")
     assert reader.text("a r e s t u p i d") == "are stupid"
     assert {"the", "stupid"} <= reader.words("t h e s t u p i d")
-    glued = "theyarestupidandtheyaresuchidiotstheyallareidiot"
-    assert len(glued) > reader.LONGEST and {"stupid", "idiot"} <= reader.words(glued)
-    assert {"stupid", "idiot"} <= reader.words(" ".join(glued))
     assert "idiot" in reader.words("i d i o t")
     assert reader.words("q" * 50_000 + "1x" * 50_000 + "ab" * 50_000)  # linear time
 
 
+@pytest.mark.parametrize(
+    "glued",
+    ["badidiot", "stupididiot", "theyarestupididiots", "theyarestupidandtheyaresuchidiotsandbad",
+     "theyarestupidandtheyaresuchidiotsandtrash", "theyarestupidandtheyaresuchidiotstheyallareidiot"],
+)
+def test_glued_words_are_split_at_any_length(corpus_reader, glued):
+    wanted = {w for w in ("idiot", "stupid") if w in glued}
+    assert wanted <= corpus_reader.words(f"so {glued} here")
+    assert wanted <= corpus_reader.words(" ".join(glued))
+
+
+def test_viterbi_equals_enumeration(spark, small_docs):
+    speller = toxicity.Speller(toxicity.trigram_counts(small_docs))
+    r = random.Random(4)
+    for _ in range(150):
+        token = "".join(r.choice("aeidt0134$!.|x_") for _ in range(r.randint(1, 6)))
+        totals = {}
+        for parts in itertools.product(*speller._lattice(token)):
+            word = "".join(letters for letters, _ in parts)
+            total = speller.costs(word)[-1] + sum(price for _, price in parts)
+            totals[word] = min(total, totals.get(word, math.inf))
+        assert totals[speller.restore(token)] <= min(totals.values()) + 1e-9, token
+
+
+def test_split_equals_enumeration(spark, small_docs):
+    words = {"the": 2.0, "he": 4.0, "then": 4.5, "in": 3.0, "no": 3.5, "nothing": 6.0, "thing": 5.0, "hen": 7.0, "a": 3.0}
+    reader = toxicity.Reader(toxicity.Speller(toxicity.trigram_counts(small_docs)), words)
+    r = random.Random(7)
+
+    def price(parts):
+        total, at, spelled = -toxicity.GLUE_COST, 0, reader._speller.costs("".join(parts))
+        for p in parts:
+            other = toxicity.OTHER_COST + spelled[at + len(p)] - spelled[at]
+            total += toxicity.GLUE_COST + min(words.get(p, math.inf), other)
+            at += len(p)
+        return total
+
+    for _ in range(150):
+        letters = "".join(r.choice(["the", "no", "thing", "in", "x", "e", "n", "a"]) for _ in range(r.randint(1, 4)))[:10]
+        if letters in words:
+            continue
+        every = [
+            [letters[i:j] for i, j in zip((0, *cut), (*cut, len(letters)))]
+            for k in range(len(letters))
+            for cut in itertools.combinations(range(1, len(letters)), k)
+        ]
+        assert abs(price(reader._unglued(letters).split()) - min(map(price, every))) < 1e-9, letters
+
+
+def test_toxicity_fit_does_not_depend_on_the_order_of_repeated_ids(spark, small_docs, labels):
+    twice = small_docs.unionByName(small_docs.withColumn("text", F.concat(F.lit("other words before "), "text")))
+    found = []
+    for n in (1, 7):
+        model = toxicity.fit(twice.repartition(n), labels, F.lit(False))
+        found.append((model.bias, model.weights, model.words))
+    assert found[0] == found[1]
+
+
 def test_signs_at_a_words_end_are_read(spark):
     known = spark.createDataFrame([("the dumbass will kill that ass of an idiot, all scum! stay here",)] * 300, "text string")
     reader = toxicity.Model(toxicity.trigram_counts(known), words=toxicity.vocabulary(known)).reader()
@@ -221,6 +286,54 @@ def test_html_rows(spark):
     assert html_text.extract_pages(frame.limit(0)).count() == 0
 
 
+def _open_elements(tags):
+    """What is open after ``tags`` (start tags, or names with a slash), by walking the stack."""
+    stack = []
+    for tag in tags:
+        if tag[0] == "/":
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i] == tag[1:]:
+                    del stack[i:]
+                    break
+                if tag[1:] not in html_text.BLOCK and stack[i] in html_text.BLOCK:
+                    break
+            continue
+        if tag in html_text._ENDS_P:
+            block = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] in html_text.BLOCK), None)
+            if block is not None and stack[block] == "p":
+                del stack[block:]
+        ends, within = html_text._IMPLIED.get(tag, ((), ()))
+        container = max((i for i, x in enumerate(stack) if x in within), default=-1)
+        behind = [i for i, x in enumerate(stack) if x in ends and i > container]
+        if behind:
+            del stack[behind[0] :]
+        stack.append(tag)
+    return stack
+
+
+def test_html_open_elements_equal_a_walk():
+    r = random.Random(3)
+    names = ["div", "p", "li", "ul", "b", "a", "table", "tr", "td", "tbody", "dl", "dt", "dd", "span", "h1"]
+    for _ in range(600):
+        tags = [r.choice(["", "", "/"]) + r.choice(names) for _ in range(r.randint(1, 30))]
+        page = "".join(f"<{t}>" for t in tags) + "<div id=x>"
+        nodes, _ = html_text.parse(page)
+        stack = _open_elements([*tags, "div"])
+        path, at = [], len(nodes) - 1
+        while at > 0:
+            path.append(nodes[at].tag)
+            at = nodes[at].parent
+        assert path[::-1] == [x for x in stack if x in html_text.BLOCK], tags
+
+
+def test_html_parses_broken_markup_in_linear_time():
+    n = 200_000
+    for page in ("<b>" * n + "</div>" * n, "<div>" * n + "<li>x" * n, "<b><div>" + "<i>" * n + "</b>" * n):
+        began = time.monotonic()
+        html_text.parse(page)
+        assert time.monotonic() - began < 10
+
+
 def test_html_keeps_text_of_formulas_and_fallbacks(spark):
     page = ("<html><body><nav><ul><li><a>m</a></li></ul></nav><article><h1>Title</h1><p>The energy is <math><mi>E</mi><mo>=</mo><mn>5</mn></math> here, as is known."
             "<noscript><p>Text without scripts, in full.</p></noscript><object><p>A <object>nested</object> table of values, in words.</p></object>"
