@@ -5,7 +5,9 @@ cells. Every vector lives in the cell of its two nearest codewords. As a
 query it walks the grid by multi-sequence traversal, in order of the summed
 squared distances, and stops at a margin beyond its nearest cell: the margin
 is calibrated on a bounded sample so that pairs at and above the threshold
-are visited with the target recall. Visited candidates are verified by cosine
+are visited with the target recall. Each vector length has codebooks of its
+own, as fine as its vectors are many; where a length's sample is too small to
+calibrate on, the margin has no end, and walks visit every cell. Visited candidates are verified by cosine
 in double precision. A pair counts once, even if both sides visit each other.
 
 Vectors are compared only within equal labels. Equal vectors are one class
@@ -36,13 +38,13 @@ from .common import NULL_ID, dealt_in_tiles, salted_join, staged, whole_groups
 from .components import components
 from .simhash import forest
 
-#: Most vectors that the codebooks and the margin are fitted on.
+#: Vectors that the codebooks and margins are fitted on, dealt over the lengths.
+#: A length takes ``LEAST_SAMPLE`` at least, and four per codeword: their number
+#: grows with the root of the table.
 FIT_VECTORS = 20_000
-#: A length of so few classes is compared whole, in one cell.
-ONE_CELL = 2_000
+LEAST_SAMPLE = 256
 #: Wanted vectors per cell, over all labels; the codebooks grow with the root of the table.
 CELL_VECTORS = 64
-MOST_CODEWORDS = 256
 #: Share of pairs at or above the threshold that a walk must visit.
 TARGET_RECALL = 0.99
 TILE = 1024
@@ -99,6 +101,11 @@ class Grid:
         return cells
 
 
+def codewords(total: int) -> int:
+    """Codewords of each half for ``total`` vectors."""
+    return max(2, math.ceil(math.sqrt(total / CELL_VECTORS)))
+
+
 def fit_grid(x: np.ndarray, total: int, threshold: float, seed: int = 5) -> Grid:
     """Codebooks for ``total`` vectors from the sample ``x`` of unit vectors.
 
@@ -108,10 +115,13 @@ def fit_grid(x: np.ndarray, total: int, threshold: float, seed: int = 5) -> Grid
     the other's cell.
     """
     rng = np.random.default_rng(seed)
-    k = int(min(MOST_CODEWORDS, max(2, math.ceil(math.sqrt(total / CELL_VECTORS)))))
+    k = codewords(total)
     half = x.shape[1] // 2
     grid = Grid(_kmeans(x[:, :half], k, rng), _kmeans(x[:, half:], k, rng))
     if x.shape[1] < 2:
+        return grid  # 1 and -1: those that link share a cell
+    if len(x) < LEAST_SAMPLE:
+        grid.margin = math.inf  # too few to calibrate on: all cells are visited
         return grid
     some = x[rng.choice(len(x), min(len(x), 4000), replace=False)]
     cos = rng.uniform(threshold, 1.0, len(some))[:, None]
@@ -218,31 +228,33 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
 
 
 def _shares(sizes: dict[int, int]) -> dict[int, int]:
-    """How many vectors of each length the sample holds, ``FIT_VECTORS`` in all.
+    """How many vectors of each length the sample holds.
 
-    Every length gets an equal share; what a short one leaves goes to the
-    others. Lengths that one cell holds need none.
+    Every length gets an equal share of ``FIT_VECTORS``; what a short one
+    leaves goes to the others.
     """
     left, out = FIT_VECTORS, {}
-    many = sorted((n, size) for size, n in sizes.items() if n > ONE_CELL)
-    for i, (n, size) in enumerate(many):
-        out[size] = min(n, left // (len(many) - i))
-        left -= out[size]
+    ordered = sorted((n, size) for size, n in sizes.items())
+    for i, (n, size) in enumerate(ordered):
+        share = max(left // (len(ordered) - i), LEAST_SAMPLE, 4 * codewords(n))
+        out[size] = min(n, share)
+        left = max(left - out[size], 0)
     return out
 
 
 def _sample(classes: DataFrame, sizes: dict[int, int]) -> pd.DataFrame:
     """(size, embedding): of each length its share of least hash, as in ``least_by_hash``."""
+    shares = [
+        (size, limit, min(2**63 - 1, (2 * limit + 200) * 2**64 // max(sizes[size], 1) - 2**63))
+        for size, limit in _shares(sizes).items()
+    ]
+    # a row per vector length
+    wanted = classes.sparkSession.createDataFrame(shares, "size int, share int, line long")
     hashed = classes.select("size", "embedding", F.xxhash64("number").alias("h"))
-    below, share = F.lit(False), F.lit(0)
-    for size, limit in _shares(sizes).items():
-        own, wanted = F.col("size") == size, 2 * limit + 200
-        total = sizes[size]
-        below = below | (own & (F.col("h") < wanted * 2**64 // total - 2**63) if total > wanted else own)
-        share = F.when(own, F.lit(limit)).otherwise(share)
     place = F.row_number().over(Window.partitionBy("size").orderBy("h"))
     return (
-        hashed.where(below).withColumn("place", place).where(F.col("place") <= share)
+        hashed.join(F.broadcast(wanted), "size").where(F.col("h") <= F.col("line"))
+        .withColumn("place", place).where(F.col("place") <= F.col("share"))
         .select("size", "embedding").toPandas()
     )
 
@@ -253,26 +265,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows, classes = _classes(vectors)
     # a class is numbered by the hash of its key: a node id that fits a long
     classes = classes.withColumn("number", F.xxhash64("key_a", "key_b"))
-    sizes = {
-        r["size"]: r["n"]
-        for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(64).collect()
-    }
-    sample = _sample(classes, sizes)
+    counted = classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per vector length
+    sizes = {r["size"]: r["n"] for r in counted}
     grids: dict[int, Grid] = {}
-    for size, total in sizes.items():
-        own = sample.loc[sample["size"] == size, "embedding"]
-        if len(own) >= 2:
-            grids[size] = fit_grid(unit(np.stack(own.to_numpy())), total, threshold)
+    for size, own in _sample(classes, sizes).groupby("size")["embedding"]:
+        grids[int(size)] = fit_grid(unit(np.stack(own.to_numpy())), sizes[int(size)], threshold)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, part in batch.groupby("size"):
-                grid = grids.get(int(size))
-                if grid is None:  # too few of this length to calibrate on: one cell
-                    visits = [[0]] * len(part)
-                else:
-                    near, far = grid.half_distances(unit(np.stack(part["embedding"].to_numpy())))
-                    visits = [grid.walk(a, b) for a, b in zip(near, far, strict=True)]
+                grid = grids[int(size)]
+                near, far = grid.half_distances(unit(np.stack(part["embedding"].to_numpy())))
+                visits = [grid.walk(a, b) for a, b in zip(near, far, strict=True)]
                 yield part.assign(home=[v[0] for v in visits], visits=visits)
 
     fields = "number long, label string, size int, weight long, embedding array<double>"

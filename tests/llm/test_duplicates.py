@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
@@ -295,11 +296,47 @@ def test_a_minor_length_beside_a_dominant_one(spark, monkeypatch):
     monkeypatch.setattr(vectors, "fit_grid", lambda x, *rest: fitted.append(x.shape) or fit_grid(x, *rest))
     frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame).collect()}
-    # no grid rests on a few vectors, and the minor length is exact
-    assert fitted == [(600, 8)]
+    # the minor length is too small to calibrate on, so it is exact
+    assert fitted == [(120, 3), (480, 8)]
     want = {r[0]: 0 for r in minor}
     for i, j in _brute_vectors(minor):
         want[minor[i][0]] += 1
         want[minor[j][0]] += 1
     assert {k: got[k] for k in want} == want and any(want.values())
-    assert vectors._shares({8: 10**7, 4: 5000, 3: 900}) == {8: 300, 4: 300}
+    assert vectors._shares({8: 10**7, 4: 5000, 3: 900}) == {8: 4 * vectors.codewords(10**7), 4: 256, 3: 256}
+
+
+@pytest.mark.parametrize("n", [500, 2000, 5000])
+def test_planted_links_are_found_through_the_grid(spark, n, monkeypatch):
+    """Turned copies between the threshold and equality, tables of every size on a grid."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n // 2, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cos = rng.uniform(0.931, 0.999, len(base))[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * aside]).astype(np.float32)
+    labels = np.concatenate([np.arange(n // 2) % 3] * 2)
+    rows = [(i, int(label), v.tolist()) for i, (label, v) in enumerate(zip(labels, x, strict=True))]
+    fitted, fit_grid = [], vectors.fit_grid
+    monkeypatch.setattr(vectors, "fit_grid", lambda *args: fitted.append(fit_grid(*args)) or fitted[-1])
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(4)).collect()
+    assert len(fitted) == 1 and len(fitted[0].left) * len(fitted[0].right) > 4 and np.isfinite(fitted[0].margin)
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(1, keepdims=True))
+    linked = (y @ y.T >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(n, dtype=bool)
+    found = {r.vec_id: r.n_links for r in got}
+    assert all(found[i] <= linked[i].sum() for i in range(n))
+    assert sum(found.values()) >= 0.98 * linked.sum() and linked.sum() >= n - 10
+
+
+def test_many_lengths_have_grids_of_their_own(spark):
+    """More lengths than any fixed number, each exact as too small to calibrate on."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for size in range(1, 91):
+        v = rng.normal(size=size)
+        rows += [(len(rows) + i, 1, w.tolist()) for i, w in enumerate((v, 2 * v, -v))]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: int(i % 3 < 2) for i in range(len(rows))}
