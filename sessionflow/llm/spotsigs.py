@@ -191,13 +191,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.col("third")
     )
     own = with_signatures(_dealt(base, hot), "text", "sigs")
-    lent = (
-        own.join(_for_all_shares(wanted, hot), ["doc_id", "_share"])
-        .select("to_id", F.expr("left(text, third)").alias("head"), F.col("sigs").alias("next_sigs"))
-        .groupBy(F.col("to_id").alias("doc_id"))
-        .agg(F.min(F.struct("head", "next_sigs")).alias("next"))
+    # the shares of the asking id come before the aggregate: its exchange then serves the join
+    lent = _for_all_shares(
+        own.join(_for_all_shares(wanted, hot), ["doc_id", "_share"]).select(
+            F.col("to_id").alias("doc_id"),
+            F.expr("left(text, third)").alias("head"),
+            F.col("sigs").alias("next_sigs"),
+        ),
+        hot,
     )
-    both = own.join(_for_all_shares(lent, hot), ["doc_id", "_share"])
+    lent = lent.groupBy("doc_id", "_share").agg(F.min(F.struct("head", "next_sigs")).alias("next"))
+    both = own.join(lent, ["doc_id", "_share"])
     both = both.withColumn("cut", F.floor(F.length("text") / 3).cast("int"))
     edited = both.withColumn(
         "edited", F.expr("concat(left(text, length(text) - cut), left(next.head, cut))")

@@ -40,7 +40,7 @@ def test_stages_on_edge_rows(spark, edge_docs, no_docs):
 
 def test_one_query_per_operator():
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
 
 
 def test_the_rest_does_not_import_this_subpackage():
