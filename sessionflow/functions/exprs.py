@@ -74,7 +74,8 @@ def event_total(amount: Column | str) -> Column:
     """Sum of a money column as a double, the same in any order of the rows.
 
     Doubles are summed as decimals of six places: partial sums of doubles in
-    arrival order can differ in the last digit. Null where all values are null.
+    arrival order can differ in the last digit. Null where all values are null;
+    values that are no finite amount count as null.
     """
     value = F.col(amount) if isinstance(amount, str) else amount
-    return F.sum(value.cast("decimal(28,6)")).cast("double")
+    return F.sum(value.try_cast("decimal(28,6)")).cast("double")

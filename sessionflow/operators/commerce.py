@@ -11,7 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import event_day, event_time, pct, ratio, session_id, transaction_id
+from ..functions.exprs import (
+    event_day,
+    event_time,
+    event_total,
+    pct,
+    ratio,
+    session_id,
+    transaction_id,
+)
 from ..schema import OFFICIAL_PERIOD, Period
 from ..sources.base import SourceLike, as_source
 
@@ -40,9 +48,9 @@ def _order_candidates(pe: DataFrame) -> DataFrame:
     """
     rev = F.col(REV)
     return pe.groupBy(*ORDER_KEYS).agg(
-        F.count(F.lit(1)).alias("events_per_order"),
+        F.count(F.lit(1)).alias("_n"),
         F.count_if(rev.isNull()).alias("_no_rev"),
-        F.max(rev).alias("order_revenue"),
+        F.max(rev).alias("_paid"),
         (F.min(rev) < F.max(rev)).alias("_conflicting"),
     )
 
@@ -56,8 +64,8 @@ def purchase_quality(source: SourceLike, period: Period | None = OFFICIAL_PERIOD
     final aggregate, so a hot key collapses map-side; no join, no re-scan.
     """
     cand = _order_candidates(purchase_events(source, period))
-    n = F.col("events_per_order")
-    rev = F.col("order_revenue")
+    n = F.col("_n")
+    rev = F.col("_paid")
     per_txn = cand.groupBy(TXN).agg(
         F.sum(n).alias("_events"),
         F.sum("_no_rev").alias("_no_rev"),
@@ -202,7 +210,7 @@ def _session_orders(base: DataFrame, *extra_keys: str) -> DataFrame:
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
         F.count("_order").alias("_orders"),
-        F.sum("_order_revenue").alias("_revenue"),
+        event_total("_order_revenue").alias("_revenue"),
     )
 
 
@@ -223,7 +231,7 @@ def kpi_overview(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) ->
         F.count_distinct(USER).alias("users"),
         F.count_if(_is_session()).alias("sessions"),
         F.coalesce(F.sum("_orders"), F.lit(0)).cast("long").alias("orders"),
-        F.sum("_revenue").alias("_revenue"),
+        event_total("_revenue").alias("_revenue"),
     )
     rev = F.col("_revenue")
     return kpi.select(
@@ -253,7 +261,7 @@ def kpi_daily(source: SourceLike, period: Period | None = OFFICIAL_PERIOD) -> Da
         F.count_distinct(USER).alias("users"),
         F.count_if(_is_session()).alias("sessions"),
         F.sum("_orders").cast("long").alias("orders"),
-        F.sum("_revenue").alias("_revenue"),
+        event_total("_revenue").alias("_revenue"),
     )
     orders = F.col("orders")
     rev = F.coalesce(F.col("_revenue"), F.lit(0.0))

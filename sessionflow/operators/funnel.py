@@ -9,10 +9,11 @@ strictly after ``t_{k-1}``; a missing stage ends the chain. Equal timestamps
 never count as progress.
 
 Physical plan of the ordered chain (``ordered_stage_times``), the same for
-all data: one scan; equal (session, time) rows collapse to stage flags; time
-blocks of a session are summarised separately and folded (by wider blocks, if
-given, then) by session. A session of any size is spread over
-its blocks, and no task holds more of it than one block, or one row per block.
+all data: one scan; the events of a session's time block become one row, which
+is summarised by itself; blocks are folded by wider blocks, those by session.
+A session of any size is spread over its blocks, and no task holds more of it
+than the distinct times of one narrow block, the narrow blocks of one wide
+block, or its wide blocks.
 """
 
 from __future__ import annotations
@@ -42,10 +43,10 @@ KEYS = (USER, SESSION)
 _STAGE, _T = "_stage", "_t"
 
 
-#: Widths in microseconds of the time blocks that a session is folded by: ten
-#: seconds hold at most ten million times, a day 8,640 blocks. Further, wider
-#: widths may follow where a period is so long that a session has too many.
-BLOCK_WIDTHS = (10_000_000,)
+#: Widths in microseconds of the time blocks that a session is folded by, each
+#: a multiple of the one before: ten seconds hold at most ten million times, a
+#: day 8,640 of these, and a session as many days as the period has.
+BLOCK_WIDTHS = (10_000_000, 86_400_000_000)
 
 
 def _check_stages(stages: Sequence[str], labels: Sequence[str] | None) -> list[str]:
@@ -104,22 +105,6 @@ def _steps(n: int) -> list[tuple[int, int]]:
     return [(j, k) for j in range(n) for k in range(j, n)]
 
 
-def _instants(ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]]) -> DataFrame:
-    """One row per session and time: which stages occur, and the least
-    attribute values of its stage-0 events (wrapped, so a null is a value)."""
-    stage = F.col(_STAGE)
-    aggs = [F.bool_or(stage == k).alias(f"_p{k}") for k in range(n)]
-    for a, (_, ignore_nulls) in attributes.items():
-        counts = stage == 0
-        if ignore_nulls:
-            counts = counts & F.col(a).isNotNull()
-        aggs.append(F.min(F.when(counts, F.struct(F.col(a).alias("v")))).alias(a))
-    return ev.groupBy(*KEYS, _T).agg(*aggs).withColumns(
-        {a: F.when(F.col(a).isNotNull(), F.struct(F.col(_T).alias("t"), F.col(a)["v"].alias("v")))
-         for a in attributes}
-    )
-
-
 def _carried(n: int, attributes: dict[str, tuple[Column, bool]]) -> list[Column]:
     return [F.bool_or(f"_p{k}").alias(f"_p{k}") for k in range(n)] + [
         F.min(a).alias(a) for a in attributes
@@ -131,11 +116,23 @@ def _block(width: int) -> Column:
     return (F.col(_T) - F.pmod(F.col(_T), F.lit(width))).alias(_T)
 
 
-def _summarise(instants: DataFrame, n: int, attributes: dict, width: int) -> DataFrame:
+def _summarise(ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]], width: int) -> DataFrame:
     """Per session and block: for each stage that may be needed next, the
-    times of the stages that the block alone then reaches."""
-    sets = [F.collect_set(F.when(F.col(f"_p{k}"), F.col(_T))).alias(f"_a{k}") for k in range(n)]
-    blocks = instants.groupBy(*KEYS, _block(width)).agg(*sets, *_carried(n, attributes))
+    times of the stages that the block alone then reaches; which stages occur;
+    and the attribute values of its earliest stage-0 event (wrapped, so a null
+    is a value; ties: the smallest).
+
+    Equal times of a stage are one entry of its set already before the shuffle.
+    """
+    stage, t = F.col(_STAGE), F.col(_T)
+    aggs = [F.collect_set(F.when(stage == k, t)).alias(f"_a{k}") for k in range(n)]
+    for a, (_, ignore_nulls) in attributes.items():
+        counts = stage == 0
+        if ignore_nulls:
+            counts = counts & F.col(a).isNotNull()
+        aggs.append(F.min(F.when(counts, F.struct(t.alias("t"), F.col(a).alias("v")))).alias(a))
+    blocks = ev.groupBy(*KEYS, _block(width)).agg(*aggs)
+    blocks = blocks.withColumns({f"_p{k}": F.size(f"_a{k}") > 0 for k in range(n)})
     for j in range(n):
         blocks = blocks.withColumn(_step(j, j), F.array_min(f"_a{j}"))
     for d in range(1, n):  # a projection per step: a time is computed once, then used
@@ -209,7 +206,7 @@ def ordered_stage_times(
     ev = stage_events(
         source, period, stages, {a: c for a, (c, _) in attributes.items()}, require_user
     )
-    blocks = _summarise(_instants(ev, n, attributes), n, attributes, widths[0])
+    blocks = _summarise(ev, n, attributes, widths[0])
     for width in widths[1:]:
         blocks = _fold(blocks, n, attributes, width)
     sessions = _fold(blocks, n, attributes, None)

@@ -87,8 +87,24 @@ def test_hot_session_is_spread_over_its_blocks(spark):
     events = [(rnd.choice(NAMES), rnd.randint(0, 2_999)) for _ in range(4_000)]
     rows = [ev(name, t, "bot", 1) for name, t in events] + [ev(STAGES[0], 5, "u", 2)]
     df = frame(spark, rows)
-    instants = funnel._instants(funnel.stage_events(df, None, funnel.CORE_STAGES), 4, {})
-    blocks = funnel._summarise(instants, 4, {}, 100)
+    blocks = funnel._summarise(funnel.stage_events(df, None, funnel.CORE_STAGES), 4, {}, 100)
     assert blocks.where("user_pseudo_id = 'bot'").count() == 30
     times = funnel.ordered_stage_times(df, None, widths=(100,)).where("user_pseudo_id = 'bot'").first()
     assert [times._t0, times._t1, times._t2, times._t3] == _greedy(events)
+
+
+def test_no_row_holds_more_than_one_days_blocks(spark):
+    """A bot session over many days: by default its days meet last, not its blocks."""
+    day = 86_400_000_000
+    rnd = random.Random(4)
+    events = [(rnd.choice(NAMES), d * day + rnd.randrange(0, day, 5_000_000)) for d in range(20) for _ in range(200)]
+    df = frame(spark, [ev(name, t, "bot", 1) for name, t in events])
+    narrow, wide = funnel.BLOCK_WIDTHS
+    assert wide == day and wide % narrow == 0
+    blocks = funnel._summarise(funnel.stage_events(df, None, funnel.CORE_STAGES), 4, {}, narrow)
+    per_day = blocks.groupBy(F.floor(F.col("_t") / wide)).count()
+    assert per_day.agg(F.max("count")).first()[0] <= wide // narrow
+    days = funnel._fold(blocks, 4, {}, wide)
+    assert days.count() == 20 and blocks.count() > 2_000
+    times = funnel.ordered_stage_times(df, None).first()
+    assert [times._t0, times._t1, times._t2, times._t3] == _greedy(events)
