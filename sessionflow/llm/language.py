@@ -17,12 +17,15 @@ occur. Only the named columns are read.
 
 from __future__ import annotations
 
+import html as html_lib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import salted_join, slices, staged
 from .toxicity import SYMBOLS, _codes
@@ -121,13 +124,22 @@ def text_evidence(rows: DataFrame, counts: dict[str, np.ndarray], text: str, kee
     return kept.mapInArrow(run, f"{schema}, loglik array<double>")
 
 
+# Second labels that countries give out names under, as in co.uk.
+_SHARED = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "ne", "net", "or", "org")
+
+
 def address(url: Column) -> list[Column]:
-    """host, domain and suffix of an address; null where there is none."""
+    """host, domain and suffix of an address; null where there is none.
+
+    The domain is the last two labels, or three where a country's second label
+    is shared by all (``co.uk``).
+    """
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
+    shared = host.rlike(rf"\.(?:{'|'.join(_SHARED)})\.[a-z]{{2}}$")
     return [
         host.alias("host"),
-        F.substring_index(host, ".", -2).alias("domain"),
+        F.when(shared, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)).alias("domain"),
         F.substring_index(host, ".", -1).alias("suffix"),
     ]
 
@@ -136,18 +148,25 @@ def declared_language(html: Column) -> Column:
     """Primary tag of the language that a page's markup declares, or null."""
     page = F.coalesce(html, F.lit(""))
     tag = F.regexp_extract(page, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})", 1)
+    # the attributes of a meta element stand in any order
     meta = F.regexp_extract(
-        page, r"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})", 1
+        page, r"(?is)<meta\b(?=[^>]*content-language)[^>]*?\bcontent\s*=\s*[\"']?\s*([a-z]{2,3})", 1
     )
     found = F.lower(F.when(tag != "", tag).otherwise(meta))
     return F.when(found != "", found)
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(html_lib.unescape)
+
+
 def visible_text(html: Column) -> Column:
-    """Text of a page without scripts, styles, comments and tags."""
+    """Text of a page without scripts, styles, comments and tags, character
+    references decoded."""
     page = F.coalesce(html, F.lit(""))
     page = F.regexp_replace(page, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
-    return F.regexp_replace(page, r"<[^>]*>|&[#a-zA-Z0-9]+;", " ")
+    return _decoded(F.regexp_replace(page, r"<[^>]*>", " "))
 
 
 def identify(rows: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame:

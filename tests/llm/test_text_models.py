@@ -364,3 +364,137 @@ def test_language_evidence_is_exact(spark):
     grams, starts = language._trigrams(["ab", ""])
     assert list(counts) == ["x", "y"] and counts["x"].sum() == 4 and counts["y"].sum() == 2
     assert starts.tolist() == [0, 4] and len(grams) == 6
+
+
+def test_markup_and_addresses(spark):
+    pages = [
+        (1, "https://shop.example.co.uk/a", "<meta content='fr-FR' http-equiv=Content-Language><p>caf&eacute; &#x64;&amp;e <script>let x</script>", "fr", "example.co.uk", "caf\u00e9 d&e"),
+        (2, "//www.example.com", '<html class=x LANG="de-AT"><b>na&iuml;ve', "de", "example.com", "na\u00efve"),
+        (3, "http://u:p@Sub.Host.Example.DE:80/x", '<meta http-equiv="content-language" content="es">', "es", "example.de", ""),
+        (4, "com.au", "plain", None, None, "plain"),
+    ]
+    rows = spark.createDataFrame([p[:3] for p in pages], "id long, url string, html string").select(
+        "id", language.declared_language(F.col("html")).alias("said"),
+        language.visible_text(F.col("html")).alias("text"), *language.address(F.col("url")),
+    )
+    for r, (_, _, _, said, domain, text) in zip(rows.orderBy("id").collect(), pages, strict=True):
+        assert (r.said, r.domain, " ".join(r.text.split())) == (said, domain, text)
+
+
+def test_language_posterior_equals_direct_sums(spark, small_docs):
+    """Every number of the fusion again, on 60 rows in plain Python."""
+    r = random.Random(5)
+    labelled = [(d.lang, d.text) for d in small_docs.limit(40).collect()]
+    hosts = [None, "a.x.de", "b.x.de", "y.fr", "z.co.uk", "one.alone.es"]
+    rows = []
+    for i, d in enumerate(small_docs.orderBy(F.desc("doc_id")).limit(60).collect()):
+        host = r.choice(hosts)
+        said = r.choice([None, None, "de", "fr", "xx"])
+        text = r.choice([d.text, d.text[: r.randint(0, 40)], "", None])
+        parts = (None, None) if host is None else (".".join(host.split(".")[-2:]), host.split(".")[-1])
+        rows.append((i, text, said, host, *parts))
+    frame = spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string")
+    labels = spark.createDataFrame(labelled, "lang string, text string")
+    got = {x.id: x for x in language.identify(frame, labels, ["id"]).collect()}
+
+    langs, n = sorted({lang for lang, _ in labelled}), toxicity.SYMBOLS
+    counts = {lang: np.zeros((n, n, n)) for lang in langs}
+    for lang, text in labelled:
+        codes = [0, 0, *toxicity._codes(text).tolist(), 0, 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[lang][a, b, c] += 1
+
+    def log_p(tri, a, b, c):
+        uni = tri.sum((0, 1)) + 1.0
+        p1 = uni[c] / uni.sum()
+        p2 = (tri[:, b, c].sum() + 10 * p1) / (tri[:, b].sum() + 10)
+        return math.log((tri[a, b, c] + 10 * p2) / (tri[a, b].sum() + 10))
+
+    liks = []
+    for _, text, *_ in rows:
+        if not text:
+            liks.append([0.0] * len(langs))
+            continue
+        codes = [0, 0, *toxicity._codes(text).tolist(), 0, 0]
+        grams = list(zip(codes, codes[1:], codes[2:]))
+        memo = {g: [log_p(counts[lang], *g) for lang in langs] for g in set(grams)}
+        scale = min(len(grams), language.EFFECTIVE_TRIGRAMS) / len(grams)
+        liks.append([scale * sum(memo[g][k] for g in grams) for k in range(len(langs))])
+    guess = [None if not any(v) else max(range(len(langs)), key=lambda k: (v[k], -k)) for v in liks]
+
+    def seen(at, value, skip):
+        out = [0.0] * len(langs)
+        for j, row in enumerate(rows):
+            if j != skip and guess[j] is not None and (at is None or row[at] == value):
+                out[guess[j]] += 1
+        return out
+
+    for i, row in enumerate(rows):
+        every = seen(None, None, i)
+        whole = seen(None, None, None)
+        prior = [(v + 1) / (sum(whole) + len(langs)) for v in every]
+        for at in (5, 4, 3):  # suffix, domain, host
+            own = seen(at, row[at], i) if row[at] is not None else [0.0] * len(langs)
+            prior = [(v + language.SMOOTHING * p) / (sum(own) + language.SMOOTHING) for v, p in zip(own, prior, strict=True)]
+        trust = [0.0] * len(langs)
+        if row[2] is not None:
+            said = seen(2, row[2], i)
+            trust = [math.log((v + (2.0 if row[2] == lang else 0.2)) / (w + language.SMOOTHING)) for v, lang, w in zip(said, langs, whole, strict=True)]
+        score = [a + math.log(b) + c for a, b, c in zip(liks[i], prior, trust, strict=True)]
+        best = max(range(len(langs)), key=lambda k: (score[k], -k))
+        share = 1 / sum(math.exp(v - score[best]) for v in score)
+        assert got[i].lang == langs[best], i
+        assert abs(got[i].confidence - share) < 1e-3, i
+
+
+def test_language_held_out(spark):
+    """Languages of documents whose labels the counts have not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = held_out(F.col("doc_id"), 5, 0)
+    none = F.lit(None).cast("string")
+    rows = docs.where(held & (F.length("text") > 0)).select(
+        "doc_id", "text", none.alias("declared"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix")
+    )
+    found = language.identify(rows, docs.where(~held).select("lang", "text"), ["doc_id"])
+    right = found.join(docs.select("doc_id", F.col("lang").alias("y")), "doc_id").agg(F.avg((F.col("lang") == F.col("y")).cast("int"))).first()[0]
+    print("held-out language accuracy", right)
+    assert right > 0.97
+
+
+def test_quality_score_is_the_log_density_gap():
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.4).astype(int)
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) + y[:, None] * 0.7
+    shrink, diagonal = 0.1, 0.05
+    model = quality.Discriminant.fit(x, y, shrink, diagonal)
+    pooled = sum((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in (0, 1)) / len(x)
+    dense = []
+    for c in (0, 1):
+        own = x[y == c]
+        keep = (1 - shrink) * len(own) / (len(own) + 5)
+        cov = keep * np.cov(own.T, bias=True) + (1 - keep) * pooled
+        cov = (1 - diagonal) * cov + diagonal * np.diag(np.diag(cov)) + (x.var(0).mean() * 1e-3 + 1e-6) * np.eye(5)
+        away = x - own.mean(0)
+        dense.append(math.log(len(own) / len(x)) - np.linalg.slogdet(cov)[1] / 2 - (away * np.linalg.solve(cov, away.T).T).sum(1) / 2)
+    want = 1 / (1 + np.exp(dense[0] - dense[1]))
+    assert np.allclose(model.scores(x), want, atol=1e-9)
+
+
+def test_pii_query_columns_equal_the_patterns(spark):
+    import hashlib
+
+    from sessionflow.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.queries()["op8_pii"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        base = _brute_spans(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = [s for s in r.spans.split(",") if s]
+        assert set(listed) <= set(spans)
+        order = [(int(s.split(":")[1]), pii.KINDS.index(s.split(":")[0])) for s in spans]
+        assert order == sorted(order)
