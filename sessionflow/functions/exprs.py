@@ -65,6 +65,16 @@ def pct(a: Column, b: Column) -> Column:
     return F.round(F.lit(100) * safe_div(a, b), 2)
 
 
+def pct_sql(a: str, b: str) -> str:
+    """``pct`` as expression text."""
+    return f"round(100 * try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 2)"
+
+
+def text_sql(value: str) -> str:
+    """A string literal as expression text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ratio(a: Column, b: Column) -> Column:
     """``ROUND(SAFE_DIVIDE(a, b), 2)``."""
     return F.round(safe_div(a, b), 2)

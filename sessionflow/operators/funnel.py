@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.exprs import pct, session_id
+from ..functions.exprs import pct_sql, session_id, text_sql
 from ..plans.report import rows_from_one
 from ..schema import (
     CORE_STAGES,
@@ -65,11 +65,8 @@ def _check_stages(stages: Sequence[str], labels: Sequence[str] | None) -> list[s
 
 
 def _stage_index(stages: Sequence[str]) -> Column:
-    name = F.col("event_name")
-    out = F.when(name == stages[0], F.lit(0))
-    for i, s in enumerate(stages[1:], start=1):
-        out = out.when(name == s, F.lit(i))
-    return out
+    arms = " ".join(f"WHEN {text_sql(s)} THEN {i}" for i, s in enumerate(stages))
+    return F.expr(f"CASE event_name {arms} END")
 
 
 def stage_events(
@@ -106,14 +103,18 @@ def _steps(n: int) -> list[tuple[int, int]]:
 
 
 def _carried(n: int, attributes: dict[str, tuple[Column, bool]]) -> list[Column]:
-    return [F.bool_or(f"_p{k}").alias(f"_p{k}") for k in range(n)] + [
-        F.min(a).alias(a) for a in attributes
+    return [F.expr(f"bool_or(_p{k}) AS _p{k}") for k in range(n)] + [
+        F.expr(f"min(`{a}`) AS `{a}`") for a in attributes
     ]
 
 
 def _block(width: int) -> Column:
     """Start of the time's block: exact integer arithmetic."""
-    return (F.col(_T) - F.pmod(F.col(_T), F.lit(width))).alias(_T)
+    return F.expr(f"{_T} - pmod({_T}, {width}L) AS {_T}")
+
+
+# The chain's expressions are written as text and parsed on the JVM: building
+# them through Python columns takes longer than running them on a small table.
 
 
 def _summarise(ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]], width: int) -> DataFrame:
@@ -124,29 +125,24 @@ def _summarise(ev: DataFrame, n: int, attributes: dict[str, tuple[Column, bool]]
 
     Equal times of a stage are one entry of its set already before the shuffle.
     """
-    stage, t = F.col(_STAGE), F.col(_T)
-    aggs = [F.collect_set(F.when(stage == k, t)).alias(f"_a{k}") for k in range(n)]
+    aggs = [f"collect_set(CASE WHEN {_STAGE} = {k} THEN {_T} END) AS _a{k}" for k in range(n)]
     for a, (_, ignore_nulls) in attributes.items():
-        counts = stage == 0
-        if ignore_nulls:
-            counts = counts & F.col(a).isNotNull()
-        aggs.append(F.min(F.when(counts, F.struct(t.alias("t"), F.col(a).alias("v")))).alias(a))
-    blocks = ev.groupBy(*KEYS, _block(width)).agg(*aggs)
-    blocks = blocks.withColumns({f"_p{k}": F.size(f"_a{k}") > 0 for k in range(n)})
-    for j in range(n):
-        blocks = blocks.withColumn(_step(j, j), F.array_min(f"_a{j}"))
+        counts = f"{_STAGE} = 0" + (f" AND `{a}` IS NOT NULL" if ignore_nulls else "")
+        aggs.append(f"min(CASE WHEN {counts} THEN struct({_T} AS t, `{a}` AS v) END) AS `{a}`")
+    blocks = ev.groupBy(*KEYS, _block(width)).agg(*map(F.expr, aggs))
+    blocks = blocks.selectExpr(
+        "*",
+        *[f"size(_a{k}) > 0 AS _p{k}" for k in range(n)],
+        *[f"array_min(_a{k}) AS {_step(k, k)}" for k in range(n)],
+    )
     for d in range(1, n):  # a projection per step: a time is computed once, then used
-        blocks = blocks.withColumns({
-            _step(j, j + d): F.array_min(F.filter(f"_a{j + d}", _later(_step(j, j + d - 1))))
-            for j in range(n - d)
-        })
+        blocks = blocks.selectExpr(
+            "*",
+            *[f"array_min(filter(_a{j + d}, t -> t > {_step(j, j + d - 1)})) AS {_step(j, j + d)}" for j in range(n - d)],
+        )
     return blocks.drop(*[f"_a{k}" for k in range(n)])
 
 
-def _later(column: str):
-    return lambda t: t > F.col(column)
-
-
 def _fold(blocks: DataFrame, n: int, attributes: dict, width: int | None) -> DataFrame:
     """Join the blocks of each wider block (None: of each session) in time order.
 
@@ -154,29 +150,24 @@ def _fold(blocks: DataFrame, n: int, attributes: dict, width: int | None) -> Dat
     blocks before it have not reached.
     """
     keys = [*KEYS] if width is None else [*KEYS, _block(width)]
-    names = [_step(j, k) for j, k in _steps(n)]
-    listed = F.array_sort(F.collect_list(F.struct(F.col(_T).alias("at"), *names))).alias("_blocks")
+    names = ", ".join(_step(j, k) for j, k in _steps(n))
+    listed = F.expr(f"sort_array(collect_list(struct({_T} AS at, {names}))) AS _blocks")
     joined = blocks.groupBy(*keys).agg(listed, *_carried(n, attributes))
     entries = range(1) if width is None else range(n)  # a session begins at stage 0
 
-    def run(j: int) -> Column:
-        none = F.struct(*[F.lit(None).cast("long").alias(f"k{k}") for k in range(j, n)])
-
-        def add(acc: Column, block: Column) -> Column:
-            out = []
-            for k in range(j, n):
-                reached = F.when(acc[f"k{j}"].isNull(), block[_step(j, k)])
-                for s in range(j + 1, k + 1):
-                    reached = reached.when(acc[f"k{s}"].isNull(), block[_step(s, k)])
-                out.append(F.coalesce(acc[f"k{k}"], reached).alias(f"k{k}"))
-            return F.struct(*out)
-
-        return F.aggregate("_blocks", none, add)
-
-    folded = joined.withColumns({f"_e{j}": run(j) for j in entries}).drop("_blocks")
-    return folded.withColumns(
-        {_step(j, k): F.col(f"_e{j}")[f"k{k}"] for j in entries for k in range(j, n)}
-    ).drop(*[f"_e{j}" for j in entries])
+    def run(j: int) -> str:
+        none = ", ".join(f"CAST(NULL AS BIGINT) AS k{k}" for k in range(j, n))
+        after = []
+        for k in range(j, n):
+            arms = " ".join(f"WHEN acc.k{s} IS NULL THEN b.{_step(s, k)}" for s in range(j, k + 1))
+            after.append(f"coalesce(acc.k{k}, CASE {arms} END) AS k{k}")
+        return f"aggregate(_blocks, struct({none}), (acc, b) -> struct({', '.join(after)})) AS _e{j}"
+
+    kept = [c for c in joined.columns if c != "_blocks"]
+    folded = joined.selectExpr(*[f"`{c}`" for c in kept], *map(run, entries))
+    return folded.selectExpr(
+        *[f"`{c}`" for c in kept], *[f"_e{j}.k{k} AS {_step(j, k)}" for j in entries for k in range(j, n)]
+    )
 
 
 def ordered_stage_times(
@@ -258,25 +249,24 @@ def _times(
 
 def _stage_counts(times: DataFrame, n: int, dims: Sequence[str]) -> DataFrame:
     """Sessions per stage (and per ``dims``): ``_n0 .. _n{n-1}``."""
-    aggs = [F.count(F.col(f"_t{k}")).alias(f"_n{k}") for k in range(n)]
+    aggs = [F.expr(f"count(_t{k}) AS _n{k}") for k in range(n)]
     return times.groupBy(*dims).agg(*aggs) if dims else times.agg(*aggs)
 
 
+_HUNDRED = "CAST(100 AS DOUBLE)"
+
+
 def _step_rows(counts: DataFrame, labels: Sequence[str], first_stage: str) -> DataFrame:
     """05 / 10 report: one row per stage."""
-    n = [F.col(f"_n{k}") for k in range(len(labels))]
-    hundred = F.lit(100.00).cast("double")
     rows = []
     for k, label in enumerate(labels):
-        prev_pct = hundred if k == 0 else pct(n[k], n[k - 1])
-        first_pct = hundred if k == 0 else pct(n[k], n[0])
         rows.append(
             [
-                ("step_number", F.lit(k + 1)),
-                ("funnel_step", F.lit(label)),
-                ("sessions", n[k]),
-                ("conversion_from_previous_step_pct", prev_pct),
-                (f"conversion_from_{first_stage}_pct", first_pct),
+                ("step_number", f"{k + 1}"),
+                ("funnel_step", text_sql(label)),
+                ("sessions", f"_n{k}"),
+                ("conversion_from_previous_step_pct", pct_sql(f"_n{k}", f"_n{k - 1}") if k else _HUNDRED),
+                (f"conversion_from_{first_stage}_pct", pct_sql(f"_n{k}", "_n0") if k else _HUNDRED),
             ]
         )
     return rows_from_one(counts, rows)
@@ -309,15 +299,15 @@ def funnel_dropoff(
     counts = _stage_counts(times, len(stages), [])
     rows = []
     for k in range(len(stages) - 1):
-        start, cont = F.col(f"_n{k}"), F.col(f"_n{k + 1}")
+        start, cont = f"_n{k}", f"_n{k + 1}"
         rows.append(
             [
-                ("transition_number", F.lit(k + 1)),
-                ("funnel_transition", F.lit(f"{labels[k]} -> {labels[k + 1]}")),
+                ("transition_number", f"{k + 1}"),
+                ("funnel_transition", text_sql(f"{labels[k]} -> {labels[k + 1]}")),
                 ("starting_sessions", start),
                 ("continuing_sessions", cont),
-                ("dropped_sessions", start - cont),
-                ("dropoff_rate_pct", pct(start - cont, start)),
+                ("dropped_sessions", f"{start} - {cont}"),
+                ("dropoff_rate_pct", pct_sql(f"({start} - {cont})", start)),
             ]
         )
     return rows_from_one(counts, rows).orderBy("transition_number")
@@ -337,12 +327,11 @@ def _rate_names(stages: Sequence[str]) -> list[str]:
 
 
 def _segment_columns(stages: Sequence[str]) -> list[Column]:
-    n = [F.col(f"_n{k}") for k in range(len(stages))]
     names = _rate_names(stages)
-    cols = [n[k].alias(f"{s}_sessions") for k, s in enumerate(stages)]
-    cols += [pct(n[k + 1], n[k]).alias(names[k]) for k in range(len(stages) - 1)]
-    cols.append(pct(n[-1], n[0]).alias(names[-1]))
-    return cols
+    cols = [f"_n{k} AS `{s}_sessions`" for k, s in enumerate(stages)]
+    cols += [f"{pct_sql(f'_n{k + 1}', f'_n{k}')} AS `{names[k]}`" for k in range(len(stages) - 1)]
+    cols.append(f"{pct_sql(f'_n{len(stages) - 1}', '_n0')} AS `{names[-1]}`")
+    return [F.expr(c) for c in cols]
 
 
 def funnel_by_segment(
@@ -494,26 +483,23 @@ def presence_vs_ordered(
     times = sessions
     if times is None:
         times = ordered_stage_times(source, period, stages, require_user=False, presence=True)
-    has_user = F.col(USER).isNotNull()
     aggs = []
     for k in range(n):
-        prefix = reduce(lambda a, b: a & b, [F.col(f"_p{i}") for i in range(k + 1)])
-        aggs.append(F.count_if(prefix).alias(f"_pres{k}"))
-        aggs.append(F.count_if(has_user & F.col(f"_t{k}").isNotNull()).alias(f"_ord{k}"))
-    counts = times.agg(*aggs)
-    hundred = F.lit(100.00).cast("double")
+        aggs.append(f"count_if({' AND '.join(f'_p{i}' for i in range(k + 1))}) AS _pres{k}")
+        aggs.append(f"count_if({USER} IS NOT NULL AND _t{k} IS NOT NULL) AS _ord{k}")
+    counts = times.agg(*map(F.expr, aggs))
     rows = []
     for k, label in enumerate(labels):
-        p, o = F.col(f"_pres{k}"), F.col(f"_ord{k}")
+        p, o = f"_pres{k}", f"_ord{k}"
         rows.append(
             [
-                ("step_number", F.lit(k + 1)),
-                ("funnel_step", F.lit(label)),
+                ("step_number", f"{k + 1}"),
+                ("funnel_step", text_sql(label)),
                 ("presence_sessions", p),
                 ("ordered_sessions", o),
-                ("sessions_excluded_by_ordering", p - o),
-                ("presence_conversion_pct", hundred if k == 0 else pct(p, F.col("_pres0"))),
-                ("ordered_conversion_pct", hundred if k == 0 else pct(o, F.col("_ord0"))),
+                ("sessions_excluded_by_ordering", f"{p} - {o}"),
+                ("presence_conversion_pct", pct_sql(p, "_pres0") if k else _HUNDRED),
+                ("ordered_conversion_pct", pct_sql(o, "_ord0") if k else _HUNDRED),
             ]
         )
     return rows_from_one(counts, rows).orderBy("step_number")
