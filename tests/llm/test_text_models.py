@@ -128,6 +128,17 @@ def test_split_equals_enumeration(spark, small_docs):
         assert abs(price(reader._unglued(letters).split()) - min(map(price, every))) < 1e-9, letters
 
 
+def test_split_rows_equal_single_splits(corpus_reader, small_docs):
+    words = {w for d in small_docs.collect() for w in re.findall(r"[^\W\d_]+", d.text.lower())}
+    words |= {a + b for a, b in zip(sorted(words)[::7], sorted(words)[::5])}
+    words = {w for w in words if w not in corpus_reader._words}
+    corpus_reader._parted.clear()
+    corpus_reader._unglue_all(words)
+    found = dict(corpus_reader._parted)
+    assert len(found) > 1000 and any(" " in v for v in found.values())
+    assert found == {w: corpus_reader._split(w) for w in found}
+
+
 def test_toxicity_fit_does_not_depend_on_the_order_of_repeated_ids(spark, small_docs, labels):
     twice = small_docs.unionByName(small_docs.withColumn("text", F.concat(F.lit("other words before "), "text")))
     found = []
