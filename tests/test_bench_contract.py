@@ -21,4 +21,4 @@ def test_bench_prints_one_json_line():
     rec = json.loads(out[0])
     assert rec["unit"] == "sec" and rec["sf"] == 0.001
     assert isinstance(rec["value"], float) and rec["value"] > 0
-    assert len(rec["queries"]) == 19 and all(v > 0 for v in rec["queries"].values())
+    assert len(rec["queries"]) == 30 and all(v > 0 for v in rec["queries"].values())

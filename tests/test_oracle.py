@@ -8,15 +8,18 @@ import __spark_entry__ as entry
 from tests.compare import compare_one
 from tests.conftest import SF_MID, SF_SMALL
 
-NAMES = sorted(entry._statements())
+# fitted models and clusters: SQL cannot express them, other tests cover them
+FITTED = {"customer_clusters", "customer_cluster_profiles", "propensity_model_scores", "propensity_model_ranking"}
+NAMES = sorted(set(entry._statements()) - FITTED)
 # statements whose sf0.001 result is too small to say much are also run at sf0.01
 MID = ["ordered_funnel", "funnel_by_device", "funnel_by_first_source", "presence_vs_ordered",
-       "purchase_quality", "kpi_daily", "sample_event_records", "purchase_session_journey"]
+       "purchase_quality", "kpi_daily", "sample_event_records", "purchase_session_journey",
+       "revenue_by_touch", "customer_scores", "journey_transitions", "propensity_rule_ranking"]
 
 
 def test_every_query_has_an_oracle():
     assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(NAMES) == 19
+    assert len(NAMES) == 26 and not FITTED & set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
