@@ -24,8 +24,9 @@ from sessionflow.llm.queries import ship, tokenizer_file
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity operator marks."""
     ship(spark)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out(F.col("doc_id"), 5, 0))
-    return docs.where(toxicity.score(model, F.col("text")) < 0.5)
+    score = "_" * max(map(len, docs.columns)) + "score"
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), held_out(F.col("doc_id"), 5, 0), score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

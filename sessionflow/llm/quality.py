@@ -130,23 +130,28 @@ class Discriminant:
         return 1 / (1 + np.exp(-gap))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, held_out: Column, limit: int
-) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled rows that are not held out.
-
-    The rows of least hash of the id are taken; ids that the labels give
-    twice with different values have no label.
-    """
-    ids = (
+def labelled_ids(labels: DataFrame, label: str, held_out: Column) -> DataFrame:
+    """(doc_id, y) of every labelled id that is not held out; ids that the labels
+    give twice with different values have no label."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)")
         .groupBy("doc_id")
         .agg(F.min("y").alias("y"), F.max("y").alias("_y"))
         .where("y = _y")
         .where(~held_out)
-        .withColumn("_hash", F.xxhash64("doc_id"))
+        .select("doc_id", "y")
     )
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, held_out: Column, limit: int
+) -> DataFrame:
+    """(text, y) of at most ``limit`` labelled rows that are not held out.
+
+    The rows of least hash of the id are taken.
+    """
+    ids = labelled_ids(labels, label, held_out).withColumn("_hash", F.xxhash64("doc_id"))
     ids = least_by_hash(ids, "_hash", limit, "doc_id").select("doc_id", "y")
     # at most ``limit`` pairs of numbers: a bounded broadcast
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(

@@ -94,8 +94,8 @@ def _scored(docs: DataFrame, held: Column, score: Column) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out(F.col("doc_id"), 5, 0)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held)
-    return _scored(docs, held, toxicity.score(model, F.col("text")))
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), held, keep=["doc_id"])
+    return _scored(scored, held, F.col("score"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

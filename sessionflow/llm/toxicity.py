@@ -5,15 +5,17 @@ repeated letters) become character lattices: each sign may stand for itself,
 for a letter it resembles, for a word break or for nothing, at a cost. A
 Viterbi search under a character trigram model, linear in the length, finds
 the likeliest spelling. A spelling that the vocabulary (the common words of the
-labelled rows) lacks may be several words glued together: of all its splits the
+corpus) lacks may be several words glued together: of all its splits the
 cheapest is taken, where a word of the vocabulary costs its rareness, any other
 stretch its letters under the character model, and each space left out a
-price. This holds for tokens of any length. The trigram counts come from every
-text of the corpus, added up by a grouped aggregation.
+price. This holds for tokens of any length. The trigram counts and the
+vocabulary come from every text of the corpus, added up by grouped aggregations.
 
 The restored words and their beginnings are features of a logistic model.
-Which features it holds is chosen from document counts per label over the
-labelled rows; it is fitted on those rows only.
+Which features it holds is chosen from document counts per label over all
+labelled rows that are not held out; it is fitted on all of them by Spark's
+logistic regression. ``scored`` restores every text once, for the fit and for
+the score.
 
 Semantics: a null text is empty and scored like any other. The label of a row
 is looked up by its id. Without labels of both kinds every score is the share
@@ -22,6 +24,7 @@ of label 1 (0.5 without labels). Repeated rows score alike.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,21 +34,26 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, staged
-from .quality import labelled_sample
+from .quality import labelled_ids
 
-#: Most labelled rows the score is fitted on, taken in hash order of the id.
-FIT_ROWS = 20_000
-#: Features of the logistic model, and the least documents that hold one.
+#: Features of the logistic model, and its penalty over the sum of losses.
 FEATURES = 4_000
-LEAST_DOCUMENTS = 4
+PENALTY, STEPS = 0.1, 100
+#: Least documents that hold a feature or a word of the vocabulary: so many, and
+#: this share of them.
+LEAST_DOCUMENTS, LEAST_SHARE = 4, 1 / 5_000
 PREFIXES = (4, 5, 6)
-#: Distinct words whose spelling one task remembers.
-CACHE_WORDS = 300_000
+#: Distinct words whose spelling one task remembers, and features counted at once.
+CACHE_WORDS, COUNTED = 100_000, 200_000
+#: Characters whose trigrams are counted at once.
+COUNT_CHARS = 500_000
 
 # Signs that stand for letters.
 LEET = {
@@ -68,7 +76,7 @@ GLUE_COST = 5.0
 CACHE_LETTERS = 80
 #: Words up to so many letters are split as rows of a matrix, so many at once;
 #: longer ones one by one, with the same result.
-MATRIX_LETTERS, MATRIX_ROWS = 40, 20_000
+MATRIX_LETTERS, MATRIX_ROWS = 40, 4_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # The alphabet of the character model: letters by number, 0 for everything else.
@@ -113,8 +121,9 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                c = _codes(f"  {t or ''}  ")
+            # two blanks end a text and begin the next: no trigram spans two texts
+            for part in slices(batch.column(0).to_pylist(), COUNT_CHARS):
+                c = _codes(f"  {'  '.join(part)}  ")
                 total += np.bincount(c[:-2] * SYMBOLS**2 + c[1:-1] * SYMBOLS + c[2:], minlength=SYMBOLS**3)
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
@@ -420,12 +429,33 @@ class Reader:
 
 
 def _features(words: Iterable[str]) -> set[str]:
+    """Features that the words give."""
     out = {f"{w} " for w in words}
     for n in PREFIXES:
         out.update(w[:n] for w in words if len(w) >= n)
     return out
 
 
+class Holder:
+    """Features of a fixed set that texts hold; remembers those of a bounded number of words."""
+
+    def __init__(self, features: Iterable[str]):
+        self._features = frozenset(features)
+        self._of: dict[str, set[str]] = {}
+
+    def of(self, words: Iterable[str]) -> set[str]:
+        if len(self._of) > CACHE_WORDS:
+            self._of.clear()
+        out: set[str] = set()
+        for word in words:
+            found = self._of.get(word)
+            if found is None:
+                found = self._of[word] = _features((word,)) & self._features
+            if found:
+                out |= found
+        return out
+
+
 @dataclass
 class Model:
     counts: np.ndarray
@@ -436,120 +466,159 @@ class Model:
     def reader(self) -> Reader:
         return Reader(Speller(self.counts), self.words)
 
-    def score(self, words: set[str]) -> float:
-        get = self.weights.get
-        z = self.bias + sum(get(f, 0.0) for f in _features(words))
+    def holder(self) -> Holder:
+        return Holder(self.weights)
+
+    def score(self, held: set[str]) -> float:
+        """Score of a text that holds these features."""
+        z = self.bias + math.fsum(map(self.weights.__getitem__, held))
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, n: int, l2: float = 0.1, steps: int = 300):
-    """Weights and bias of an L2-regularised logistic model over sparse 0/1 rows."""
-    sizes = np.array([len(r) for r in rows], np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    col = np.array([c for r in rows for c in r], np.int64)
-    w, bias = np.zeros(n), np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    grad2, b2 = np.zeros(n) + 1e-8, 1e-8
-    for _ in range(steps):  # full gradients with a step per coordinate
-        z = bias + np.bincount(row, w[col], len(rows))
-        err = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        g = np.bincount(col, err[row], n) + l2 * w
-        gb = err.sum()
-        grad2 += g * g
-        b2 += gb * gb
-        w -= 0.5 * g / np.sqrt(grad2)
-        bias -= 0.5 * gb / np.sqrt(b2)
-    return w, float(bias)
+def _least(documents: int) -> int:
+    return max(LEAST_DOCUMENTS, math.ceil(documents * LEAST_SHARE))
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """The words of the most documents with their costs in a split."""
+    """The words of the most documents of ``docs`` with their costs in a split."""
     words = F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+")))
     rows = (
         docs.select(words.alias("w")).where(f"length(w) between 1 and {WORD_LETTERS}")
-        .groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_DOCUMENTS}")
+        .groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {_least(docs.count())}")
         .orderBy(F.desc("n"), "w").limit(VOCABULARY).toPandas()
     )
     costs = -np.log(rows["n"].to_numpy(np.float64) / max(1, rows["n"].sum()))
     return dict(zip(rows["w"], costs.tolist(), strict=True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, limit: int = FIT_ROWS) -> Model:
-    """Character counts over all texts; the score on at most ``limit`` labelled rows."""
-    model = Model(trigram_counts(docs))
-    sample = labelled_sample(docs, labels, "toxic", held_out, limit)
-    # of rows that repeat an id, one stays: that of least text
-    sample = sample.groupBy("doc_id").agg(F.min(F.struct("y", "text")).alias("r")).select("r.*")
-    sample = staged(sample, "toxicity-sample")
-    model.words = vocabulary(sample)
+def spelling(docs: DataFrame, text: str = "text") -> Model:
+    """Character counts and vocabulary of every text, as yet without a score."""
+    return Model(trigram_counts(docs, text), words=vocabulary(docs, text))
+
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def words(model: Model, text: Column) -> Column:
+    """Distinct words of the restored text in order, a blank between any two."""
+
+    @F.pandas_udf(T.StringType())
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = model.reader()
-        for part in batches:
-            yield pd.DataFrame({"y": part["y"], "words": [sorted(w) for w in reader.words_of(part["text"])]})
+        for part in parts:
+            read = [" ".join(sorted(w)) for w in reader.words_of(part)]
+            yield pd.Series(read, index=part.index, dtype="object")
+
+    return run(text)
 
-    # the words are restored once, for the choice of features and for the fit
-    sample = staged(sample.mapInPandas(read, "y int, words array<string>"), "toxicity-words")
+
+def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) -> Model:
+    """Fit the score on all rows of ``read`` (doc_id, words) that have a label and
+    are not held out."""
+    # of rows that repeat an id, one stays: that of least words
+    rows = (
+        read.select(F.col("doc_id").cast("long").alias("doc_id"), "words").where(~held_out)
+        .join(labelled_ids(labels, "toxic", held_out), "doc_id")
+        .groupBy("doc_id").agg(F.min(F.struct("y", "words")).alias("r")).select("r.*")
+    )
+    rows = staged(rows, "toxicity-labelled")
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    share = n1 / (n0 + n1) if n0 + n1 else 0.5
+    model.bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    if not n0 or not n1:
+        return model
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, size = [Counter(), Counter()], [0, 0]
+        seen = [Counter(), Counter()]
         for part in batches:
-            for y, words in zip(part["y"], part["words"], strict=True):
-                seen[y].update(_features(words))
-                size[y] += 1
-            if len(seen[0]) + len(seen[1]) > 500_000:
-                yield from out(seen)
-                seen = [Counter(), Counter()]
-        seen[0][""], seen[1][""] = size
-        yield from out(seen)
+            for y, held in zip(part["y"], part["words"], strict=True):
+                seen[y].update(_features(held.split()))
+                if len(seen[0]) + len(seen[1]) > COUNTED:
+                    yield out(seen)
+                    seen = [Counter(), Counter()]
+        yield out(seen)
 
     def out(seen):
-        for y in (0, 1):
-            yield pd.DataFrame({"f": list(seen[y]), "y": y, "n": list(seen[y].values())})
-
-    per = sample.mapInPandas(count, "f string, y int, n long").groupBy("f").agg(
-        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"),
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"),
-    ).persist()
-    sizes = per.where("f = ''").first()
-    if sizes is None or not sizes["n0"] or not sizes["n1"]:
-        n0, n1 = (sizes["n0"], sizes["n1"]) if sizes is not None else (0, 0)
-        share = n1 / (n0 + n1) if n0 + n1 else 0.5
-        model.bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-        per.unpersist()
-        return model
-    n0, n1 = float(sizes["n0"]), float(sizes["n1"])
-    odds = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
+        names = sorted(seen[0].keys() | seen[1].keys())
+        return pd.DataFrame({"f": names, "n0": [seen[0][f] for f in names], "n1": [seen[1][f] for f in names]})
+
+    odds = F.log(((F.col("n1") + 0.5) / (n1 + 1.0)) / ((F.col("n0") + 0.5) / (n0 + 1.0)))
     chosen = (
-        per.where(f"f <> '' and n0 + n1 >= {LEAST_DOCUMENTS}")
-        .orderBy(F.abs(odds * (F.col("n0") / n0 - F.col("n1") / n1)).desc(), "f")
+        rows.mapInPandas(count, "f string, n0 long, n1 long")
+        .groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        .where(f"n0 + n1 >= {_least(n0 + n1)}")
+        .orderBy(F.abs(odds * (F.col("n0") / float(n0) - F.col("n1") / float(n1))).desc(), "f")
         .limit(FEATURES).select("f").toPandas()["f"].tolist()
     )
-    per.unpersist()
+    if not chosen:
+        return model
     index = {f: i for i, f in enumerate(chosen)}
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        holder = Holder(index)
         for part in batches:
-            x = [sorted(index[f] for f in _features(words) if f in index) for words in part["words"]]
+            x = [sorted(map(index.__getitem__, holder.of(held.split()))) for held in part["words"]]
             yield pd.DataFrame({"y": part["y"], "x": x})
 
     # copies of a document are one example
-    found = sample.mapInPandas(rows, "y int, x array<int>").distinct().toPandas()
-    examples = sorted(zip(found["y"].tolist(), map(list, found["x"]), strict=True))
-    x = [e for _, e in examples]
-    y = np.array([v for v, _ in examples], np.float64)
-    w, model.bias = _logistic(x, y, len(chosen))
-    model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}
+    examples = rows.mapInPandas(hold, "y int, x array<int>").distinct().sortWithinPartitions("y", "x")
+    examples = staged(examples, "toxicity-examples").select("y", F.col("x").cast("array<string>").alias("x"))
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(chosen))], "x", "held")
+    # Spark's loss is the mean, without a change of scale
+    fitted = LogisticRegression(
+        featuresCol="held", labelCol="y", regParam=PENALTY / examples.count(), standardization=False, maxIter=STEPS
+    ).fit(vectors.setBinary(True).transform(examples))
+    # the order in which sums of tasks arrive moves the last digits
+    w = np.round(fitted.coefficients.toArray(), 6)
+    model.bias = round(float(fitted.intercept), 6)
+    model.weights = {f: float(w[i]) for f, i in index.items() if w[i]}
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
+    """Spelling from all texts; the score from all labelled rows not held out."""
+    model = spelling(docs)
+    read = docs.select("doc_id", words(model, F.col("text")).alias("words"))
+    return learn(model, read, labels, held_out)
+
+
+def scored(
+    docs: DataFrame, labels: DataFrame, held_out: Column, score: str = "score", keep: list[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` (default: all) of ``docs`` and the score of each row.
+
+    Every text is restored once: its words are staged beside the columns that
+    stay, for the fit and for the score.
+    """
+    model = spelling(docs)
+    keep = docs.columns if keep is None else keep
+    name = "_" * max(map(len, keep)) + "words"
+    read = docs.select(*keep, words(model, F.col("text")).alias(name))
+    read = staged(read, "toxicity-words")
+    learn(model, read.select("doc_id", F.col(name).alias("words")), labels, held_out)
+    return read.withColumn(score, score_of_words(model, F.col(name))).drop(name)
+
+
+def score_of_words(model: Model, restored_words: Column) -> Column:
+    """Score between 0 and 1 of a column that ``words`` gave."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        holder = model.holder()
+        for part in parts:
+            found = [model.score(holder.of(w.split())) for w in part]
+            yield pd.Series(found, index=part.index, dtype="float64")
+
+    return run(restored_words)
+
+
 def score(model: Model, text: Column) -> Column:
     """Score between 0 and 1 of a text column; higher: label 1 likelier."""
 
     @F.pandas_udf(T.DoubleType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = model.reader()
+        reader, holder = model.reader(), model.holder()
         for part in parts:
-            yield pd.Series([model.score(w) for w in reader.words_of(part)], index=part.index, dtype="float64")
+            found = [model.score(holder.of(w)) for w in reader.words_of(part)]
+            yield pd.Series(found, index=part.index, dtype="float64")
 
     return run(text)
 
