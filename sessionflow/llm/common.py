@@ -29,21 +29,21 @@ def _delete_folder(spark: SparkSession, path: str, at_exit: bool) -> None:
     files.deleteOnExit(jvm_path) if at_exit else files.delete(jvm_path, True)
 
 
-def _staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _staged_at(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _delete_folder(spark, path, at_exit=True)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and return it read back.
 
     Cuts the lineage: a lost executor costs re-reading shared files. The
     folder is deleted when the session's JVM ends.
     """
-    return _staged_at(df, name)[0]
+    return _staged_at(df, name, codec)[0]
 
 
 class staged_rounds:
@@ -99,6 +99,29 @@ def least_by_hash(rows: DataFrame, key: str, limit: int, *ties: str) -> DataFram
     return rows.orderBy(key, *ties).limit(limit)
 
 
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among ``ids`` (one row per id), and about one in ten of
+    the others: less to shuffle for the join that follows.
+
+    The driver gets a bit table of 8 to 16 bits per id.
+    """
+    bits = max(64, 1 << (8 * ids.count()).bit_length())
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = (
+        ids.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("at"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask")).toPandas()
+    )
+    table = np.zeros(bits // 64, np.int64)
+    table[words["at"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+
+    @F.pandas_udf("boolean")
+    def among(places: pd.Series) -> pd.Series:
+        p = places.to_numpy(np.int64)
+        return pd.Series((table[p >> 6] >> (p & 63)) & 1 == 1, index=places.index)
+
+    return rows.where(among(place))
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id written as text leaves ``remainder``; a null id
     counts as the empty text."""

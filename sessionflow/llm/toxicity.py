@@ -26,9 +26,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -40,20 +40,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, staged
+from .common import maybe_among, slices, staged
 from .quality import labelled_ids
 
 #: Features of the logistic model, and its penalty over the sum of losses.
 FEATURES = 4_000
-PENALTY, STEPS = 0.1, 100
+PENALTY, STEPS = 0.1, 50
 #: Least documents that hold a feature or a word of the vocabulary: so many, and
 #: this share of them.
 LEAST_DOCUMENTS, LEAST_SHARE = 4, 1 / 5_000
 PREFIXES = (4, 5, 6)
-#: Distinct words whose spelling one task remembers, and features counted at once.
-CACHE_WORDS, COUNTED = 100_000, 200_000
-#: Characters whose trigrams are counted at once.
-COUNT_CHARS = 500_000
+#: Distinct words whose spelling one task remembers.
+CACHE_WORDS = 200_000
+#: Characters whose trigrams, words or features are counted at once.
+COUNT_CHARS = 1_000_000
 
 # Signs that stand for letters.
 LEET = {
@@ -77,7 +77,7 @@ CACHE_LETTERS = 80
 #: Words up to so many letters are split as rows of a matrix, so many at once;
 #: longer ones one by one, with the same result.
 MATRIX_LETTERS, MATRIX_ROWS = 40, 4_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 # The alphabet of the character model: letters by number, 0 for everything else.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -98,6 +98,8 @@ _TAIL = re.compile(r"[^\w@$!|+(<€]+\Z")
 _ALONE = r"(?:[^\W_]|[@$!|+(<€])(?![^\W_]|[^\w\s.\-*][^\W_])"
 _PIECE = re.compile(r"(?:[^\W_]|[@$!|+(<€])+")
 _SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_][^\w\s]){_ALONE}(?:[ .\-_*]{_ALONE}){{2,}}+")
+# stands in every text that holds such a run, and is found faster
+_SPACED_HINT = re.compile(r"[ .\-_*](?:[^\W_]|[@$!|+(<€])[ .\-_*](?:[^\W_]|[@$!|+(<€])(?![^\W_])")
 
 
 def _hash(word: str) -> int:
@@ -232,12 +234,15 @@ class Reader:
             self._finder.add_word(word, (len(word), cost))
         if words:
             self._finder.make_automaton()
-        # hashes and costs of the words of each length, by hash
-        self._hashed: dict[int, tuple[np.ndarray, np.ndarray, np.uint64]] = {}
+        # hashes and costs of the words of each length, by hash, and the first bits of these hashes
+        self._hashed: dict[int, tuple[np.ndarray, np.ndarray, np.uint64, np.ndarray]] = {}
         for n in set(map(len, words)):
             same = sorted((_hash(w), cost) for w, cost in words.items() if len(w) == n)
             keys = np.array([k for k, _ in same] + [2**64 - 1], np.uint64)
-            self._hashed[n] = (keys, np.array([c for _, c in same] + [np.inf]), np.uint64(pow(int(_BASE), n, 2**64)))
+            first = np.zeros(2**16, bool)
+            first[keys >> np.uint64(48)] = True
+            prices = np.array([c for _, c in same] + [np.inf])
+            self._hashed[n] = (keys, prices, np.uint64(pow(int(_BASE), n, 2**64)), first)
 
     def _readings(self, token: str) -> list[str]:
         """Spellings of a token, the likeliest first: as one run of signs and,
@@ -299,9 +304,9 @@ class Reader:
         costs = self._speller.table[grams]
         np.cumsum(costs[:, :-1], axis=1, out=spelled[:, 1:])
         spelled[:, n] += costs[:, n]
-        h = np.zeros((len(words), n + 1), np.uint64)
+        h = np.zeros((n + 1, len(words)), np.uint64)
         for j in range(n):
-            h[:, j + 1] = h[:, j] * _BASE + letters[:, j]
+            h[j + 1] = h[j] * _BASE + letters[:, j]
         best, start = np.empty((len(words), n + 1)), np.zeros((len(words), n + 1), np.int64)
         best[:, 0] = -GLUE_COST
         cheapest, since = np.full(len(words), np.inf), np.zeros(len(words), np.int64)
@@ -314,17 +319,18 @@ class Reader:
                 known = self._hashed.get(end - at)
                 if known is None:
                     continue
-                keys, prices, power = known
-                sought = h[:, end] - h[:, at] * power
-                place = np.searchsorted(keys, sought)
-                hit = np.nonzero(keys[place] == sought)[0]
+                keys, prices, power, first = known
+                sought = h[end] - h[at] * power
+                hit = np.nonzero(first[sought >> np.uint64(48)])[0]
+                place = np.searchsorted(keys, sought[hit])
+                same = keys[place] == sought[hit]
+                hit, place = hit[same], place[same]
                 if len(hit):
-                    total = best[hit, at] + GLUE_COST + prices[place[hit]]
+                    total = best[hit, at] + GLUE_COST + prices[place]
                     better = total < paid[hit]
                     paid[hit[better]], begin[hit[better]] = total[better], at
             best[:, end], start[:, end] = paid, begin
-        for i, w in enumerate(words):
-            self._parted[w] = w
+        self._parted.update(zip(words, words, strict=True))
         for i in np.nonzero(start[:, n])[0].tolist():
             parts, end = [], n
             while end:
@@ -379,7 +385,7 @@ class Reader:
         """Distinct tokens, and spaced letters behind a blank, which no token has."""
         low = (text or "").lower()
         tokens = set(low.split())
-        for run in _SPACED.findall(low):
+        for run in _SPACED.findall(low) if _SPACED_HINT.search(low) else ():
             letters = run[::2]
             tokens |= {letters, f" {letters}"}
         return tokens
@@ -394,13 +400,24 @@ class Reader:
             tokens = [self._tokens(t) for t in part]
             plain = {}
             for token in set().union(*tokens).difference(self._known):
-                m = _PLAIN.fullmatch(token)
-                if m and not _RUN.search(m[1]):
-                    plain[token] = m[1]
-            self._unglue_all({w for w in plain.values() if w not in self._words and w not in self._parted})
+                word = token
+                if not token.isalpha():
+                    m = _PLAIN.fullmatch(token)
+                    if not m:
+                        continue
+                    word = m[1]
+                if not _RUN.search(word):
+                    plain[token] = word
+            self._unglue_all(set(plain.values()).difference(self._words, self._parted))
+            known, parted, words = self._known, self._parted, self._words
             for token, word in plain.items():
-                if len(token) <= CACHE_LETTERS:
-                    self._remember(token, self._unglued(word))
+                if len(token) > CACHE_LETTERS:
+                    continue
+                if word not in words:
+                    word = parted.get(word) or self._unglued(word)
+                    if " " in word:
+                        self._several.add(word)
+                known[token] = word
             yield from map(self._words_of_tokens, tokens)
 
     def words(self, text: str | None) -> set[str]:
@@ -428,32 +445,80 @@ class Reader:
             self._several.add(word)
 
 
-def _features(words: Iterable[str]) -> set[str]:
-    """Features that the words give."""
-    out = {f"{w} " for w in words}
+class Parts:
+    """Hashes of parts of a text, modulo 2^64: the sum of its signs' numbers by powers of the place."""
+
+    def __init__(self, text: str):
+        self.points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        up, self._down = _powers(1 << len(text).bit_length())
+        self._sums = np.zeros(len(self.points) + 1, np.uint64)
+        np.cumsum((self.points + np.uint64(1)) * up[: len(self.points)], out=self._sums[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self._sums[end] - self._sums[start]) * self._down[start]
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    return tuple(
+        np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]))
+        for x in (_BASE, np.uint64(pow(int(_BASE), -1, 2**64)))
+    )
+
+
+@cache
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true places start and end."""
+    edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    return np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+
+
+def _once(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the first of equal hashes of a document."""
+    return np.unique(hashes ^ (doc.astype(np.uint64) * _MIX), return_index=True)[1]
+
+
+def _features(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of texts that ``words`` gave: words with a blank behind and
+    beginnings of words. All texts joined, and per feature its text, hash, start and
+    end; a beginning comes once per word that has it."""
+    text = " ".join(texts) + " "
+    parts = Parts(text)
+    start, end = _runs(parts.points != ord(" "))
+    doc = np.repeat(np.arange(len(texts)), [t.count(" ") + 1 if t else 0 for t in texts])
+    found = [(doc, start, end + 1)]
     for n in PREFIXES:
-        out.update(w[:n] for w in words if len(w) >= n)
-    return out
+        long = end - start >= n
+        found.append((doc[long], start[long], start[long] + n))
+    doc, start, end = map(np.concatenate, zip(*found, strict=True))
+    return text, doc, parts.hashes(start, end), start, end
 
 
 class Holder:
-    """Features of a fixed set that texts hold; remembers those of a bounded number of words."""
+    """Which of some features texts hold."""
 
     def __init__(self, features: Iterable[str]):
-        self._features = frozenset(features)
-        self._of: dict[str, set[str]] = {}
-
-    def of(self, words: Iterable[str]) -> set[str]:
-        if len(self._of) > CACHE_WORDS:
-            self._of.clear()
-        out: set[str] = set()
-        for word in words:
-            found = self._of.get(word)
-            if found is None:
-                found = self._of[word] = _features((word,)) & self._features
-            if found:
-                out |= found
-        return out
+        hashes = [Parts(f).hashes(np.array([0]), np.array([len(f)]))[0] for f in features]
+        order = np.argsort(np.array(hashes, np.uint64))
+        self._order = np.append(order, 0)
+        self._keys = np.append(np.array(hashes, np.uint64)[order], np.uint64(2**64 - 1))
+        self._first = np.zeros(2**16, bool)
+        self._first[self._keys[:-1] >> np.uint64(48)] = True
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of texts that ``words`` gave and of the features that they hold, in order."""
+        _, doc, hashes, _, _ = _features(texts)
+        maybe = self._first[hashes >> np.uint64(48)]
+        doc, hashes = doc[maybe], hashes[maybe]
+        place = np.searchsorted(self._keys, hashes)
+        same = (self._keys[place] == hashes) & (place < len(self._keys) - 1)
+        held = np.unique(doc[same] * len(self._keys) + self._order[place[same]])
+        return held // len(self._keys), held % len(self._keys)
 
 
 @dataclass
@@ -466,13 +531,16 @@ class Model:
     def reader(self) -> Reader:
         return Reader(Speller(self.counts), self.words)
 
-    def holder(self) -> Holder:
-        return Holder(self.weights)
+    def scorer(self) -> Callable[[list[str]], list[float]]:
+        """Scores of texts that ``words`` gave."""
+        holder, weights = Holder(self.weights), np.array([*self.weights.values(), 0.0])
+
+        def run(texts: list[str]) -> list[float]:
+            doc, held = holder.of(texts)
+            z = self.bias + np.bincount(doc, weights[held], len(texts))
+            return (1 / (1 + np.exp(-np.clip(z, -60, 60)))).tolist()
 
-    def score(self, held: set[str]) -> float:
-        """Score of a text that holds these features."""
-        z = self.bias + math.fsum(map(self.weights.__getitem__, held))
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        return run
 
 
 def _least(documents: int) -> int:
@@ -481,10 +549,26 @@ def _least(documents: int) -> int:
 
 def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """The words of the most documents of ``docs`` with their costs in a split."""
-    words = F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch.column(0).to_pylist(), COUNT_CHARS):
+                joined = " ".join(texts)
+                parts = Parts(joined)
+                start, end = _runs(_is_letter()[parts.points])
+                short = end - start <= WORD_LETTERS
+                start, end = start[short], end[short]
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                hashes = parts.hashes(start, end)
+                once = _once(np.searchsorted(ends, start, "right"), hashes)
+                _, at, n = np.unique(hashes[once], return_index=True, return_counts=True)
+                at = once[at]
+                found = [joined[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n, pa.int64())], ["w", "n"])
+
     rows = (
-        docs.select(words.alias("w")).where(f"length(w) between 1 and {WORD_LETTERS}")
-        .groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {_least(docs.count())}")
+        docs.select(F.lower(F.col(text))).mapInArrow(run, "w string, n long")
+        .groupBy("w").agg(F.sum("n").alias("n")).where(f"n >= {_least(docs.count())}")
         .orderBy(F.desc("n"), "w").limit(VOCABULARY).toPandas()
     )
     costs = -np.log(rows["n"].to_numpy(np.float64) / max(1, rows["n"].sum()))
@@ -512,13 +596,14 @@ def words(model: Model, text: Column) -> Column:
 def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     """Fit the score on all rows of ``read`` (doc_id, words) that have a label and
     are not held out."""
+    ids = labelled_ids(labels, "toxic", held_out)
+    read = read.select(F.col("doc_id").cast("long").alias("doc_id"), "words").where(~held_out)
     # of rows that repeat an id, one stays: that of least words
     rows = (
-        read.select(F.col("doc_id").cast("long").alias("doc_id"), "words").where(~held_out)
-        .join(labelled_ids(labels, "toxic", held_out), "doc_id")
+        maybe_among(read, ids, "doc_id").join(ids, "doc_id")
         .groupBy("doc_id").agg(F.min(F.struct("y", "words")).alias("r")).select("r.*")
     )
-    rows = staged(rows, "toxicity-labelled")
+    rows = staged(rows, "toxicity-labelled", "zstd")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.5
@@ -527,18 +612,18 @@ def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) ->
         return model
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = [Counter(), Counter()]
         for part in batches:
-            for y, held in zip(part["y"], part["words"], strict=True):
-                seen[y].update(_features(held.split()))
-                if len(seen[0]) + len(seen[1]) > COUNTED:
-                    yield out(seen)
-                    seen = [Counter(), Counter()]
-        yield out(seen)
-
-    def out(seen):
-        names = sorted(seen[0].keys() | seen[1].keys())
-        return pd.DataFrame({"f": names, "n0": [seen[0][f] for f in names], "n1": [seen[1][f] for f in names]})
+            at = 0
+            for texts in slices(part["words"], COUNT_CHARS):
+                y = part["y"].to_numpy()[at : at + len(texts)]
+                at += len(texts)
+                joined, doc, hashes, start, end = _features(texts)
+                once = _once(doc, hashes)
+                _, first, of = np.unique(hashes[once], return_index=True, return_inverse=True)
+                n1, n = np.bincount(of, y[doc[once]], len(first)).astype(np.int64), np.bincount(of, minlength=len(first))
+                first = once[first]
+                found = [joined[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+                yield pd.DataFrame({"f": found, "n0": n - n1, "n1": n1})
 
     odds = F.log(((F.col("n1") + 0.5) / (n1 + 1.0)) / ((F.col("n0") + 0.5) / (n0 + 1.0)))
     chosen = (
@@ -550,12 +635,14 @@ def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) ->
     )
     if not chosen:
         return model
-    index = {f: i for i, f in enumerate(chosen)}
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        holder = Holder(index)
+        holder = Holder(chosen)
         for part in batches:
-            x = [sorted(map(index.__getitem__, holder.of(held.split()))) for held in part["words"]]
+            x = []
+            for texts in slices(part["words"], COUNT_CHARS):
+                doc, held = holder.of(texts)
+                x += np.split(held.astype(np.int32), np.searchsorted(doc, np.arange(1, len(texts))))
             yield pd.DataFrame({"y": part["y"], "x": x})
 
     # copies of a document are one example
@@ -569,7 +656,7 @@ def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) ->
     # the order in which sums of tasks arrive moves the last digits
     w = np.round(fitted.coefficients.toArray(), 6)
     model.bias = round(float(fitted.intercept), 6)
-    model.weights = {f: float(w[i]) for f, i in index.items() if w[i]}
+    model.weights = {f: float(x) for f, x in zip(chosen, w, strict=True) if x}
     return model
 
 
@@ -592,7 +679,7 @@ def scored(
     keep = docs.columns if keep is None else keep
     name = "_" * max(map(len, keep)) + "words"
     read = docs.select(*keep, words(model, F.col("text")).alias(name))
-    read = staged(read, "toxicity-words")
+    read = staged(read, "toxicity-words", "zstd")
     learn(model, read.select("doc_id", F.col(name).alias("words")), labels, held_out)
     return read.withColumn(score, score_of_words(model, F.col(name))).drop(name)
 
@@ -602,9 +689,9 @@ def score_of_words(model: Model, restored_words: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        holder = model.holder()
+        scores = model.scorer()
         for part in parts:
-            found = [model.score(holder.of(w.split())) for w in part]
+            found = [x for texts in slices(part, COUNT_CHARS) for x in scores(texts)]
             yield pd.Series(found, index=part.index, dtype="float64")
 
     return run(restored_words)
@@ -615,9 +702,10 @@ def score(model: Model, text: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader, holder = model.reader(), model.holder()
+        reader, scores = model.reader(), model.scorer()
         for part in parts:
-            found = [model.score(holder.of(w)) for w in reader.words_of(part)]
+            read = (" ".join(sorted(w)) for w in reader.words_of(part))
+            found = [x for texts in slices(read, COUNT_CHARS) for x in scores(texts)]
             yield pd.Series(found, index=part.index, dtype="float64")
 
     return run(text)

@@ -7,13 +7,14 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sessionflow.llm import boosting, html_text, language, pii, quality, toxicity
-from sessionflow.llm.common import held_out, least_by_hash
+from sessionflow.llm.common import held_out, least_by_hash, maybe_among
 
 SF = "/root/testdata/sf0.01"
 
@@ -148,6 +149,44 @@ def test_toxicity_fit_does_not_depend_on_the_order_of_repeated_ids(spark, small_
     assert found[0] == found[1]
 
 
+def test_toxicity_learns_from_every_row(spark):
+    # a word of those ids only whose hashes are greatest, and one of texts without a label
+    ids = [r[0] for r in spark.range(24_000).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, f"stay here number {'abcdefghij'[i % 10] * 2}" + (" lastword" if n >= 20_000 and i % 2 else "")) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows + [(-i, "nolabel text") for i in range(1, 101)], "doc_id long, text string")
+    labels = docs.where("doc_id >= 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels, F.lit(False))
+    assert {"lastword", "nolabel", "stay"} <= set(model.words) and model.weights["lastword "] > 0
+    scored = toxicity.scored(docs, labels, F.lit(False), keep=["doc_id"])
+    assert scored.columns == ["doc_id", "score"] and scored.count() == 24_100
+    joined = scored.join(docs.select("doc_id", toxicity.score(model, F.col("text")).alias("s")), "doc_id")
+    assert joined.where("abs(score - s) > 1e-4").count() == 0
+    assert scored.join(docs.where("text like '%lastword'"), "doc_id").agg(F.min("score")).first()[0] > 0.5
+
+
+def test_vocabulary_and_features_equal_plain_counts(spark, small_docs):
+    texts = [r.text for r in small_docs.collect()] + [None, "", "ab" * 13 + " x1y, É-É é", "a b  a"] * 4
+    counts = Counter(w for t in texts for w in {x for x in re.split(r"[\W\d_]+", (t or "").lower()) if 0 < len(x) <= 24})
+    found = toxicity.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    kept = {w: n for w, n in counts.items() if n >= 4}
+    assert set(found) == set(kept)
+    assert all(abs(found[w] + np.log(n / sum(kept.values()))) < 1e-9 for w, n in kept.items())
+    read = [" ".join(sorted(set((t or "").split()))) for t in texts]
+    every = [{f"{w} " for w in t.split()} | {w[:n] for w in t.split() for n in toxicity.PREFIXES if len(w) >= n} for t in read]
+    chosen = sorted(set().union(*every))[::3]
+    doc, held = toxicity.Holder(chosen).of(read)
+    got = [set() for _ in read]
+    for d, f in zip(doc.tolist(), held.tolist(), strict=True):
+        got[d].add(chosen[f])
+    assert got == [e & set(chosen) for e in every]
+
+
+def test_rows_that_are_among_ids_stay(spark):
+    ids = spark.range(0, 3000, 3).select(F.col("id").alias("doc_id"))
+    kept = {r[0] for r in maybe_among(spark.range(30_000).select(F.col("id").alias("doc_id")), ids, "doc_id").collect()}
+    assert kept >= set(range(0, 3000, 3)) and len(kept) < 6000
+
+
 def test_signs_at_a_words_end_are_read(spark):
     known = spark.createDataFrame([("the dumbass will kill that ass of an idiot, all scum! stay here",)] * 300, "text string")
     reader = toxicity.Model(toxicity.trigram_counts(known), words=toxicity.vocabulary(known)).reader()
