@@ -51,9 +51,9 @@ PENALTY, STEPS = 0.1, 50
 LEAST_DOCUMENTS, LEAST_SHARE = 4, 1 / 5_000
 PREFIXES = (4, 5, 6)
 #: Distinct words whose spelling one task remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Characters whose trigrams, words or features are counted at once.
-COUNT_CHARS = 1_000_000
+COUNT_CHARS = 400_000
 
 # Signs that stand for letters.
 LEET = {
