@@ -56,10 +56,11 @@ def tokenized_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_bpe(tokenizer_path)
+        words = codec.cache()
         for batch in batches:
             ids, done = batch.column(0), 0
             for part in slices(batch.column(1).to_pylist()):
-                flat, counts = codec.encode_batch(part)
+                flat, counts = codec.encode_batch(part, words)
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 ends = np.cumsum(counts).tolist()
                 for i, (end, count) in enumerate(zip(ends, counts.tolist(), strict=True)):

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from sessionflow.llm import byte_bpe, packing
+from sessionflow.llm import byte_bpe, packing, word_bpe
 from sessionflow.llm.word_bpe import WordBpe
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,25 @@ def test_word_bpe_equals_the_library():
         assert flat[e - c : e].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_are_remembered_by_hash_within_bounds(monkeypatch):
+    monkeypatch.setattr(word_bpe, "CACHE_WORDS", 150)
+    monkeypatch.setattr(word_bpe, "CACHE_LETTERS", 6)
+    monkeypatch.setattr(word_bpe, "LOOKUP_CHARS", 700)
+    library, codec = Tokenizer.from_file(WORDS), WordBpe(WORDS)
+    held = {k: id(v) for k, v in vars(codec).items()}
+    words, sizes = codec.cache(), []
+    for part in (ODD, _random_texts(300), [], [""], _random_texts(300), ODD):
+        flat, counts = codec.encode_batch(part, words)
+        assert len(counts) == len(part) and counts.sum() == len(flat)
+        ends = np.cumsum(counts)
+        for t, e, c in zip(part, ends, counts, strict=True):
+            assert flat[e - c : e].tolist() == library.encode(t, add_special_tokens=False).ids, t
+        sizes.append(len(words._counts))
+    assert 0 < max(sizes) < 600 and len(words._keys) < sizes[-1]  # started over; long words have no key
+    # the codec, which a worker keeps, remembers no word
+    assert {k: id(v) for k, v in vars(codec).items()} == held and not hasattr(codec, "_cache")
+
+
 def test_byte_bpe_rows(spark, edge_docs, no_docs, reference):
     out = byte_bpe.encode_digests(edge_docs, RANKS, public_tokenizers.PATTERN)
     assert out.count() == edge_docs.count()
