@@ -16,6 +16,7 @@ from ..session import ensure_checkpoint_dir
 NULL_ID = -(2**63)
 #: Characters handled at once inside a task; longer texts are a slice alone.
 SLICE_CHARS = 2_000_000
+_HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +143,18 @@ def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS) -> Iterator[li
         yield part
 
 
+def word_hashes(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of up to 255 code points, from where they start among ``points``."""
+    order = np.argsort(length.astype(np.uint8), kind="stable")[::-1]
+    at, longer = start[order], len(length) - np.cumsum(np.bincount(length, minlength=1))
+    h = np.zeros(len(length), np.uint64)
+    for j, n in enumerate(longer[:-1].tolist()):
+        h[:n] = h[:n] * _HASH_BASE + (points[at[:n] + j] + np.uint64(1))
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices of the ranges [start, start + count), one range after another."""
     total = int(counts.sum())

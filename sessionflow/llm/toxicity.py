@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_among, slices, staged
+from .common import maybe_among, slices, staged, word_hashes
 from .quality import labelled_ids
 
 #: Features of the logistic model, and its penalty over the sum of losses.
@@ -50,9 +50,15 @@ PENALTY, STEPS = 0.1, 50
 #: this share of them.
 LEAST_DOCUMENTS, LEAST_SHARE = 4, 1 / 5_000
 PREFIXES = (4, 5, 6)
-#: Distinct words whose spelling one task remembers.
-CACHE_WORDS = 150_000
-#: Characters whose trigrams, words or features are counted at once.
+#: Distinct tokens whose words one task remembers, by their hashes.
+CACHE_WORDS = 400_000
+#: Words whose splits it remembers beside them.
+CACHE_PARTED = 60_000
+#: Distinct words or features that one task counts before it hands them on.
+TALLY_WORDS = 400_000
+#: Characters whose words are found at once.
+READ_CHARS = 1_000_000
+#: Characters whose trigrams or features are counted at once.
 COUNT_CHARS = 400_000
 
 # Signs that stand for letters.
@@ -221,14 +227,16 @@ class Speller:
 
 
 class Reader:
-    """Restored words of whole texts; remembers a bounded number of spellings."""
+    """Restored words of whole texts; remembers a bounded number of spellings.
+
+    Tokens of up to ``CACHE_LETTERS`` letters are found by 64-bit hashes.
+    """
 
     def __init__(self, speller: Speller, words: dict[str, float]):
         self._speller = speller
         self._words = words
-        self._known: dict[str, str] = {}
-        self._several: set[str] = set()  # what is known of several words
         self._parted: dict[str, str] = {}
+        self._forget()
         self._finder = ahocorasick.Automaton()
         for word, cost in words.items():
             self._finder.add_word(word, (len(word), cost))
@@ -244,6 +252,13 @@ class Reader:
             prices = np.array([c for _, c in same] + [np.inf])
             self._hashed[n] = (keys, prices, np.uint64(pow(int(_BASE), n, 2**64)), first)
 
+    def _forget(self) -> None:
+        # restored tokens, which of them are several words, and where the hash of a token leads
+        self._read: list[str] = []
+        self._several = np.empty(0, bool)
+        self._keys, self._number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self._spaced: dict[str, str] = {}
+
     def _readings(self, token: str) -> list[str]:
         """Spellings of a token, the likeliest first: as one run of signs and,
         where signs part it, piece by piece."""
@@ -285,36 +300,39 @@ class Reader:
 
     def _unglue_all(self, words: set[str]) -> None:
         """Remember ``_unglued`` of many words, as ``_split`` finds it, a letter of all at once."""
-        if not self._words:
-            return
+        out: dict[str, str] = {}
         by_length: dict[int, list[str]] = {}
-        for w in words:
-            if len(w) <= MATRIX_LETTERS:
-                by_length.setdefault(len(w), []).append(w)
+        for w in words if self._words else ():
+            by_length.setdefault(len(w), []).append(w)
         for n, same in by_length.items():
+            if n > MATRIX_LETTERS:
+                out.update((w, several) for w in same if " " in (several := self._split(w)))
+                continue
             for at in range(0, len(same), MATRIX_ROWS):
-                self._split_rows(same[at : at + MATRIX_ROWS], n)
-
-    def _split_rows(self, words: list[str], n: int) -> None:
-        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n)
-        c = np.zeros((len(words), n + 3), np.int64)
-        c[:, 2:-1] = _CODE[np.where(letters < len(_CODE), letters, 0)]
-        spelled = np.zeros((len(words), n + 1))
-        grams = (c[:, :-2] * SYMBOLS + c[:, 1:-1]) * SYMBOLS + c[:, 2:]
-        costs = self._speller.table[grams]
-        np.cumsum(costs[:, :-1], axis=1, out=spelled[:, 1:])
-        spelled[:, n] += costs[:, n]
+                self._split_rows(same[at : at + MATRIX_ROWS], n, out)
+        self._parted.update(zip(words, words, strict=True))
+        self._parted.update(out)
+
+    def _split_rows(self, words: list[str], n: int, out: dict[str, str]) -> None:
+        # a line of each array holds one place of all words
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n).T.copy()
+        c = np.zeros((n + 3, len(words)), np.int64)
+        c[2:-1] = _CODE[np.where(letters < len(_CODE), letters, 0)]
+        spelled = np.zeros((n + 1, len(words)))
+        costs = self._speller.table[(c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:]]
+        np.cumsum(costs[:-1], axis=0, out=spelled[1:])
+        spelled[n] += costs[n]
         h = np.zeros((n + 1, len(words)), np.uint64)
         for j in range(n):
-            h[j + 1] = h[j] * _BASE + letters[:, j]
-        best, start = np.empty((len(words), n + 1)), np.zeros((len(words), n + 1), np.int64)
-        best[:, 0] = -GLUE_COST
+            h[j + 1] = h[j] * _BASE + letters[j]
+        best, start = np.empty((n + 1, len(words))), np.zeros((n + 1, len(words)), np.int64)
+        best[0] = -GLUE_COST
         cheapest, since = np.full(len(words), np.inf), np.zeros(len(words), np.int64)
         for end in range(1, n + 1):
-            begun = best[:, end - 1] + GLUE_COST + OTHER_COST - spelled[:, end - 1]
+            begun = best[end - 1] + GLUE_COST + OTHER_COST - spelled[end - 1]
             new = begun < cheapest
             cheapest[new], since[new] = begun[new], end - 1
-            paid, begin = cheapest + spelled[:, end], since.copy()
+            paid, begin = cheapest + spelled[end], since.copy()
             for at in range(max(0, end - WORD_LETTERS), end):
                 known = self._hashed.get(end - at)
                 if known is None:
@@ -322,21 +340,23 @@ class Reader:
                 keys, prices, power, first = known
                 sought = h[end] - h[at] * power
                 hit = np.nonzero(first[sought >> np.uint64(48)])[0]
-                place = np.searchsorted(keys, sought[hit])
-                same = keys[place] == sought[hit]
+                if not len(hit):
+                    continue
+                sought = sought[hit]
+                place = np.searchsorted(keys, sought)
+                same = keys[place] == sought
                 hit, place = hit[same], place[same]
                 if len(hit):
-                    total = best[hit, at] + GLUE_COST + prices[place]
+                    total = best[at][hit] + GLUE_COST + prices[place]
                     better = total < paid[hit]
                     paid[hit[better]], begin[hit[better]] = total[better], at
-            best[:, end], start[:, end] = paid, begin
-        self._parted.update(zip(words, words, strict=True))
-        for i in np.nonzero(start[:, n])[0].tolist():
+            best[end], start[end] = paid, begin
+        for i in np.nonzero(start[n])[0].tolist():
             parts, end = [], n
             while end:
-                parts.append(words[i][start[i, end] : end])
-                end = start[i, end]
-            self._parted[words[i]] = " ".join(reversed(parts))
+                parts.append(words[i][start[end, i] : end])
+                end = start[end, i]
+            out[words[i]] = " ".join(reversed(parts))
 
     def _split(self, letters: str) -> str:
         spelled = self._speller.costs(letters)
@@ -381,68 +401,94 @@ class Reader:
             at = m.end()
         return " ".join(filter(None, [*out, *map(self._spell, low[at:].split())]))
 
-    def _tokens(self, text: str | None) -> set[str]:
-        """Distinct tokens, and spaced letters behind a blank, which no token has."""
-        low = (text or "").lower()
-        tokens = set(low.split())
-        for run in _SPACED.findall(low) if _SPACED_HINT.search(low) else ():
-            letters = run[::2]
-            tokens |= {letters, f" {letters}"}
-        return tokens
-
     def words_of(self, texts: Iterable[str | None]) -> Iterator[set[str]]:
         """Distinct words of each restored text."""
-        for part in slices(texts):
-            if len(self._known) > CACHE_WORDS or len(self._parted) > CACHE_WORDS:
-                self._known.clear()
-                self._parted.clear()
-                self._several.clear()
-            tokens = [self._tokens(t) for t in part]
-            plain = {}
-            for token in set().union(*tokens).difference(self._known):
-                word = token
-                if not token.isalpha():
-                    m = _PLAIN.fullmatch(token)
-                    if not m:
-                        continue
-                    word = m[1]
-                if not _RUN.search(word):
-                    plain[token] = word
-            self._unglue_all(set(plain.values()).difference(self._words, self._parted))
-            known, parted, words = self._known, self._parted, self._words
-            for token, word in plain.items():
-                if len(token) > CACHE_LETTERS:
-                    continue
-                if word not in words:
-                    word = parted.get(word) or self._unglued(word)
-                    if " " in word:
-                        self._several.add(word)
-                known[token] = word
-            yield from map(self._words_of_tokens, tokens)
+        for part in slices(texts, READ_CHARS):
+            yield from self._words_of_part([t.lower() for t in part])
 
     def words(self, text: str | None) -> set[str]:
         return next(self.words_of([text]))
 
-    def _words_of_tokens(self, tokens: set[str]) -> set[str]:
-        known, more = self._known, []
-        if not known.keys() >= tokens:
-            for token in tokens.difference(known):
-                word = self._joined(token[1:]) if token[0] == " " else " ".join(self._readings(token))
-                if len(token) <= CACHE_LETTERS:
-                    self._remember(token, word)
-                else:
-                    more += word.split()
-        out = set(map(known.get, tokens))
-        several = out & self._several
-        out -= several
-        out.discard("")
-        out.discard(None)
-        return out.union(more, *map(str.split, several))
-
-    def _remember(self, token: str, word: str) -> None:
-        self._known[token] = word
-        if " " in word:
-            self._several.add(word)
+    def _words_of_part(self, texts: list[str]) -> Iterator[set[str]]:
+        if len(self._read) > CACHE_WORDS:
+            self._forget()
+        if len(self._parted) > CACHE_PARTED:
+            self._parted.clear()
+        joined = "\n".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        start, end = _runs(~_is_space()[points])
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        beyond = end - start > CACHE_LETTERS
+        long: dict[int, list[str]] = {}
+        for i, j in zip(start[beyond].tolist(), end[beyond].tolist(), strict=True):
+            words = " ".join(self._readings(joined[i:j])).split()
+            long.setdefault(int(np.searchsorted(bounds, i, "right")) - 1, []).extend(words)
+        start, end = start[~beyond], end[~beyond]
+        found, first, of = np.unique(word_hashes(points, start, end - start), return_index=True, return_inverse=True)
+        place = np.searchsorted(self._keys, found)
+        old = place < len(self._keys)
+        old[old] = self._keys[place[old]] == found[old]
+        new, number = first[~old], np.empty(len(found), np.int32)
+        number[old] = self._number[place[old]]
+        number[~old] = np.arange(len(self._read), len(self._read) + len(new))
+        more = self._read_tokens([joined[i:j] for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+        self._read += more
+        self._several = np.append(self._several, [" " in t for t in more]).astype(bool)
+        self._keys = np.insert(self._keys, place[~old], found[~old])
+        self._number = np.insert(self._number, place[~old], number[~old])
+        at = number[of]
+        glued = np.nonzero(self._several[at])[0]
+        bounds = np.searchsorted(start, bounds)
+        of_glued = np.searchsorted(glued, bounds).tolist()
+        at, glued, bounds, get = at.tolist(), at[glued].tolist(), bounds.tolist(), self._read.__getitem__
+        for i, text in enumerate(texts):
+            out = set(map(get, at[bounds[i] : bounds[i + 1]]))
+            several = set(map(get, glued[of_glued[i] : of_glued[i + 1]]))
+            out -= several
+            out.update(*map(str.split, several), long.get(i, ()))
+            if _SPACED_HINT.search(text):
+                out.update(*(self._words_of_spaced(run[::2]) for run in _SPACED.findall(text)))
+            out.discard("")
+            yield out
+
+    def _words_of_spaced(self, letters: str) -> list[str]:
+        """Words of spaced letters, as a token and as words of their own."""
+        known = self._spaced.get(letters)
+        if known is None:
+            plain = _PLAIN.fullmatch(letters)
+            if plain and len(letters) < CACHE_LETTERS and not _RUN.search(plain[1]):
+                known = self._unglued(plain[1])
+            else:
+                known = " ".join([*self._readings(letters), self._joined(letters)])
+            if len(letters) <= CACHE_LETTERS and len(self._spaced) < CACHE_PARTED:
+                self._spaced[letters] = known
+        return known.split()
+
+    def _read_tokens(self, tokens: list[str]) -> list[str]:
+        """Words of each token, a blank between any two."""
+        joined = "\n".join(tokens)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        end = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        start = np.concatenate([[0], end[:-1] + 1])[: len(end)]
+        signs = np.concatenate([[0], np.cumsum(~_is_letter()[points])])
+        runs = np.zeros(len(points) + 1, np.int64)
+        if len(points) > 2:
+            np.cumsum((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]), out=runs[1:-2])
+            runs[-2:] = runs[-3]
+        alpha = (signs[end] == signs[start]).tolist()
+        run = (runs[np.maximum(end - 2, start)] > runs[start]).tolist()
+        words: list[str | None] = [
+            (None if r else t) if a
+            else m[1] if (m := _PLAIN.fullmatch(t)) and not (r and _RUN.search(m[1])) else None
+            for t, a, r in zip(tokens, alpha, run, strict=True)
+        ]
+        plain = set(words)
+        plain.discard(None)
+        self._unglue_all(plain.difference(self._words, self._parted))
+        parted = self._parted
+        return [
+            " ".join(self._readings(t)) if w is None else parted.get(w, w) for t, w in zip(tokens, words, strict=True)
+        ]
 
 
 class Parts:
@@ -472,6 +518,11 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+@cache
+def _is_space() -> np.ndarray:
+    return np.fromiter((chr(i).isspace() for i in range(0x110000)), bool, 0x110000)
+
+
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the runs of true places start and end."""
     edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
@@ -483,6 +534,40 @@ def _once(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes ^ (doc.astype(np.uint64) * _MIX), return_index=True)[1]
 
 
+class Tally:
+    """Numbers of words, added up by the words' hashes; the text of a word is kept once."""
+
+    def __init__(self, columns: int):
+        self._columns = columns
+        self._forget()
+
+    def _forget(self) -> None:
+        self._keys, self._row = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self._words: list[str] = []
+        self._numbers = np.empty((0, self._columns), np.int64)
+
+    def add(self, text: str, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, *numbers: np.ndarray) -> None:
+        """``hashes`` in order, none twice; of each, where its word stands and its numbers."""
+        place, given = np.searchsorted(self._keys, hashes), np.stack(numbers, axis=1)
+        old = place < len(self._keys)
+        old[old] = self._keys[place[old]] == hashes[old]
+        self._numbers[self._row[place[old]]] += given[old]
+        new = ~old
+        rows = np.arange(len(self._words), len(self._words) + new.sum(), dtype=np.int32)
+        self._row, self._keys = np.insert(self._row, place[new], rows), np.insert(self._keys, place[new], hashes[new])
+        self._words += [text[i:j] for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+        self._numbers = np.concatenate([self._numbers, given[new]])
+
+    def full(self) -> bool:
+        return len(self._words) > TALLY_WORDS
+
+    def taken(self, *names: str) -> dict[str, pa.Array]:
+        """The words and their numbers as columns; the tally begins anew."""
+        out = [pa.array(self._words, pa.string()), *map(pa.array, self._numbers.T.copy())]
+        self._forget()
+        return dict(zip(names, out, strict=True))
+
+
 def _features(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of texts that ``words`` gave: words with a blank behind and
     beginnings of words. All texts joined, and per feature its text, hash, start and
@@ -551,20 +636,22 @@ def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """The words of the most documents of ``docs`` with their costs in a split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(1)
         for batch in batches:
-            for texts in slices(batch.column(0).to_pylist(), COUNT_CHARS):
+            for texts in slices(batch.column(0).to_pylist(), READ_CHARS):
                 joined = " ".join(texts)
-                parts = Parts(joined)
-                start, end = _runs(_is_letter()[parts.points])
+                points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+                start, end = _runs(_is_letter()[points])
                 short = end - start <= WORD_LETTERS
                 start, end = start[short], end[short]
                 ends = np.cumsum([len(t) + 1 for t in texts])
-                hashes = parts.hashes(start, end)
+                hashes = word_hashes(points, start, end - start)
                 once = _once(np.searchsorted(ends, start, "right"), hashes)
-                _, at, n = np.unique(hashes[once], return_index=True, return_counts=True)
-                at = once[at]
-                found = [joined[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n, pa.int64())], ["w", "n"])
+                keys, at, n = np.unique(hashes[once], return_index=True, return_counts=True)
+                tally.add(joined, keys, start[once[at]], end[once[at]], n)
+                if tally.full():
+                    yield pa.RecordBatch.from_pydict(tally.taken("w", "n"))
+        yield pa.RecordBatch.from_pydict(tally.taken("w", "n"))
 
     rows = (
         docs.select(F.lower(F.col(text))).mapInArrow(run, "w string, n long")
@@ -612,6 +699,7 @@ def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) ->
         return model
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally(2)
         for part in batches:
             at = 0
             for texts in slices(part["words"], COUNT_CHARS):
@@ -619,11 +707,13 @@ def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) ->
                 at += len(texts)
                 joined, doc, hashes, start, end = _features(texts)
                 once = _once(doc, hashes)
-                _, first, of = np.unique(hashes[once], return_index=True, return_inverse=True)
+                keys, first, of = np.unique(hashes[once], return_index=True, return_inverse=True)
                 n1, n = np.bincount(of, y[doc[once]], len(first)).astype(np.int64), np.bincount(of, minlength=len(first))
                 first = once[first]
-                found = [joined[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-                yield pd.DataFrame({"f": found, "n0": n - n1, "n1": n1})
+                tally.add(joined, keys, start[first], end[first], n - n1, n1)
+                if tally.full():
+                    yield pd.DataFrame(tally.taken("f", "n0", "n1"))
+        yield pd.DataFrame(tally.taken("f", "n0", "n1"))
 
     odds = F.log(((F.col("n1") + 0.5) / (n1 + 1.0)) / ((F.col("n0") + 0.5) / (n0 + 1.0)))
     chosen = (

@@ -20,13 +20,12 @@ import regex
 from tokenizers import Tokenizer
 
 from .bpe import PairTable, merge_rows
-from .common import ragged, slices
+from .common import ragged, slices, word_hashes
 
 #: Characters whose words are looked up at once.
 LOOKUP_CHARS = 1_000_000
 #: Words remembered, ids kept for them, and letters of the longest of them.
 CACHE_WORDS, CACHE_IDS, CACHE_LETTERS = 400_000, 8_000_000, 64
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # Printable ASCII and Latin letters that no normal form changes, by code point, and what
 # parts words; all code points beyond count as the last.
@@ -45,18 +44,6 @@ def _ends(words: list[str], apart: int) -> np.ndarray:
     return np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + apart) - apart
 
 
-def _hashes(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hashes of words of at most ``CACHE_LETTERS`` letters."""
-    order = np.argsort(length.astype(np.uint8), kind="stable")[::-1]
-    at, longer = start[order], len(length) - np.cumsum(np.bincount(length, minlength=1))
-    h = np.zeros(len(length), np.uint64)
-    for j, n in enumerate(longer[:-1].tolist()):
-        h[:n] = h[:n] * _BASE + (points[at[:n] + j] + np.uint64(1))
-    out = np.empty_like(h)
-    out[order] = h
-    return out
-
-
 class HashedWords:
     """Ids of words seen before, found by the words' hashes.
 
@@ -86,7 +73,7 @@ class HashedWords:
         short = length <= CACHE_LETTERS
         begun = start[short]
         found, first, of = np.unique(
-            _hashes(points, begun, length[short]), return_index=True, return_inverse=True
+            word_hashes(points, begun, length[short]), return_index=True, return_inverse=True
         )
         place = np.searchsorted(self._keys, found)
         old = place < len(self._keys)

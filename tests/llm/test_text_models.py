@@ -140,6 +140,53 @@ def test_split_rows_equal_single_splits(corpus_reader, small_docs):
     assert found == {w: corpus_reader._split(w) for w in found}
 
 
+def test_remembered_tokens_read_as_new_ones(corpus_reader, small_docs, monkeypatch):
+    texts = [d.text for d in small_docs.orderBy("doc_id").limit(60).collect()]
+    texts += ["", None, " \n ", "s p a c e d f.o.o.d h-e-l-l-o!", "thething thething, (thething) thething***", "a" * 300,
+              "heeello heeello. x" + "the" * 40 + " m² 4pples, İx ΣΑΣ\u2028v1agra", "the " * 200 + "th3 thing"]
+    read = corpus_reader._readings
+
+    def slow(text):
+        low = (text or "").lower()
+        out = {w for t in low.split() for w in " ".join(read(t)).split()}
+        for run in toxicity._SPACED.findall(low):
+            letters = run[::2]
+            plain = toxicity._PLAIN.fullmatch(letters)
+            more = [] if plain and not toxicity._RUN.search(plain[1]) else [corpus_reader._joined(letters)]
+            out.update(" ".join([*read(letters), *more]).split())
+        return out
+
+    want = [slow(t) for t in texts]
+    assert any(len(w) > 50 for w in want)
+    monkeypatch.setattr(toxicity, "READ_CHARS", 4000)
+    monkeypatch.setattr(toxicity, "CACHE_PARTED", 100)
+    for most in (0, 300, 10**6):  # never, sometimes and always remembered
+        monkeypatch.setattr(toxicity, "CACHE_WORDS", most)
+        corpus_reader._forget()
+        corpus_reader._parted.clear()
+        for _ in range(2):
+            assert list(corpus_reader.words_of(texts)) == want
+        # a token is remembered once, by its hash
+        assert len(corpus_reader._read) == len(corpus_reader._keys) == len(np.unique(corpus_reader._keys))
+
+
+def test_tally_equals_plain_sums():
+    words, r = ["a", "bb", "ccc", "dd", "e"], np.random.default_rng(1)
+    tally, want = toxicity.Tally(2), {}
+    for _ in range(20):
+        some = np.sort(r.choice(5, r.integers(0, 5), replace=False))
+        text, n, m = " ".join(words[i] for i in some), r.integers(0, 9, len(some)), r.integers(0, 9, len(some))
+        end = np.cumsum([len(words[i]) + 1 for i in some]).astype(int) - 1
+        start = end - [len(words[i]) for i in some] if len(some) else end
+        tally.add(text, some.astype(np.uint64), start, end, n, m)
+        for i, x, y in zip(some, n, m):
+            old = want.get(words[i], (0, 0))
+            want[words[i]] = (old[0] + x, old[1] + y)
+    got = tally.taken("w", "n", "m")
+    assert {w: (n, m) for w, n, m in zip(*(c.to_pylist() for c in got.values()))} == want
+    assert [len(c) for c in tally.taken("w", "n", "m").values()] == [0, 0, 0]
+
+
 def test_toxicity_fit_does_not_depend_on_the_order_of_repeated_ids(spark, small_docs, labels):
     twice = small_docs.unionByName(small_docs.withColumn("text", F.concat(F.lit("other words before "), "text")))
     found = []
