@@ -24,6 +24,7 @@ of label 1 (0.5 without labels). Repeated rows score alike.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -80,9 +81,9 @@ OTHER_COST = 2.0
 GLUE_COST = 5.0
 #: Letters of the longest token whose words are remembered.
 CACHE_LETTERS = 80
-#: Words up to so many letters are split as rows of a matrix, so many at once;
+#: Words up to so many letters are split as columns of a matrix, so many at once;
 #: longer ones one by one, with the same result.
-MATRIX_LETTERS, MATRIX_ROWS = 40, 4_000
+MATRIX_LETTERS, MATRIX_ROWS = 40, 8_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 # The alphabet of the character model: letters by number, 0 for everything else.
@@ -104,15 +105,8 @@ _TAIL = re.compile(r"[^\w@$!|+(<€]+\Z")
 _ALONE = r"(?:[^\W_]|[@$!|+(<€])(?![^\W_]|[^\w\s.\-*][^\W_])"
 _PIECE = re.compile(r"(?:[^\W_]|[@$!|+(<€])+")
 _SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_][^\w\s]){_ALONE}(?:[ .\-_*]{_ALONE}){{2,}}+")
-# stands in every text that holds such a run, and is found faster
-_SPACED_HINT = re.compile(r"[ .\-_*](?:[^\W_]|[@$!|+(<€])[ .\-_*](?:[^\W_]|[@$!|+(<€])(?![^\W_])")
-
-
-def _hash(word: str) -> int:
-    out = 0
-    for c in word:
-        out = (out * int(_BASE) + ord(c)) % 2**64
-    return out
+# kinds of signs
+_SPACE, _LETTER, _DIGIT, _SIGN, _LINE, _GAP = 1, 2, 4, 8, 16, 32
 
 
 def _codes(text: str) -> np.ndarray:
@@ -168,9 +162,9 @@ class Speller:
         out[-1] += self._cost[(x * SYMBOLS + y) * SYMBOLS]
         return out
 
-    def _lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """Per run of equal signs, the spellings it may stand for with costs."""
-        out, at, word = [], 0, len(token)
+    def _lattice(self, token: str, at: int = 0) -> list[list[tuple[str, float]]]:
+        """Per run of equal signs from ``at`` on, the spellings it may stand for with costs."""
+        out, word = [], len(token)
         while word and not token[word - 1].isalnum():
             word -= 1
         # plain letters stay; only the signs behind them are open
@@ -205,8 +199,20 @@ class Speller:
         """Likeliest spelling of a lower-case token; several words with spaces."""
         # a spelling is a chain of its parts, so a step does not copy what came before
         beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        cost = self._cost
-        for options in self._lattice(token):
+        cost, word = self._cost, len(token)
+        while word and not token[word - 1].isalnum():
+            word -= 1
+        if token[:word].isalpha() and not _RUN.search(token[:word]):
+            # plain letters have one spelling; only the signs behind them are open
+            x, y, total = 0, 0, 0.0
+            for c in token[:word]:
+                z = _NUMBER.get(c, 0)
+                total += cost[(x * SYMBOLS + y) * SYMBOLS + z]
+                x, y = y, z
+            beams = {(x, y): (total, (None, token[:word]))}
+        else:
+            word = 0
+        for options in self._lattice(token, word):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (paid, chain) in beams.items():
                 for letters, price in options:
@@ -243,14 +249,16 @@ class Reader:
         if words:
             self._finder.make_automaton()
         # hashes and costs of the words of each length, by hash, and the first bits of these hashes
-        self._hashed: dict[int, tuple[np.ndarray, np.ndarray, np.uint64, np.ndarray]] = {}
-        for n in set(map(len, words)):
-            same = sorted((_hash(w), cost) for w, cost in words.items() if len(w) == n)
-            keys = np.array([k for k, _ in same] + [2**64 - 1], np.uint64)
+        self._hashed: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size + 1) - 1
+        hashes, prices = Parts("\n".join(words)).hashes(end - size, end) * _MIX, np.array([*words.values()])
+        for n in set(size.tolist()):
+            same = np.nonzero(size == n)[0]
+            same = same[np.argsort(hashes[same])]
             first = np.zeros(2**16, bool)
-            first[keys >> np.uint64(48)] = True
-            prices = np.array([c for _, c in same] + [np.inf])
-            self._hashed[n] = (keys, prices, np.uint64(pow(int(_BASE), n, 2**64)), first)
+            first[hashes[same] >> np.uint64(48)] = True
+            self._hashed[n] = (np.append(hashes[same], np.uint64(2**64 - 1)), np.append(prices[same], np.inf), first)
 
     def _forget(self) -> None:
         # restored tokens, which of them are several words, and where the hash of a token leads
@@ -301,62 +309,74 @@ class Reader:
     def _unglue_all(self, words: set[str]) -> None:
         """Remember ``_unglued`` of many words, as ``_split`` finds it, a letter of all at once."""
         out: dict[str, str] = {}
-        by_length: dict[int, list[str]] = {}
-        for w in words if self._words else ():
-            by_length.setdefault(len(w), []).append(w)
-        for n, same in by_length.items():
-            if n > MATRIX_LETTERS:
-                out.update((w, several) for w in same if " " in (several := self._split(w)))
-                continue
-            for at in range(0, len(same), MATRIX_ROWS):
-                self._split_rows(same[at : at + MATRIX_ROWS], n, out)
+        rows = sorted(words, key=len, reverse=True) if self._words else []
+        long = sum(len(w) > MATRIX_LETTERS for w in rows)
+        out.update((w, several) for w in rows[:long] if " " in (several := self._split(w)))
+        for at in range(long, len(rows), MATRIX_ROWS):
+            self._split_rows(rows[at : at + MATRIX_ROWS], out)
         self._parted.update(zip(words, words, strict=True))
         self._parted.update(out)
 
-    def _split_rows(self, words: list[str], n: int, out: dict[str, str]) -> None:
-        # a line of each array holds one place of all words
-        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n).T.copy()
-        c = np.zeros((n + 3, len(words)), np.int64)
-        c[2:-1] = _CODE[np.where(letters < len(_CODE), letters, 0)]
-        spelled = np.zeros((n + 1, len(words)))
+    def _split_rows(self, words: list[str], out: dict[str, str]) -> None:
+        """Splits of words, the longest first."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        # two blanks before each word: its letters are priced as those of a word alone
+        parts = Parts("\n\n" + "\n\n".join(words) + "\n")
+        c = _CODE[np.where(parts.points < len(_CODE), parts.points, 0)]
         costs = self._speller.table[(c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:]]
-        np.cumsum(costs[:-1], axis=0, out=spelled[1:])
-        spelled[n] += costs[n]
-        h = np.zeros((n + 1, len(words)), np.uint64)
-        for j in range(n):
-            h[j + 1] = h[j] * _BASE + letters[j]
-        best, start = np.empty((n + 1, len(words))), np.zeros((n + 1, len(words)), np.int64)
+        begins = np.cumsum(size + 2) - size  # costs[begins[i] - 2] is that of the first letter
+        # words that have at least so many letters
+        alive = len(words) - np.searchsorted(size[::-1], np.arange(size[0] + 2))
+        row, at, end, price = self._parts_of(parts, begins, size, alive)
+        order = np.argsort((end * (MATRIX_LETTERS + 1) + at).astype(np.int16), kind="stable")
+        row, at, end, price = row[order], at[order], end[order], price[order]
+        cuts = np.nonzero(np.diff(end, prepend=-1) | np.diff(at, prepend=-1))[0].tolist()
+        groups: dict[int, list[tuple[int, int, int]]] = {}
+        for i, j in itertools.pairwise([*cuts, len(row)]):
+            groups.setdefault(int(end[i]), []).append((int(at[i]), i, j))
+        # a line of each array holds one place of all words
+        best, start = np.empty((size[0] + 1, len(words))), np.zeros((size[0] + 1, len(words)), np.int8)
         best[0] = -GLUE_COST
-        cheapest, since = np.full(len(words), np.inf), np.zeros(len(words), np.int64)
-        for end in range(1, n + 1):
-            begun = best[end - 1] + GLUE_COST + OTHER_COST - spelled[end - 1]
-            new = begun < cheapest
-            cheapest[new], since[new] = begun[new], end - 1
-            paid, begin = cheapest + spelled[end], since.copy()
-            for at in range(max(0, end - WORD_LETTERS), end):
-                known = self._hashed.get(end - at)
-                if known is None:
-                    continue
-                keys, prices, power, first = known
-                sought = h[end] - h[at] * power
-                hit = np.nonzero(first[sought >> np.uint64(48)])[0]
-                if not len(hit):
-                    continue
-                sought = sought[hit]
-                place = np.searchsorted(keys, sought)
-                same = keys[place] == sought
-                hit, place = hit[same], place[same]
-                if len(hit):
-                    total = best[at][hit] + GLUE_COST + prices[place]
-                    better = total < paid[hit]
-                    paid[hit[better]], begin[hit[better]] = total[better], at
-            best[end], start[end] = paid, begin
-        for i in np.nonzero(start[n])[0].tolist():
-            parts, end = [], n
-            while end:
-                parts.append(words[i][start[end, i] : end])
-                end = start[end, i]
-            out[words[i]] = " ".join(reversed(parts))
+        cheapest, since, spelled = np.full(len(words), np.inf), np.zeros(len(words), np.int8), np.zeros(len(words))
+        for e in range(1, size[0] + 1):
+            k, ended = alive[e], alive[e + 1]
+            begun = best[e - 1, :k] + GLUE_COST + OTHER_COST - spelled[:k]
+            new = np.nonzero(begun < cheapest[:k])[0]
+            cheapest[new], since[new] = begun[new], e - 1
+            spelled[:k] += costs[begins[:k] + (e - 3)]
+            spelled[ended:k] += costs[begins[ended:k] + (e - 2)]
+            paid, begin = cheapest[:k] + spelled[:k], since[:k].copy()
+            for a, i, j in groups.get(e, ()):
+                total = best[a, row[i:j]] + GLUE_COST + price[i:j]
+                better = total < paid[row[i:j]]
+                paid[row[i:j][better]], begin[row[i:j][better]] = total[better], a
+            best[e, :k], start[e, :k] = paid, begin
+        for i in np.nonzero(start[size, np.arange(len(words))])[0].tolist():
+            found, e = [], len(words[i])
+            while e:
+                found.append(words[i][start[e, i] : e])
+                e = int(start[e, i])
+            out[words[i]] = " ".join(reversed(found))
+
+    def _parts_of(
+        self, parts: Parts, begins: np.ndarray, size: np.ndarray, alive: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where words of the vocabulary stand in words: the word's number, start and end in it, and cost."""
+        down, found = parts.down * _MIX, []
+        for n, (keys, prices, first) in self._hashed.items():
+            if n > size[0]:
+                continue
+            last = int(alive[n]) - 1
+            stop = int(begins[last] + size[last]) + 1
+            sought = (parts.sums[n:stop] - parts.sums[: stop - n]) * down[: stop - n]
+            hit = np.nonzero(first[(sought >> np.uint64(48)).view(np.int64)])[0]
+            place = np.searchsorted(keys, sought[hit])
+            same = (keys[place] == sought[hit]) & (place < len(keys) - 1)
+            found.append((hit[same], np.full(same.sum(), n), prices[place[same]]))
+        at, n, price = map(np.concatenate, zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        row = np.searchsorted(begins, at, "right") - 1
+        at = at - begins[row]
+        return row, at, at + n, price
 
     def _split(self, letters: str) -> str:
         spelled = self._speller.costs(letters)
@@ -416,37 +436,41 @@ class Reader:
             self._parted.clear()
         joined = "\n".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        start, end = _runs(~_is_space()[points])
+        kinds = _kinds()[points]
+        start, end, plain = _tokens(points, kinds)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         beyond = end - start > CACHE_LETTERS
         long: dict[int, list[str]] = {}
         for i, j in zip(start[beyond].tolist(), end[beyond].tolist(), strict=True):
             words = " ".join(self._readings(joined[i:j])).split()
             long.setdefault(int(np.searchsorted(bounds, i, "right")) - 1, []).extend(words)
-        start, end = start[~beyond], end[~beyond]
-        found, first, of = np.unique(word_hashes(points, start, end - start), return_index=True, return_inverse=True)
+        start, end, plain = start[~beyond], end[~beyond], plain[~beyond]
+        found, first, of = _distinct(word_hashes(points, start, end - start))
         place = np.searchsorted(self._keys, found)
         old = place < len(self._keys)
         old[old] = self._keys[place[old]] == found[old]
         new, number = first[~old], np.empty(len(found), np.int32)
         number[old] = self._number[place[old]]
         number[~old] = np.arange(len(self._read), len(self._read) + len(new))
-        more = self._read_tokens([joined[i:j] for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+        tokens = [joined[i:j] for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+        more = self._read_tokens(tokens, plain[new].tolist())
         self._read += more
         self._several = np.append(self._several, [" " in t for t in more]).astype(bool)
         self._keys = np.insert(self._keys, place[~old], found[~old])
         self._number = np.insert(self._number, place[~old], number[~old])
-        at = number[of]
-        glued = np.nonzero(self._several[at])[0]
-        bounds = np.searchsorted(start, bounds)
-        of_glued = np.searchsorted(glued, bounds).tolist()
-        at, glued, bounds, get = at.tolist(), at[glued].tolist(), bounds.tolist(), self._read.__getitem__
+        # every token once a text, those of one word before those of several
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, bounds)))
+        held = np.sort(doc * len(self._read) + number[of])
+        doc, at = np.divmod(held[np.diff(held, prepend=-1) > 0], max(1, len(self._read)))
+        several = self._several[at]
+        every = np.arange(len(texts) + 1)
+        one, glued = ((at[x].tolist(), np.searchsorted(doc[x], every).tolist()) for x in (~several, several))
+        get = self._read.__getitem__
+        spaced = set((np.searchsorted(bounds, _maybe_spaced(kinds), "right") - 1).tolist())
         for i, text in enumerate(texts):
-            out = set(map(get, at[bounds[i] : bounds[i + 1]]))
-            several = set(map(get, glued[of_glued[i] : of_glued[i + 1]]))
-            out -= several
-            out.update(*map(str.split, several), long.get(i, ()))
-            if _SPACED_HINT.search(text):
+            out = set(map(get, one[0][one[1][i] : one[1][i + 1]]))
+            out.update(*map(str.split, map(get, glued[0][glued[1][i] : glued[1][i + 1]])), long.get(i, ()))
+            if i in spaced:
                 out.update(*(self._words_of_spaced(run[::2]) for run in _SPACED.findall(text)))
             out.discard("")
             yield out
@@ -464,30 +488,12 @@ class Reader:
                 self._spaced[letters] = known
         return known.split()
 
-    def _read_tokens(self, tokens: list[str]) -> list[str]:
-        """Words of each token, a blank between any two."""
-        joined = "\n".join(tokens)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        end = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        start = np.concatenate([[0], end[:-1] + 1])[: len(end)]
-        signs = np.concatenate([[0], np.cumsum(~_is_letter()[points])])
-        runs = np.zeros(len(points) + 1, np.int64)
-        if len(points) > 2:
-            np.cumsum((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]), out=runs[1:-2])
-            runs[-2:] = runs[-3]
-        alpha = (signs[end] == signs[start]).tolist()
-        run = (runs[np.maximum(end - 2, start)] > runs[start]).tolist()
-        words: list[str | None] = [
-            (None if r else t) if a
-            else m[1] if (m := _PLAIN.fullmatch(t)) and not (r and _RUN.search(m[1])) else None
-            for t, a, r in zip(tokens, alpha, run, strict=True)
-        ]
-        plain = set(words)
-        plain.discard(None)
-        self._unglue_all(plain.difference(self._words, self._parted))
-        parted = self._parted
+    def _read_tokens(self, tokens: list[str], plain: list[bool]) -> list[str]:
+        """Words of each token, a blank between any two; plain ones are letters only."""
+        known, parted = self._words, self._parted
+        self._unglue_all({t for t, p in zip(tokens, plain, strict=True) if p and t not in known and t not in parted})
         return [
-            " ".join(self._readings(t)) if w is None else parted.get(w, w) for t, w in zip(tokens, words, strict=True)
+            parted.get(t, t) if p else " ".join(self._readings(t)) for t, p in zip(tokens, plain, strict=True)
         ]
 
 
@@ -496,12 +502,12 @@ class Parts:
 
     def __init__(self, text: str):
         self.points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        up, self._down = _powers(1 << len(text).bit_length())
-        self._sums = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum((self.points + np.uint64(1)) * up[: len(self.points)], out=self._sums[1:])
+        up, self.down = _powers(1 << len(text).bit_length())
+        self.sums = np.zeros(len(self.points) + 1, np.uint64)
+        np.cumsum((self.points + np.uint64(1)) * up[: len(self.points)], out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self._sums[end] - self._sums[start]) * self._down[start]
+        return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
 @cache
@@ -519,8 +525,44 @@ def _is_letter() -> np.ndarray:
 
 
 @cache
-def _is_space() -> np.ndarray:
-    return np.fromiter((chr(i).isspace() for i in range(0x110000)), bool, 0x110000)
+def _kinds() -> np.ndarray:
+    """Bits of each sign: white space, letters, digits and so on."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.zeros(0x110000, np.uint8)
+    for bit, kind in (
+        (_SPACE, r"\s+"), (_LETTER, r"[^\W\d_]+"), (_DIGIT, r"\d+"), (_SIGN, r"[@$!|+(<€]"), (_LINE, "_"), (_GAP, r"[ .\-_*]")
+    ):
+        for m in re.finditer(kind, every):
+            out[m.start() : m.end()] |= bit
+    return out
+
+
+def _tokens(points: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where tokens start and end, and which are plain: of these the letters alone,
+    without the signs around them (``_PLAIN`` without ``_RUN``)."""
+    start, end = _runs(kinds & _SPACE == 0)
+    first, last = _runs(kinds & _LETTER != 0)
+    opened = np.zeros(len(points) + 1, np.int32)
+    np.cumsum(kinds & (_DIGIT | _SIGN | _LINE) != 0, out=opened[1:])
+    begun = np.zeros(len(points) + 1, np.int32)
+    begun[first + 1] = 1
+    np.cumsum(begun, out=begun)
+    plain = (opened[start] == opened[end]) & (begun[end] - begun[start] == 1)
+    run = begun[start[plain]]
+    first, last = first[run], last[run]
+    thrice = np.nonzero((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]))[0]
+    same = np.searchsorted(thrice, first) < np.searchsorted(thrice, last - 2)
+    plain[plain] = ~same
+    start[plain], end[plain] = first[~same], last[~same]
+    return start, end, plain
+
+
+def _maybe_spaced(kinds: np.ndarray) -> np.ndarray:
+    """Places of two letters or signs alone, one of which stands in every run of spaced letters."""
+    gap, alone = kinds & _GAP != 0, kinds & (_LETTER | _DIGIT | _SIGN) != 0
+    word = np.append(kinds[4:] & (_LETTER | _DIGIT) != 0, False)
+    n = len(kinds) - 3
+    return np.nonzero(gap[:n] & alone[1 : n + 1] & gap[2 : n + 2] & alone[3:] & ~word)[0] if n > 0 else np.empty(0, int)
 
 
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -529,9 +571,18 @@ def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, the first place of each, and of every place the number of its hash."""
+    of, found = pd.factorize(hashes)
+    first, number, order = np.empty(len(found), np.int64), np.empty(len(found), np.int64), np.argsort(found)
+    first[of[::-1]] = np.arange(len(of))[::-1]
+    number[order] = np.arange(len(found))
+    return found[order], first[order], number[of]
+
+
 def _once(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places of the first of equal hashes of a document."""
-    return np.unique(hashes ^ (doc.astype(np.uint64) * _MIX), return_index=True)[1]
+    return np.nonzero(~pd.Series(hashes ^ (doc.astype(np.uint64) * _MIX)).duplicated().to_numpy())[0]
 
 
 class Tally:
@@ -598,12 +649,12 @@ class Holder:
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of texts that ``words`` gave and of the features that they hold, in order."""
         _, doc, hashes, _, _ = _features(texts)
-        maybe = self._first[hashes >> np.uint64(48)]
+        maybe = np.nonzero(self._first[(hashes >> np.uint64(48)).view(np.int64)])[0]
         doc, hashes = doc[maybe], hashes[maybe]
         place = np.searchsorted(self._keys, hashes)
         same = (self._keys[place] == hashes) & (place < len(self._keys) - 1)
-        held = np.unique(doc[same] * len(self._keys) + self._order[place[same]])
-        return held // len(self._keys), held % len(self._keys)
+        held = np.sort(doc[same] * len(self._keys) + self._order[place[same]])
+        return np.divmod(held[np.diff(held, prepend=-1) > 0], len(self._keys))
 
 
 @dataclass
@@ -647,8 +698,8 @@ def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, float]:
                 ends = np.cumsum([len(t) + 1 for t in texts])
                 hashes = word_hashes(points, start, end - start)
                 once = _once(np.searchsorted(ends, start, "right"), hashes)
-                keys, at, n = np.unique(hashes[once], return_index=True, return_counts=True)
-                tally.add(joined, keys, start[once[at]], end[once[at]], n)
+                keys, at, of = _distinct(hashes[once])
+                tally.add(joined, keys, start[once[at]], end[once[at]], np.bincount(of, minlength=len(keys)))
                 if tally.full():
                     yield pa.RecordBatch.from_pydict(tally.taken("w", "n"))
         yield pa.RecordBatch.from_pydict(tally.taken("w", "n"))
@@ -707,7 +758,7 @@ def learn(model: Model, read: DataFrame, labels: DataFrame, held_out: Column) ->
                 at += len(texts)
                 joined, doc, hashes, start, end = _features(texts)
                 once = _once(doc, hashes)
-                keys, first, of = np.unique(hashes[once], return_index=True, return_inverse=True)
+                keys, first, of = _distinct(hashes[once])
                 n1, n = np.bincount(of, y[doc[once]], len(first)).astype(np.int64), np.bincount(of, minlength=len(first))
                 first = once[first]
                 tally.add(joined, keys, start[first], end[first], n - n1, n1)

@@ -170,6 +170,42 @@ def test_remembered_tokens_read_as_new_ones(corpus_reader, small_docs, monkeypat
         assert len(corpus_reader._read) == len(corpus_reader._keys) == len(np.unique(corpus_reader._keys))
 
 
+def test_a_word_is_read_once_whatever_signs_stand_around_it(corpus_reader):
+    corpus_reader._forget()
+    texts = ["stupididiot stupididiot, \u00abstupididiot\u00bb stupididiot***", "stupididiot: the... -the-"]
+    assert list(corpus_reader.words_of(texts)) == [{"stupid", "idiot"}, {"stupid", "idiot", "the"}]
+    assert len(corpus_reader._read) == 2
+
+
+def test_words_of_all_lengths_are_split_at_once(corpus_reader, monkeypatch):
+    r, calls, rows = random.Random(3), [], toxicity.Reader._split_rows
+    words = {"".join(r.choices(["the", "th", "ing", "stupid", "\u00df", "\u00bd", "\U00010330", "a", "x"], k=n)) for n in range(1, 14) for _ in range(30)}
+    words -= set(corpus_reader._words)
+    monkeypatch.setattr(toxicity.Reader, "_split_rows", lambda self, *a: calls.append(1) or rows(self, *a))
+    for most, times in ((10_000, 1), (50, None)):
+        monkeypatch.setattr(toxicity, "MATRIX_ROWS", most)
+        calls.clear()
+        corpus_reader._parted.clear()
+        corpus_reader._unglue_all(words)
+        assert corpus_reader._parted == {w: corpus_reader._split(w) for w in words}
+        assert times is None or len(calls) == times
+    assert any(" " in w for w in corpus_reader._parted.values()) and len(set(map(len, words))) > 20
+
+
+def test_signs_that_tokens_hold_are_found_as_by_patterns(small_docs):
+    texts = [d.text.lower() for d in small_docs.limit(50).collect()]
+    texts += ["", " ", "a", "aaa", "aab (aaab) x*y 'q' m\u00b2, \u0663 \u00bd \u2028_a_ a_ $a a$ aa\u00e9\u00e9\u00e9. a.b \u3042\u3044!", "s p a c e d", "i.d i", "a b c", " a b"]
+    hint = re.compile(r"[ .\-_*](?:[^\W_]|[@$!|+(<\u20ac])[ .\-_*](?:[^\W_]|[@$!|+(<\u20ac])(?![^\W_])")
+    for text in texts:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kinds = toxicity._kinds()[points]
+        found = [(text[i:j], p) for i, j, p in zip(*(x.tolist() for x in toxicity._tokens(points, kinds)))]
+        plain = [toxicity._PLAIN.fullmatch(t) for t in text.split()]
+        plain = [m if m and not toxicity._RUN.search(m[1]) else None for m in plain]
+        assert found == [(m[1], True) if m else (t, False) for t, m in zip(text.split(), plain)]
+        assert bool(len(toxicity._maybe_spaced(kinds))) == bool(hint.search(text))
+
+
 def test_tally_equals_plain_sums():
     words, r = ["a", "bb", "ccc", "dd", "e"], np.random.default_rng(1)
     tally, want = toxicity.Tally(2), {}
